@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, sharding, sql, url_filter
+from . import ann, decontam, mixing, sharding, simhash, sql, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": sharding.op1_sharding,
         "op2_url_filters": url_filter.op2_url_filters,
         "op5_mixing": mixing.op5_mixing,
+        "op6_ann": ann.op6_ann,
+        "op8_simhash": simhash.op8_simhash,
+        "op9_warc": warc.op9_warc,
         "op10_decontamination": decontam.op10_decontamination,
     }
 

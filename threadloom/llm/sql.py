@@ -69,6 +69,24 @@ def op5(table: str = "documents") -> str:
     FROM ranked r JOIN best b ON r.source IS NOT DISTINCT FROM b.source"""
 
 
+def op6(k: int = 20) -> str:
+    return f"""
+    WITH valid AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM valid q JOIN valid c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {k}"""
+
+
+def op9(least: int = 100) -> str:
+    return f"""
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT *, CASE WHEN payload_bytes >= {least} THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+
 def op10(n: int = 10) -> str:
     return f"""
     WITH items AS (SELECT item_id::VARCHAR AS item, {WORDS.format(ASCII_LOWER.format("text"))} AS w FROM benchmark WHERE item_id IS NOT NULL),
@@ -85,4 +103,4 @@ def op10(n: int = 10) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": op1(), "op2_url_filters": op2(), "op5_mixing": op5(), "op10_decontamination": op10()}
+    return {"op1_sharding": op1(), "op2_url_filters": op2(), "op5_mixing": op5(), "op6_ann": op6(), "op9_warc": op9(), "op10_decontamination": op10()}
