@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, mixing, sharding, simhash, sql, url_filter, warc
+from . import ann, decontam, langid, license_scan, mixing, quality, sharding, simhash, sql, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_url_filters": url_filter.op2_url_filters,
+        "op3_license_scan": license_scan.op3_license_scan,
+        "op4_quality": quality.op4_quality,
         "op5_mixing": mixing.op5_mixing,
         "op6_ann": ann.op6_ann,
+        "op7_language_id": langid.op7_language_id,
         "op8_simhash": simhash.op8_simhash,
         "op9_warc": warc.op9_warc,
         "op10_decontamination": decontam.op10_decontamination,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, url_filter
+from . import license_scan, mixing, sharding, url_filter
 
 ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -47,6 +47,25 @@ def op2() -> str:
     SELECT page_id, host, path, best.name AS rule, coalesce(best.verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (rn)"""
 
 
+def op3() -> str:
+    """Containment in every window of every class, without retrieval by signatures."""
+    n = license_scan.SHINGLE
+    templates = ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in license_scan.TEMPLATES.items())
+    words = WORDS.format(ASCII_LOWER.format("text"))
+    return f"""
+    WITH templates(license, text) AS (VALUES {templates}),
+    tw AS (SELECT license, {words} AS w FROM templates),
+    tg AS (SELECT DISTINCT license, w[i + 1 : i + {n}] AS gram FROM tw, unnest(range(greatest(len(w) - {n}, 0) + 1)) t(i)),
+    sizes AS (SELECT license, count(*) AS size, pow(2, ceil(log2(count(*))))::BIGINT AS class FROM tg GROUP BY license),
+    docs AS (SELECT row_number() OVER () AS rn, doc_id, coalesce({words}, []) AS w FROM documents),
+    places AS (SELECT rn, p, w[p + 1 : p + {n}] AS gram FROM docs, unnest(range(greatest(len(w) - {n}, 0) + 1)) t(p) WHERE len(w) > 0),
+    held AS (SELECT rn, license, class, size, gram, p // class AS number FROM places JOIN tg USING (gram) JOIN sizes USING (license)),
+    within AS (SELECT rn, license, size, number, gram FROM held UNION SELECT rn, license, size, number - 1, gram FROM held WHERE number > 0),
+    found AS (SELECT DISTINCT rn, license FROM (SELECT rn, license FROM within GROUP BY rn, license, size, number HAVING count(DISTINCT gram) >= {license_scan.CONTAINMENT} * size)),
+    named AS (SELECT rn, count(*) AS n, string_agg(license, ',' ORDER BY license) AS names FROM found GROUP BY rn)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses, len(w)::BIGINT AS n_words FROM docs LEFT JOIN named USING (rn)"""
+
+
 def op5(table: str = "documents") -> str:
     n = mixing.OFFSETS
     cls = "CASE WHEN size < 16 THEN size ELSE 8 * (floor(log2(size))::BIGINT - 2) + (size >> (floor(log2(size))::INTEGER - 3)) - 8 END"
@@ -103,4 +122,4 @@ def op10(n: int = 10) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": op1(), "op2_url_filters": op2(), "op5_mixing": op5(), "op6_ann": op6(), "op9_warc": op9(), "op10_decontamination": op10()}
+    return {"op1_sharding": op1(), "op2_url_filters": op2(), "op3_license_scan": op3(), "op5_mixing": op5(), "op6_ann": op6(), "op9_warc": op9(), "op10_decontamination": op10()}
