@@ -72,4 +72,4 @@ def part_session_id(session_id: Column, first_entry_id: Column) -> Column:
 
 def stagger(session: Column, span: int) -> Column:
     """A steady offset in [0, span] by a session's id."""
-    return F.pmod(F.conv(F.left(F.sha2(session, 256), F.lit(8)), 16, 10).cast("long"), F.lit(span + 1))
+    return F.pmod(F.conv(F.left(F.sha2(session.cast("string"), 256), F.lit(8)), 16, 10).cast("long"), F.lit(span + 1))

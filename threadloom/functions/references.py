@@ -47,7 +47,8 @@ def _links(text: Column, integration: Integration) -> Column:
 
 def references(text: Column, integrations: tuple[Integration, ...] = INTEGRATIONS) -> Column:
     """array<struct<integration, ref>>: every mention in the text, integration by integration."""
-    lists = [F.transform(_links(text, i), lambda r, key=i.key: F.struct(F.lit(key).alias("integration"), r.alias("ref"))) for i in integrations]
+    named = lambda i: F.transform(_links(text, i), lambda r: F.struct(F.lit(i.key).alias("integration"), r.alias("ref")))
+    lists = [named(i) for i in integrations]
     return F.concat(*lists) if lists else F.array().cast("array<struct<integration:string,ref:string>>")
 
 

@@ -97,7 +97,8 @@ def reconcile(sessions: DataFrame, plans: DataFrame, receipts: DataFrame, pendin
     there = listed.select("id", "destination", F.col("digest").alias("listedDigest"))
     sent = receipts.select("id", "destination", F.col("digest").alias("sentDigest"))
     every = sent.join(there, ["id", "destination"], "full").join(pending.select("id", "destination").distinct().withColumn("owed", F.lit(True)), ["id", "destination"], "full")
-    candidates = every.select("id", "destination", F.coalesce("listedDigest", "sentDigest").alias("heldDigest")).join(destinations.where("cleanup <> 'off'").select("destination"), "destination", "left_semi")
+    known = every.groupBy("id", "destination").agg(F.max(F.coalesce("listedDigest", "sentDigest")).alias("heldDigest"))
+    candidates = known.join(destinations.where("cleanup <> 'off'").select("destination"), "destination", "left_semi")
     gone = candidates.join(keep(candidates, sessions, plans, destinations, publish), ["id", "destination"], "left_anti")
     place = F.row_number().over(Window.partitionBy("destination").orderBy("id"))
     return gone.withColumn("place", place).where(F.col("place") <= limit).select("id", "destination")
