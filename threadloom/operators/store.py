@@ -26,7 +26,7 @@ def _fold(key: tuple, captures: pd.DataFrame, held: pd.DataFrame, tombs: pd.Data
     tomb = tombs.iloc[0].to_dict() if len(tombs) else None
     out = []
     text = lambda v: v if isinstance(v, str) else None
-    for c in captures.sort_values("arrival").to_dict("records"):
+    for c in sorted(captures.to_dict("records"), key=lambda c: int(c["arrival"])):
         digest, stored, transcript = c["digest"], text(c["storedDigest"]) or c["digest"], text(c["transcriptDigest"])
         if c["drop"]:
             if row:
@@ -44,7 +44,7 @@ def _fold(key: tuple, captures: pd.DataFrame, held: pd.DataFrame, tombs: pd.Data
             row, outcome = row | {"digest": digest, "transcriptDigest": transcript, "capturedAt": c["capturedAt"]}, "touched"
         else:
             row, tomb, outcome = {"digest": digest, "storedDigest": stored, "transcriptDigest": transcript, "capturedAt": c["capturedAt"], "revision": (int(row["revision"]) if row else 0) + 1}, None, "stored"
-        out.append({"id": key[0], "arrival": c["arrival"], "outcome": outcome, "revision": int(row["revision"]) if row else 0, "digest": digest})
+        out.append({"id": key[0], "arrival": int(c["arrival"]), "outcome": outcome, "revision": int(row["revision"]) if row else 0, "digest": digest})
     last = row or {}
     deleted = tomb if not row else None
     state = {"id": key[0], "arrival": -1, "outcome": "state", "revision": int(last.get("revision", 0)), "digest": last.get("digest"), "storedDigest": last.get("storedDigest"), "transcriptDigest": text(last.get("transcriptDigest")), "capturedAt": last.get("capturedAt"), "tombstone": deleted["digest"] if deleted else None, "tombstoneTranscript": text(deleted["transcriptDigest"]) if deleted else None}
@@ -66,7 +66,8 @@ def capture(captures: DataFrame, sessions: DataFrame, tombstones: DataFrame) ->
     touched = captures.select("id").distinct()
     held = sessions.select("id", "digest", "storedDigest", "transcriptDigest", "revision", "capturedAt").join(touched, "id", "left_semi").withColumn("side", F.lit("row"))
     tombs = tombstones.select("id", "digest", "transcriptDigest").join(touched, "id", "left_semi").withColumn("side", F.lit("tomb"))
-    both = captures.withColumn("side", F.lit("capture")).unionByName(held, allowMissingColumns=True).unionByName(tombs, allowMissingColumns=True)
+    # As a string, as pandas would turn a nullable long into a double.
+    both = captures.withColumn("arrival", F.col("arrival").cast("string")).withColumn("side", F.lit("capture")).unionByName(held, allowMissingColumns=True).unionByName(tombs, allowMissingColumns=True)
 
     def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         side = lambda s: rows[rows["side"] == s]

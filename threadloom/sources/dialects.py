@@ -26,8 +26,9 @@ NOT_TOOL_TEXT = "Non-text tool content is not included"
 ONLY_TOOL_TEXT = "Only text tool output blocks are included"
 COPIED = "History copied from the parent session is left to the parent archive"
 
-_FILE = Window.partitionBy("file")
-_SO_FAR = _FILE.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _so_far():
+    return Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def _none(ddl: str) -> Column:
@@ -147,13 +148,13 @@ def codex(rows: DataFrame) -> DataFrame:
         at("$.payload.source.subagent.thread_spawn.depth", "int").alias("depth"),
         ((text_at("$.payload.source") == "exec") | ~F.regexp_like(text_at("$.payload.originator"), F.lit("(?i)^codex")) | F.regexp_like(text_at("$.payload.originator"), F.lit("^codex_(?:exec|sdk|mcp)"))).alias("scripted"),
     ))
-    seen = rows.withColumn("m", F.first(meta, ignorenulls=True).over(_SO_FAR))
+    seen = rows.withColumn("m", F.first(meta, ignorenulls=True).over(_so_far()))
     turn = F.when(kind == "turn_context", F.struct(text_at("$.payload.model").alias("model"), text_at("$.payload.effort").alias("effort")))
     m = F.col("m")
     nested = m["parent"].isNotNull() | m["forked"].isNotNull()
     own = (kind == "turn_context") & (text_at("$.payload.turn_id") > m["id"])
-    past = F.coalesce(F.max(F.coalesce(own, F.lit(False))).over(_SO_FAR), F.lit(False))
-    seen = seen.withColumn("turn", F.last(turn, ignorenulls=True).over(_SO_FAR)).withColumn("copied", F.coalesce(nested, F.lit(False)) & ~past)
+    past = F.coalesce(F.max(F.coalesce(own, F.lit(False))).over(_so_far()), F.lit(False))
+    seen = seen.withColumn("turn", F.last(turn, ignorenulls=True).over(_so_far())).withColumn("copied", F.coalesce(nested, F.lit(False)) & ~past)
     p = "$.payload"
     message = (kind == "response_item") & (item == "message") & text_at(f"{p}.role").isin("user", "assistant")
     calls = (kind == "response_item") & item.isin("function_call", "custom_tool_call")
@@ -209,7 +210,7 @@ def muse(rows: DataFrame) -> DataFrame:
     is_text = lambda b: F.coalesce(_of(b, "$.kind") == "text", F.lit(False))
     said = F.array_join(F.transform(F.filter(blocks, is_text), lambda b: _of(b, "$.text")), "\n")
     accepted = F.when(intent, F.array_compact(F.array(text_at(f"{p}.intent_id"), F.when(said != "", said))))
-    seen = rows.withColumn("model", F.last(model, ignorenulls=True).over(_SO_FAR)).withColumn("accepted", F.flatten(F.collect_list(accepted).over(_SO_FAR)))
+    seen = rows.withColumn("model", F.last(model, ignorenulls=True).over(_so_far())).withColumn("accepted", F.flatten(F.collect_list(accepted).over(_so_far())))
     repeats = F.coalesce(F.array_contains("accepted", text_at(f"{p}.run_id")), F.lit(False)) | F.coalesce(F.array_contains("accepted", text_at(f"{e}.prompt")), F.lit(False))
     session_run = (kind == "runtime.session") & run
     # Arguments keep the order of their keys.
@@ -235,7 +236,7 @@ def muse(rows: DataFrame) -> DataFrame:
         .otherwise(empty)
     )
     named = F.lower(text_at(f"{p}.record.provider_id"))
-    provider = F.last(F.when(F.regexp_like(named, F.lit("^[a-z0-9][a-z0-9_-]{0,63}$")), named), ignorenulls=True).over(_FILE.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    provider = F.last(F.when(F.regexp_like(named, F.lit("^[a-z0-9][a-z0-9_-]{0,63}$")), named), ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     written = F.when(intent, ~text_at(f"{p}.semantic_kind.kind").eqNullSafe("chat")).otherwise(run & (event == "started"))
     return seen.select(
         "file", "line", F.when(text_at("$.stream.kind") == "session", text_at("$.stream.id")).alias("session"),
