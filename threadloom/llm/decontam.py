@@ -60,9 +60,17 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, key: str = "doc_id",
         probed = probed.where(F.col("hash").isNotNull() | ((F.col("at") < 0) & (F.col("length") == lengths[0])))
     else:
         probed = at.where("at < 0").select("*", F.lit(0).alias("length"), F.lit(None).cast("long").alias("hash"))
-    found = probed.join(F.broadcast(windows) if small else windows, ["length", "hash"], "left")
-    hit = F.col("window").isNotNull() & (F.col("at") >= 0)
-    kept = found.where((F.col("at") < 0) | (hit & (F.slice("w", F.col("at") + 1, F.col("length")) == F.col("window"))))
+    if small:
+        # Within the broadcast join's code the words go along by reference.
+        found = probed.join(F.broadcast(windows), ["length", "hash"], "left").where((F.col("at") < 0) | F.col("window").isNotNull())
+    else:
+        # A shuffle would copy the words for every place: places are looked up alone, and hits join their texts again.
+        places = probed.where("at >= 0").select("key", "text_hash", "at", "length", "hash").join(windows, ["length", "hash"])
+        hits = places.groupBy("key", "text_hash").agg(F.collect_set(F.struct("at", "length", "window", "items")).alias("hits"))
+        own = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("length"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("items")))
+        joined = read.alias("r").join(hits.alias("h"), F.col("r.key").eqNullSafe(F.col("h.key")) & (F.col("r.text_hash") == F.col("h.text_hash")), "left")
+        found = joined.select("r.key", "r.text_hash", "w", F.explode(F.when(F.col("hits").isNull(), own).otherwise(F.concat(own, "hits"))).alias("p")).select("key", "text_hash", "w", "p.*")
+    kept = found.where((F.col("at") < 0) | (F.slice("w", F.col("at") + 1, F.col("length")) == F.col("window")))
     small_rows = kept.select("key", "text_hash", F.size("w").alias("n_words"), "at", F.when(F.col("at") >= 0, F.struct("at", "length")).alias("span"), F.when(F.col("at") >= 0, F.col("items")).alias("held"))
     return small_rows.groupBy("key", "text_hash", "n_words").agg(
         F.count_if(F.col("at") < 0).alias("n_rows"),

@@ -100,7 +100,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, key
     last = F.when(F.size("w") > 0, F.greatest(F.size("w") - SHINGLE, F.lit(0))).otherwise(F.lit(-1))
     at = read.select("key", "text_hash", "w", F.explode(F.sequence(F.lit(-1), last)).alias("at"))
     hashed = at.select("*", F.when(F.col("at") >= 0, decontam._hash(F.col("w"), F.col("at"), SHINGLE)).alias("hash"))
-    held = hashed.join(near(starts), "hash", "left").where((F.col("at") < 0) | F.col("sizes").isNotNull())
+    if small:
+        # Within the broadcast join's code the words go along by reference.
+        held = hashed.join(F.broadcast(starts), "hash", "left").where((F.col("at") < 0) | F.col("sizes").isNotNull())
+    else:
+        # A shuffle would copy the words for every place: places are looked up alone, and hits join their texts again.
+        places = hashed.where("at >= 0").select("key", "text_hash", "at", "hash").join(starts, "hash")
+        hits = places.groupBy("key", "text_hash").agg(F.collect_set(F.struct("at", "sizes")).alias("hits"))
+        own = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("array<int>").alias("sizes")))
+        joined = read.alias("r").join(hits.alias("h"), F.col("r.key").eqNullSafe(F.col("h.key")) & (F.col("r.text_hash") == F.col("h.text_hash")), "left")
+        held = joined.select("r.key", "r.text_hash", "w", F.explode(F.when(F.col("hits").isNull(), own).otherwise(F.concat(own, "hits"))).alias("p")).select("key", "text_hash", "w", "p.*")
     # The windows (class, number) that hold such a place, with just their own words.
     sized = held.select("key", "text_hash", "w", F.explode_outer("sizes").alias("class"), "at")
     number = F.when(F.col("at") >= 0, F.filter(F.array(F.floor(F.col("at") / F.col("class")), F.floor(F.col("at") / F.col("class")) - 1), lambda x: x >= 0))
