@@ -62,12 +62,12 @@ def targets(groups: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
 
 
 def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, groups: int = GROUPS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, source, size, source_size, target, copies) and the columns of ``keep``, for every row of ``docs``.
+    """(key, source, size, source_size, target, copies) and a struct ``kept`` of the columns of ``keep``, for every row of ``docs``.
 
     Ranks run over (size class, group, size, key) within a source. Groups of rows are numbered independently
     from offsets that a running sum over group counts gives, so a source with a third of all rows is spread.
     """
-    sized = docs.select(F.col(key).alias("__key"), F.col(source).alias("source"), shared.word_count(F.col(text)).alias("size"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
+    sized = docs.select(F.col(key).alias("__key"), F.col(source).alias("source"), shared.word_count(F.col(text)).alias("size"), *([F.struct(*[F.col(c) for c in keep]).alias("__kept")] if keep else []))
     number = F.coalesce(F.col("__key").cast("long") if _integral(docs, key) else F.xxhash64("__key"), F.lit(0))
     sized = sized.select("*", size_class(F.col("size")).alias("__class"), F.pmod(number, F.lit(groups)).cast("int").alias("__group"))
     counted = sized.groupBy("source", "__class", "__group").agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("words"))
@@ -89,7 +89,7 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str
     crossed = crossed(F.col("__best"))
     return ranked.select(
         F.col("__key").alias(key), "source", "size", "source_size", "target",
-        crossed.cast("long").alias("copies"), *[F.col(f"__keep_{c}").alias(c) for c in keep],
+        crossed.cast("long").alias("copies"), *([F.col("__kept").alias("kept")] if keep else []),
     )
 
 
@@ -99,10 +99,9 @@ def _integral(df: DataFrame, column: str) -> bool:
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **settings) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as it is taken."""
-    others = tuple(c for c in docs.columns if c not in (key, source))
-    taken = copies(docs, text, source, key, keep=others, **settings).where("copies > 0")
-    repeated = taken.select(key, F.col("source").alias(source) if source != "source" else "source", *others, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy"))
-    return repeated.select(*docs.columns)
+    taken = copies(docs, text, source, key, keep=tuple(docs.columns), **settings).where("copies > 0")
+    repeated = taken.select("kept", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy"))
+    return repeated.select("kept.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
