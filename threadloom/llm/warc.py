@@ -30,8 +30,6 @@ from . import shared
 LEAST = 100
 #: Bytes read, and bytes inflated, at once.
 READ = 1 << 20
-#: Payload bytes aimed at for one archive.
-ARCHIVE = 64 << 20
 # Fixed values of the format: the profile's name as the WARC 1.1 specification has it, and the record separator.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
@@ -202,22 +200,24 @@ def _writer(folder: str):
 
 
 def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST) -> DataFrame:
-    """(page_id, url, html, refers_to, revisit). Digests that one record alone has take no part in the join."""
-    digest = F.sha2(F.coalesce(F.col(html), F.lit("")), 256)
+    """(page_id, url, html, refers_to, revisit), in one join of the pages with digests that several records have.
+
+    Payloads are shuffled once, by digest; AQE splits a digest that many pages share. Small payloads never match,
+    and get keys of their own, so they spread.
+    """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     large = F.octet_length("html") >= least
+    keyed = rows.withColumn("__d", F.when(large, F.sha2("html", 256)).otherwise(F.concat(F.lit("small"), F.xxhash64("page_id", "url"))))
     firsts = rows.where(large).select("page_id", F.sha2("html", 256).alias("__d")).groupBy("__d").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1").select("__d", "first")
-    joined = rows.withColumn("__d", F.when(large, digest)).join(firsts, "__d", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
+    return keyed.join(firsts, "__d", "left").select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
 
 
-def write(pages: DataFrame, folder: str, archives: int, **names) -> list[str]:
-    """Writes ``archives`` files at most and returns their names. Records are dealt evenly, whatever their keys."""
+def write(pages: DataFrame, folder: str, **names) -> list[str]:
+    """Writes an archive for each partition of the planned records and returns the files' names."""
     files, base = _open(folder)
     files.create_dir(base, recursive=True)
-    planned = plan_records(pages, **names).repartition(archives)
-    done = planned.mapInArrow(_writer(folder), "file string, records long, bytes long").collect()  # a row for each archive
+    done = plan_records(pages, **names).mapInArrow(_writer(folder), "file string, records long, bytes long").collect()  # a row for each archive
     return sorted(r["file"] for r in done)
 
 
@@ -243,15 +243,9 @@ def read(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     return listed.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def archives_for(pages: DataFrame, html: str = "html") -> int:
-    """Number of archives by the payloads' bytes, so that an archive's size doesn't grow with the input."""
-    total = pages.agg(F.sum(F.octet_length(html).cast("long")).alias("b")).first()["b"] or 0
-    return max(1, -(-total // ARCHIVE), min(32, -(-total // (4 << 20))))
-
-
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     folder = shared.work_dir(pages.sparkSession) + "/warc"
-    return read(pages.sparkSession, folder, write(pages, folder, archives_for(pages, html), key=key, url=url, html=html))
+    return read(pages.sparkSession, folder, write(pages, folder, key=key, url=url, html=html))
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
