@@ -89,20 +89,25 @@ def search_block(query_ids, queries, ids, vectors, codes, length, fit, centre, t
     spread = np.where(usable, length * np.sqrt(np.maximum(0, 1 - fit**2)) / np.where(usable, fit, 1) * width / math.sqrt(max(1, dims - 1)), 0)
     turned = (queries @ turn.T).astype(np.float32)
     at_centre, lengths = queries @ centre, np.linalg.norm(queries, axis=1)
+    single, wide = scale.astype(np.float32), spread.astype(np.float32)
+    longest = float(np.linalg.norm(vectors, axis=1).max()) if len(vectors) else 0.0
     out_q, out_c, out_s = [], [], []
     for start in range(0, len(queries), 128):
-        estimates = (turned[start : start + 128] @ signs.T) * scale.astype(np.float32)
-        for i, row in enumerate(estimates, start):
-            others = ids != query_ids[i]
-            low = row.astype(np.float64) + at_centre[i]
-            high = low + lengths[i] * spread + 1e-4 * (lengths[i] * length + abs(at_centre[i]))  # and the single precision of estimates
-            first = np.flatnonzero(others)
-            if len(first) > k:
+        estimates = (turned[start : start + 128] @ signs.T) * single
+        for i, low in enumerate(estimates, start):
+            query, room = queries[i], 1e-4 * lengths[i] * longest  # what single precision may take from an estimate
+            low[ids == query_ids[i]] = -np.inf
+            if len(ids) > k:
                 # The k most promising are scored; what can't reach the least of them is left out.
-                promising = first[np.argpartition(-low[first], k - 1)[:k]]
-                worst = exact_scores(queries[i], vectors[promising]).min()
-                first = first[high[first] >= worst]
-            scores = exact_scores(queries[i], vectors[first])
+                promising = np.argpartition(low, -k)[-k:]
+                worst = (vectors[promising] @ query).min() if (low[promising] > -np.inf).all() else -np.inf
+                first = np.flatnonzero((low + np.float32(lengths[i]) * wide >= worst - at_centre[i] - room) & (low > -np.inf))
+                scores = vectors[first] @ query
+                # Only what rounding could bring among the k best is summed in the order that the result is defined by.
+                first = first[scores >= np.partition(scores, -k)[-k] - 1e-10 * lengths[i] * longest] if len(first) > k else first
+            else:
+                first = np.flatnonzero(low > -np.inf)
+            scores = exact_scores(query, vectors[first])
             best = np.lexsort((ids[first], -scores))[:k]
             out_q.append(np.full(len(best), i))
             out_c.append(first[best])
