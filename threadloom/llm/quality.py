@@ -155,6 +155,7 @@ def fit(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "t
     rated = ratings.where(F.col(grade).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(grade).alias("__g"))
     n = rated.count()
     some = rated.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * rows / max(1, n))))
+    some = F.broadcast(some.limit(2 * rows))  # bounded by the parameter, so texts needn't be shuffled to meet it
     taken = docs.select(key, F.col(text).alias("__t")).where("__t is not null").join(some, key).select("__g", _slices(F.col("__t")).alias("__t"), F.xxhash64(key, "__t").alias("__o"))
     found = taken.limit(2 * rows).collect()
     found.sort(key=lambda r: r["__o"])
