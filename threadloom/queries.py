@@ -77,6 +77,17 @@ def query_terms(spark, sf):
     return _t(spark, sf, "conversations").where(whole <= text.MAX_TERMS).select("conv_id", "turn", F.array_join(F.array_sort(found), " ").alias("terms"))
 
 
+@query("query_terms_all", rf"""
+    WITH c AS (SELECT row_number() OVER () AS rn, conv_id, turn, regexp_extract_all(lower(text), '{text.TERM}') AS found FROM conversations),
+    placed AS (SELECT rn, unnest(found) AS term, unnest(range(len(found))) AS place FROM c),
+    ranked AS (SELECT rn, term, row_number() OVER (PARTITION BY rn ORDER BY min(place)) AS rank FROM placed GROUP BY rn, term),
+    joined AS (SELECT rn, array_to_string(list_sort(list(term)), ' ') AS terms FROM ranked WHERE rank <= {text.MAX_TERMS} GROUP BY rn)
+    SELECT conv_id, turn, CASE WHEN found IS NOT NULL THEN coalesce(terms, '') END AS terms FROM c LEFT JOIN joined USING (rn)""")
+def query_terms_all(spark, sf):
+    """Every turn, with the first terms in order of appearance; ``query_terms`` has only turns of at most ``MAX_TERMS``."""
+    return _t(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(text.terms(F.col("text"))), " ").alias("terms"))
+
+
 @query("chunk_rank_topk", f"SELECT conv_id, position::INT AS position, score::INT AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, position) AS rank FROM (SELECT *, ({_SCORE_SQL}) AS score FROM ({_ENTRIES_SQL})) WHERE score > 0) WHERE rank <= 3")
 def chunk_rank_topk(spark, sf):
     return chunks.rank(_entries(spark, sf), TERMS, "conv_id").where("rank <= 3").select("conv_id", "position", "score", "rank")
