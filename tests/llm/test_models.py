@@ -202,6 +202,17 @@ def test_language_id(spark):
     assert labels.count("en") in range(17, 24) and labels[0] == "en" and labels[-1] == "de"
 
 
+def test_more_than_64_languages(spark):
+    names = [f"l{k:02}" for k in range(70)]
+    own = lambda k: [f"{chr(97 + k // 9)}{c}{chr(97 + k % 9)}{c}x" for c in "aeiouy"]
+    rows = [(k * 8 + j, " ".join(np.random.default_rng(k * 8 + j).choice(own(k), 30)), names[k]) for k in range(70) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.col("doc_id") % 8 != 0)
+    assert model.labels == names
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.label(docs.where("doc_id % 8 = 0"), model).collect()}
+    assert [out[k * 8] for k in range(70)] == names
+
+
 def test_marginals_by_enumeration():
     draw = np.random.default_rng(0)
     emit, lengths = draw.normal(size=(9, 3)).astype(np.float32), np.array([2, 4, 3])

@@ -8,7 +8,8 @@ language is the one with the largest mean marginal over its words; that mean is
 Training: the words of a document are labelled with the document's language; half of the sequences are put together
 from pieces of two documents, so that transitions are learned. The sample is bounded (``TEXTS`` a language in
 expectation, ``SLICES`` slices of ``SLICE`` characters from all over a text). Prediction reads whole texts; a text
-of more than ``SEGMENT`` words is decoded in segments of that many, which bounds memory.
+of more than ``SEGMENT`` words is decoded in segments of that many, which bounds memory. Every language that the
+learned rows have is a label; a model takes half a megabyte for each, and training several.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; without any labelled text everything
 is ``und``; a single label gets score 1; repeated rows are each labelled; an empty table gives an empty result;
@@ -109,15 +110,18 @@ class Words:
 class Model:
     labels: list[str]
     weights: np.ndarray  # of hashed features
-    lexicon: np.ndarray  # bit mask of languages for each hashed word
+    lexicon: np.ndarray  # languages of each hashed word: bits of as many 64-bit numbers as the labels take
     lexical: np.ndarray  # weights of (lexicon's language, label)
     start: np.ndarray
     move: np.ndarray
 
     def emissions(self, seq: Words) -> np.ndarray:
-        held = self.lexicon[seq.ids[-1]]
-        bits = (held[:, None] >> np.arange(len(self.labels), dtype=np.uint64)) & np.uint64(1)
-        return seq.emissions(self.weights) + bits.astype(np.float32) @ self.lexical.astype(np.float32)
+        return seq.emissions(self.weights) + self.held(seq).astype(np.float32) @ self.lexical.astype(np.float32)
+
+    def held(self, seq: Words) -> np.ndarray:
+        """Ones where the lexicon of a label has a word: (words, labels)."""
+        at = np.arange(len(self.labels))
+        return (self.lexicon[seq.ids[-1]][:, at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
 
 
 def marginals(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,20 +153,21 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np
 
 def train(samples: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -> Model:
     """From (language, text) pairs, in their order; the same pairs give the same model."""
-    labels = sorted({lang for lang, _ in samples})[:64]
+    labels = sorted({lang for lang, _ in samples})
     size, k = 1 << BITS, len(labels)
-    model = Model(labels, np.zeros((size, k), dtype=np.float32), np.zeros(size, dtype=np.uint64), np.zeros((k, k)), np.zeros(k), np.zeros((k, k)))
+    model = Model(labels, np.zeros((size, k), dtype=np.float32), np.zeros((size, (k + 63) // 64), dtype=np.uint64), np.zeros((k, k)), np.zeros(k), np.zeros((k, k)))
     if k < 2:
         return model
     draw = np.random.default_rng(seed)
-    pieces = [(labels.index(lang), w[i : i + SEQUENCE]) for lang, text in samples if lang in labels for w in [words(text)] for i in range(0, len(w), SEQUENCE)]
+    at = {lang: label for label, lang in enumerate(labels)}
+    pieces = [(at[lang], w[i : i + SEQUENCE]) for lang, text in samples for w in [words(text)] for i in range(0, len(w), SEQUENCE)]
     uses = np.zeros((size, k))
     for label, ws in pieces:
         uses[:, label] += np.bincount(Words(ws).ids[-1], minlength=size)
     total = uses.sum(axis=1)
     for label in range(k):
         inside = (uses[:, label] >= LEXICON_USES) & (uses[:, label] >= LEXICON_SHARE * total)
-        model.lexicon[inside] |= np.uint64(1 << label)
+        model.lexicon[inside, label >> 6] |= np.uint64(1 << (label & 63))
     sums = [np.full_like(x, 1e-6, dtype=np.float64) for x in (model.weights, model.lexical, model.start, model.move)]
     for _ in range(epochs):
         order = draw.permutation(len(pieces))
@@ -187,8 +192,7 @@ def train(samples: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -
             follows[firsts] = False
             seen = np.zeros((k, k))
             np.add.at(seen, (gold[:-1][follows[1:]], gold[1:][follows[1:]]), 1)
-            held = ((model.lexicon[seq.ids[-1]][:, None] >> np.arange(k, dtype=np.uint64)) & np.uint64(1)).astype(float)
-            steps = (seq.gradient(miss, size), held.T @ miss, miss[firsts].sum(axis=0), seen - moves)
+            steps = (seq.gradient(miss, size), model.held(seq).astype(float).T @ miss, miss[firsts].sum(axis=0), seen - moves)
             for value, grad, total_sq in zip((model.weights, model.lexical, model.start, model.move), steps, sums, strict=True):
                 grad = grad / len(batch)
                 total_sq += grad**2
@@ -237,10 +241,11 @@ def predict(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = TEXTS) -> Model:
     """Learns from rows that ``learn`` selects and whose language is known; the same rate of each language's rows."""
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}  # at most 64 labels
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     if not counts:
         return train([])
-    rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1_000_000, 1_000_000 * texts // n))) for k, n in counts.items()], F.lit(0))
+    rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000, max(1, 1_000_000 * texts // n)))])
+    rate = F.try_element_at(rates, F.col("lang"))
     room = F.length("t") - SLICE
     parts = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(F.col("t"), 1 + F.floor(i * room / (SLICES - 1)).cast("int"), F.lit(SLICE)))
     some = known.where(F.pmod(F.xxhash64("k", F.lit(1)), F.lit(1_000_000)) < rate).select("lang", F.xxhash64("k", "t").alias("o"), F.when(F.length("t") <= SLICE * SLICES, F.array("t")).otherwise(parts).alias("parts"))
@@ -251,7 +256,7 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
 def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score to every row. Nothing but the text is looked at."""
     rest = shared.names_free(docs, *ADDED)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: 2^BITS weights a label, 64 labels at most
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights a label, whatever the rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
