@@ -202,6 +202,33 @@ def test_language_id(spark):
     assert labels.count("en") in range(17, 24) and labels[0] == "en" and labels[-1] == "de"
 
 
+def test_runs_of_languages(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, prose(("en", "de")[k % 2], k), ("en", "de")[k % 2]) for k in range(120)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    one, two = prose("en", 1, 20), prose("de", 2, 20)
+    texts = ["İ, " + one + " " + two, None, "12 !!", "", one]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in langid.label(df, model, runs=True).collect()}
+    assert [(out[k]["lang_pred"], out[k]["score"]) for k in range(5)] == langid.predict(texts, model)
+    assert all(out[k]["runs"] == [] for k in (1, 2, 3)) and [r["lang"] for r in out[4]["runs"]] == ["en"]
+    seq = langid.Words(langid.words(texts[0]))
+    found, _ = langid.marginals(model.emissions(seq), np.array([seq.n]), model.start, model.move)
+    want, at = [], 0
+    for lang, ws in itertools.groupby(zip(found.argmax(axis=1), langid.words(texts[0]), found.max(axis=1), strict=True), key=lambda x: model.labels[x[0]]):
+        ws = list(ws)
+        want.append((lang, [w for _, w, _ in ws], sum(p for *_, p in ws) / len(ws)))
+    assert {"en", "de"} == {lang for lang, *_ in want} and len(out[0]["runs"]) == len(want)
+    for r, (lang, ws, p) in zip(out[0]["runs"], want, strict=True):
+        assert r["lang"] == lang and abs(r["marginal"] - p) < 1e-9
+        assert langid.words(texts[0][r["start"] : r["end"]]) == ws
+        assert r["start"] >= at
+        at = r["end"]
+    assert abs(out[0]["runs"][-1]["start"] - texts[0].index(two)) < 20 and out[0]["runs"][-1]["end"] == len(texts[0]) - 1
+    monkeypatch.setattr(langid, "PART", langid.SEGMENT)
+    long = prose("de", 3, 3000)
+    assert [(r["lang"], r["start"], r["end"]) for r in langid._decode([long], model, True)[1][0]] == [("de", 0, len(long) - 1)]
+
+
 def test_more_than_64_languages(spark):
     names = [f"l{k:02}" for k in range(70)]
     own = lambda k: [f"{chr(97 + k // 9)}{c}{chr(97 + k % 9)}{c}x" for c in "aeiouy"]

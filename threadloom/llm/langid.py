@@ -1,7 +1,7 @@
 """Language identification of words by a linear-chain conditional random field.
 
 Each word of a text gets a label by forward-backward over learned transitions, so that code-switched texts come
-apart into their languages. A word's features are its character n-grams of UTF-8 bytes with marked word ends (so
+apart into their languages (``label`` with ``runs``). A word's features are its character n-grams of UTF-8 bytes with marked word ends (so
 those at an end are its affixes), the word itself, and the languages whose learned lexicon has it. A text's
 language is the one with the largest mean marginal over its words; that mean is the score.
 
@@ -42,6 +42,8 @@ EPOCHS, RATE = 4, 0.3
 BATCH, PART = 100_000, 64 * SEGMENT
 NONE = "und"
 ADDED = ("lang_pred", "score")
+#: What ``label`` adds on request: runs of words of one language, with code point offsets and their mean marginal.
+RUNS = ("runs", "array<struct<start: int, end: int, lang: string, marginal: double>>")
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MASK = np.uint64((1 << BITS) - 1)
@@ -52,6 +54,16 @@ def words(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
+def places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``words(text)`` starts and ends in the text, in code points."""
+    low = text.lower()
+    found = np.array([m.span() for m in _LETTERS.finditer(low)], dtype=np.int64).reshape(-1, 2)
+    if len(low) != len(text):  # lower-casing may make two code points of one
+        origin = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+        found = np.stack([origin[found[:, 0]], origin[found[:, 1] - 1] + 1], axis=1)
+    return found[:, 0], found[:, 1]
+
+
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     x = (x + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)
@@ -200,12 +212,13 @@ def train(samples: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -
     return model
 
 
-def predict(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
-    """Language and score of whole texts."""
+def _decode(texts: list[str | None], model: Model, runs: bool) -> tuple[list[tuple[str, float]], list[list[dict]]]:
+    """Language and score of whole texts, and with ``runs`` their words' labels, all from one forward-backward pass."""
     out: list[tuple[str, float]] = [(NONE, 0.0)] * len(texts)
     if not model.labels:
-        return out
+        return out, [[] for _ in texts]
     sums, counts = np.zeros((len(texts), len(model.labels))), np.zeros(len(texts))
+    own: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]  # of each part: words' labels and marginals
     waiting: list[tuple[int, list[str]]] = []
     held = 0
 
@@ -217,9 +230,14 @@ def predict(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
         lengths = np.array([min(SEGMENT, len(ws) - i) for _, ws in waiting for i in range(0, len(ws), SEGMENT)])
         found, _ = marginals(model.emissions(seq), lengths, model.start, model.move)
         sizes = np.array([len(ws) for _, ws in waiting])
-        for (i, _), m, n in zip(waiting, np.add.reduceat(found, np.cumsum(sizes) - sizes, axis=0), sizes, strict=True):
+        begins = np.cumsum(sizes) - sizes
+        best = found.argmax(axis=1) if runs else None
+        for (i, _), m, at, n in zip(waiting, np.add.reduceat(found, begins, axis=0), begins, sizes, strict=True):
             sums[i] += m
             counts[i] += n
+            if runs:
+                mine = best[at : at + n]
+                own[i].append((mine, found[np.arange(at, at + n), mine]))
         waiting.clear()
         held = 0
 
@@ -235,7 +253,22 @@ def predict(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
         means = sums[i] / counts[i]
         best = int(np.argmax(np.round(means, 12)))
         out[i] = (model.labels[best], float(min(1.0, means[best])))
-    return out
+    return out, [_runs(texts[i], parts, model.labels) if parts else [] for i, parts in enumerate(own)]
+
+
+def _runs(text: str, parts: list[tuple[np.ndarray, np.ndarray]], labels: list[str]) -> list[dict]:
+    """Runs of words with the same label, in order."""
+    best, marginal = (np.concatenate(x) for x in zip(*parts, strict=True))
+    starts, ends = places(text)
+    first = np.flatnonzero(np.diff(best, prepend=-1))
+    count = np.diff(first, append=len(best))
+    means = np.minimum(1.0, np.add.reduceat(marginal, first) / count)
+    return [{"start": int(starts[f]), "end": int(ends[f + n - 1]), "lang": labels[best[f]], "marginal": float(m)} for f, n, m in zip(first, count, means, strict=True)]
+
+
+def predict(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
+    """Language and score of whole texts."""
+    return _decode(texts, model, False)[0]
 
 
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = TEXTS) -> Model:
@@ -253,18 +286,23 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     return train([(r["lang"], p) for r in found for p in r["parts"]])
 
 
-def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score to every row. Nothing but the text is looked at."""
-    rest = shared.names_free(docs, *ADDED)
+def label(docs: DataFrame, model: Model, text: str = "text", runs: bool = False) -> DataFrame:
+    """Adds lang_pred and score to every row, and with ``runs`` its words' labels, as runs of words of one language.
+
+    Nothing but the text is looked at. A text without a letter, and any text if there is no label, has no run.
+    """
+    rest = shared.names_free(docs, *ADDED, *RUNS[:1] if runs else ())
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights a label, whatever the rows
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("marginal", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = predict(batch.column(batch.schema.get_field_index(text)).to_pylist(), shipped.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*batch.schema.names, *ADDED])
+            found, parted = _decode(batch.column(batch.schema.get_field_index(text)).to_pylist(), shipped.value, runs)
+            added = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())] + ([pa.array(parted, kind)] if runs else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *ADDED, *RUNS[:1]][: len(batch.columns) + len(added)])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return rest.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return rest.mapInArrow(run, f"{kinds}, lang_pred string, score double" + (f", {' '.join(RUNS)}" if runs else ""))
 
 
 def fold(key: str = "doc_id") -> Column:
