@@ -5,7 +5,7 @@ each result as Parquet in the shared folder and reads it back as the next stage'
 return the columns of documents.
 
 Edge cases are those of the operators: a null or empty text has no word and is rejected by the first stage; of
-documents without id none is taken for another's copy; a stage without rows hands on none.
+copies without id one stays, if none has an id; a stage without rows hands on none.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each component of linked fingerprints."""
-    return simhash.dedupe(docs).select(*docs.columns)
+    """Keeps exactly one row, that with the smallest id, of each component of linked fingerprints."""
+    return simhash.one_each(docs).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

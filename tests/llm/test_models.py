@@ -91,6 +91,25 @@ def test_simhash_edges(spark):
     assert simhash.cluster(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    text = " ".join(f"w{k}" for k in range(400))
+    rows = [(5, text, "a"), (3, text.upper(), "a"), (9, text + " more", "b"), (2, "", "a"), (None, None, "a"), (None, "no id here", "a"), (None, "no id here", "b"), (None, "NO id here", "a")]
+    rows += [(4, "alone here", "a"), (4, "alone here", "b"), (4, "alone here", "a"), (9, "clean text of a repeated id", "a"), (5, "another clean one", "c"), (11, LONG, "a"), (None, LONG, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    prints = [plain_print(t) for _, t, _ in rows]
+    groups = roots(len(rows), [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    import corpus_pipeline
+
+    out = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert set(out) <= set(rows)
+    found = [groups[rows.index(r)] for r in out]
+    assert sorted(found) == sorted(set(groups))
+    for r, g in zip(out, found, strict=True):
+        assert r[0] == min((rows[k][0] for k in range(len(rows)) if groups[k] == g and rows[k][0] is not None), default=None)
+    assert [r[0] for r in out if "clean" in (r[1] or "")].count(9) == 1
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
+
+
 def test_nearest_neighbours(spark):
     draw = np.random.default_rng(3)
     vectors = draw.standard_normal((700, 16)).astype(np.float32)

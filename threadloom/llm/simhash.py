@@ -69,7 +69,7 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [fingerprint(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -238,13 +238,18 @@ def links(codes: DataFrame, folder: str, bucket: int = BUCKET) -> DataFrame:
         keyed = rows.select("fp", F.explode(F.slice(finer, F.col("t") * 4 + 1, 4)).alias("p")).select("fp", "p.t", "p.k")
 
 
+def _rooted(codes: DataFrame, folder: str, bucket: int) -> DataFrame:
+    """(fp, least, root): the distinct codes, each with the least fingerprint of its component."""
+    stars = shared.materialize(components.connected(links(codes.select("fp"), folder, bucket), folder), folder, "stars")
+    return codes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``."""
     folder = shared.work_dir(docs.sparkSession)
     prints = shared.materialize(fingerprints(docs, key, text), folder, "fingerprints")
     codes = shared.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), folder, "codes")
-    stars = shared.materialize(components.connected(links(codes.select("fp"), folder, bucket), folder), folder, "stars")
-    rooted = codes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(codes, folder, bucket)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -255,6 +260,35 @@ def dedupe(docs: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
     return docs.join(gone, key, "left_anti")
 
 
+def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """``docs`` with exactly one row of each component: that with the smallest id (none comes last), then text hash.
+
+    Rows that agree in both are counted, and only those are compared as a whole, by a hash of all columns. The rest
+    is told apart by (id, text hash), so a text stays though its id repeats with another text.
+    """
+    folder = shared.work_dir(docs.sparkSession)
+    ids, hashed = F.col(key).cast("long"), F.xxhash64(F.col(text))
+    rows = docs.select(ids.alias("doc_id"), F.col(text).alias("text"), hashed.alias("text_hash"))
+    prints = rows.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
+    pieces = shared.materialize(prints.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), folder, "pieces")
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    codes = shared.materialize(pieces.groupBy("fp").agg(F.min(own).alias("least")), folder, "codes")
+    rooted = _rooted(codes, folder, bucket)
+    kept = rooted.groupBy("root").agg(F.min("least").alias("kept"))
+    chosen = rooted.join(kept, "root").select("fp", "kept")
+    same = F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.text_hash") == F.col("text_hash"))
+    marked = pieces.join(chosen, "fp").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n", same.alias("stays"))
+    gone = shared.materialize(marked.where(~F.col("stays") | (F.col("n") > 1)), folder, "gone")
+    at = ids.eqNullSafe(F.col("__id")) & (hashed == F.col("__hash"))
+    single = docs.join(gone, at, "left_anti")
+    repeated = gone.where("stays")
+    if repeated.isEmpty():
+        return single
+    copies = docs.join(repeated, at, "left_semi").groupBy(ids.alias("__id"), hashed.alias("__hash"))
+    one = copies.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return single.unionByName(one)
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     found = cluster(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
