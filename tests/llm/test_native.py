@@ -171,3 +171,15 @@ def test_license_scan(spark, broadcast):
     assert out == sorted([(1, "mit-notice"), (1, "mit-notice"), (2, ""), (3, ""), (4, ""), (5, "apache-2.0,apache-2.0-notice"), (6, "apache-2.0,apache-2.0-notice"), (None, "cc-by-nc-4.0-notice"), (7, ""), (8, "mit")], key=repr)
     assert license_scan.scan(df.limit(0)).count() == 0
     assert all((1 - license_scan.likeness(c)) ** license_scan.bands(c) <= 1 - license_scan.RECALL for c in (1, 2, 4, 8, 64))
+
+
+def test_license_templates_tell_versions_apart(spark):
+    free = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+    other = {"gpl-2.0": ("General Public License", "2"), "gpl-3.0": ("General Public License", "3"), "lgpl-2.1": ("Lesser General Public License", "2.1"), "lgpl-3.0-notice": ("Lesser General Public License", "3"), "agpl-3.0": ("Affero General Public License", "3")}
+    want = {free.format(*v): k for k, v in other.items()} | {f"This work is licensed under the GNU General Public License, version {v}.": f"gpl-{v}.0-notice" for v in (2, 3)}
+    want |= {t: k for k, t in license_scan.TEMPLATES.items()}
+    want[license_scan.TEMPLATES["apache-2.0"]] = "apache-2.0,apache-2.0-notice"
+    texts = sorted(want)
+    out = license_scan.scan(spark.createDataFrame([(k, "before it all " + t + " and after") for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {texts[r["doc_id"]]: r["licenses"] for r in out} == want
+    assert {"mpl-2.0", "isc", "zlib", "unlicense", "cc0-1.0", "cc-by-sa-4.0", "cc-by-nd-4.0"} <= set(license_scan.TEMPLATES)

@@ -35,14 +35,31 @@ BROADCAST = 500_000
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-3.0-notice": "under the GNU General Public License, version 3",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
     "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "gpl-2.0-notice": "under the GNU General Public License, version 2",
+    "lgpl-3.0": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "cc0-1.0-notice": "has waived all copyright and related or neighboring rights to",
+    "cc0-1.0": "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s)",
 }
+# The notices of the GNU licenses stand in their full texts too. Each part is so short that another name or version leaves less than CONTAINMENT of it.
+_GNU = "the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License"
+TEMPLATES |= {k: _GNU.format(name, version) for k, name, version in (("gpl-2.0", "", "2"), ("gpl-3.0", "", "3"), ("lgpl-2.1", "Lesser ", "2.1"), ("lgpl-3.0-notice", "Lesser ", "3"), ("agpl-3.0", "Affero ", "3"))}
+# Creative Commons: the short notice, the long one, and a passage of the full text. ``cc-by-4.0-notice`` and ``cc-by-nc-4.0-notice`` are above.
+for _k, _name in (("by", ""), ("by-sa", "-ShareAlike"), ("by-nd", "-NoDerivatives"), ("by-nc", "-NonCommercial"), ("by-nc-sa", "-NonCommercial-ShareAlike"), ("by-nc-nd", "-NonCommercial-NoDerivatives")):
+    TEMPLATES[f"cc-{_k}-4.0"] = f"the terms and conditions of this Creative Commons Attribution{_name} 4.0 International Public License"
+    TEMPLATES[f"cc-{_k}-4.0-short"] = f"Licensed under CC {_k.upper()} 4.0."
+    TEMPLATES[f"cc-{_k}-4.0-long"] = f"This work is licensed under a Creative Commons Attribution{_name} 4.0 International License."
+del TEMPLATES["cc-by-4.0-long"], TEMPLATES["cc-by-nc-4.0-short"]
 
 
 def likeness(size: int) -> float:
