@@ -147,6 +147,19 @@ def test_decontamination(spark, broadcast):
     assert sorted(out, key=repr) == sorted(((id, *plain_report(t, ITEMS)) for id, t in DOCS), key=repr)
 
 
+def test_decontamination_of_shared_prompts(spark):
+    """Thousands of items share a passage, and a text holds it thousands of times."""
+    items = [(k, PASSAGE) for k in range(3000)] + [(5000, "own words of one item only and some more of them"), (5001, PASSAGE + " tail")]
+    rows = [(1, (PASSAGE + " ") * 3000 + "end"), (2, PASSAGE), (3, "x " + PASSAGE + " tail y"), (4, "own words of one item only and some more of them"), (5, "clean")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"]) for r in decontam.report(docs, bench).collect()}
+    digest = lambda ids: hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
+    every = [*range(3000), 5001]
+    assert out == {1: (36000, 3001, digest(every)), 2: (12, 3001, digest(every)), 3: (13, 3001, digest(every)), 4: (11, 1, digest([5000])), 5: (0, 0, digest([]))}
+    cut = {r["doc_id"]: r["text"] for r in decontam.clean(docs, bench, remove="spans").collect()}
+    assert cut == {1: "end", 2: "", 3: "x y", 4: "", 5: "clean"}
+
+
 def test_decontamination_removes(spark):
     docs, items = frames(spark)
     kept = decontam.clean(docs, items)
@@ -160,19 +173,30 @@ def test_decontamination_removes(spark):
     assert decontam.report(docs.limit(0), items).count() == 0
 
 
-@pytest.mark.parametrize("broadcast", [license_scan.BROADCAST, 0])
-def test_license_scan(spark, broadcast):
+@pytest.mark.parametrize("literal,broadcast", [(license_scan.LITERAL, license_scan.BROADCAST), (0, license_scan.BROADCAST), (0, 0)])
+def test_license_scan(spark, literal, broadcast):
     apache = license_scan.TEMPLATES["apache-2.0"]
     words = apache.split()
     damaged = " ".join(words[:12] + words[13:])
     rows = [(1, "x y " + license_scan.TEMPLATES["mit-notice"] + " z"), (1, "x y " + license_scan.TEMPLATES["mit-notice"] + " z"), (2, None), (3, ""), (4, "released under the"), (5, LONG + apache.upper() + LONG), (6, "a b c " + damaged), (None, "Licensed under CC BY-NC 4.0."), (7, "word " * 500), (8, license_scan.TEMPLATES["mit"])]
     df = spark.createDataFrame([(a, b, "c") for a, b in rows], "doc_id long, text string, licenses string")
-    out = sorted(((r["doc_id"], r["licenses"]) for r in license_scan.scan(df, broadcast=broadcast).collect()), key=repr)
+    out = sorted(((r["doc_id"], r["licenses"]) for r in license_scan.scan(df, literal=literal, broadcast=broadcast).collect()), key=repr)
     assert out == sorted([(1, "mit-notice"), (1, "mit-notice"), (2, ""), (3, ""), (4, ""), (5, "apache-2.0,apache-2.0-notice"), (6, "apache-2.0,apache-2.0-notice"), (None, "cc-by-nc-4.0-notice"), (7, ""), (8, "mit")], key=repr)
     assert license_scan.scan(df.limit(0)).count() == 0
     assert all((1 - license_scan.likeness(c)) ** license_scan.bands(c) <= 1 - license_scan.RECALL for c in (1, 2, 4, 8, 64))
 
 
+@pytest.mark.parametrize("literal", [license_scan.LITERAL, 0])
+def test_license_scan_of_texts_full_of_notices(spark, literal, monkeypatch):
+    """Every word is part of a notice: windows are cut once each, within blocks, and none is missed at a block's end."""
+    monkeypatch.setattr(license_scan, "BLOCK", 256)
+    notice, mit = license_scan.TEMPLATES["apache-2.0-notice"], license_scan.TEMPLATES["mit"]
+    rows = [(k, "word " * k + mit + " word" * 300) for k in range(0, 300, 23)] + [(1000, (notice + " ") * 4000), (1001, (mit + " ") * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["licenses"] for r in license_scan.scan(df, literal=literal).collect()}
+    assert out == {k: "mit" for k in range(0, 300, 23)} | {1000: "apache-2.0-notice", 1001: "mit"}
+
+
 def test_license_templates_tell_versions_apart(spark):
     free = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
     other = {"gpl-2.0": ("General Public License", "2"), "gpl-3.0": ("General Public License", "3"), "lgpl-2.1": ("Lesser General Public License", "2.1"), "lgpl-3.0-notice": ("Lesser General Public License", "3"), "agpl-3.0": ("Affero General Public License", "3")}

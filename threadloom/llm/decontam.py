@@ -18,8 +18,11 @@ from . import shared
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words in a text that keeps its capitals.
+CASED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 N = 10
-#: Distinct windows (some 200 bytes each) up to which the set is broadcast; a larger set is joined by shuffle.
+#: Distinct windows up to which the set is broadcast: some 200 bytes each, for a window is sent without its items. A
+#: larger set is joined by shuffle.
 BROADCAST = 1_000_000
 
 
@@ -32,20 +35,31 @@ def _hash(array: Column, at: Column, length: int) -> Column:
     return F.xxhash64(*[F.get(array, at + k) for k in range(length)])
 
 
-def item_windows(benchmark: DataFrame, n: int = N, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct windows of the items: length, hash, words and the items that hold them."""
+def window_items(benchmark: DataFrame, n: int = N, item: str = "item_id", text: str = "text") -> DataFrame:
+    """(length, hash, window, item): which items hold which window, each pair once."""
     items = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     at = items.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda i: F.slice("w", i + 1, n))).alias("window"))
     hashed = F.coalesce(*[F.when(F.size("window") == k, _hash(F.col("window"), F.lit(0), k)) for k in range(1, n + 1)])
-    return at.groupBy("window").agg(F.collect_set("item").alias("items")).select(F.size("window").alias("length"), hashed.alias("hash"), "window", "items")
+    return at.distinct().select(F.size("window").alias("length"), hashed.alias("hash"), "window", "item")
+
+
+def item_windows(benchmark: DataFrame, n: int = N, item: str = "item_id", text: str = "text") -> DataFrame:
+    """Distinct windows of the items: length, hash, words and kind. Windows that the same items hold are of one kind.
+
+    A kind is a digest of the items' number, sum and exclusive or of hashes, so no list of items is ever put together
+    for a window, however many items share it.
+    """
+    each = F.xxhash64("item")
+    kind = F.md5(F.concat_ws(":", F.count(F.lit(1)), F.sum(each.cast("decimal(20,0)")), F.bit_xor(F.xxhash64(F.lit(1), "item"))))
+    return window_items(benchmark, n, item, text).groupBy("length", "hash", "window").agg(kind.alias("kind"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = N, key: str = "doc_id", text: str = "text", broadcast: int = BROADCAST) -> DataFrame:
-    """(key, text_hash, n_words, n_rows, spans, items): one row for each distinct (key, text), hit or not.
+    """(key, text_hash, n_words, n_rows, spans, kinds): one row for each distinct (key, text), hit or not.
 
-    ``n_rows`` counts its repeated rows, ``spans`` has start and length of every verified window. Each document
-    sends one row of its own through the lookup besides those of its hits, so that one scan and one shuffle of
-    such small rows do everything.
+    ``n_rows`` counts its repeated rows, ``spans`` has start and length of every verified window, ``kinds`` the windows'
+    kinds. Each document sends one row of its own through the lookup besides those of its hits, so that one scan and
+    one shuffle of such small rows do everything.
     """
     windows = item_windows(benchmark, n)
     sizes = [(r["length"], r["c"]) for r in windows.groupBy("length").agg(F.count(F.lit(1)).alias("c")).orderBy("length").collect()]  # n rows at most
@@ -66,19 +80,29 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, key: str = "doc_id",
     else:
         # A shuffle would copy the words for every place: places are looked up alone, and hits join their texts again.
         places = probed.where("at >= 0").select("key", "text_hash", "at", "length", "hash").join(windows, ["length", "hash"])
-        hits = places.groupBy("key", "text_hash").agg(F.collect_set(F.struct("at", "length", "window", "items")).alias("hits"))
-        own = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("length"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("items")))
+        hits = places.groupBy("key", "text_hash").agg(F.collect_set(F.struct("at", "length", "window", "kind")).alias("hits"))
+        own = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("length"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("string").alias("kind")))
         joined = read.alias("r").join(hits.alias("h"), F.col("r.key").eqNullSafe(F.col("h.key")) & (F.col("r.text_hash") == F.col("h.text_hash")), "left")
         found = joined.select("r.key", "r.text_hash", "w", F.explode(F.when(F.col("hits").isNull(), own).otherwise(F.concat(own, "hits"))).alias("p")).select("key", "text_hash", "w", "p.*")
     kept = found.where((F.col("at") < 0) | (F.slice("w", F.col("at") + 1, F.col("length")) == F.col("window")))
-    small_rows = kept.select("key", "text_hash", F.size("w").alias("n_words"), "at", F.when(F.col("at") >= 0, F.struct("at", "length")).alias("span"), F.when(F.col("at") >= 0, F.col("items")).alias("held"))
+    small_rows = kept.select("key", "text_hash", F.size("w").alias("n_words"), "at", F.when(F.col("at") >= 0, F.struct("at", "length")).alias("span"), F.when(F.col("at") >= 0, F.col("kind")).alias("kind"))
     return small_rows.groupBy("key", "text_hash", "n_words").agg(
         F.count_if(F.col("at") < 0).alias("n_rows"),
         F.array_sort(F.collect_set("span")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("held")))).alias("items"),
+        F.array_sort(F.collect_set("kind")).alias("kinds"),
     )
 
 
+def held_items(kinds: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
+    """(kinds, items) for rows with an array ``kinds``: the sorted items that hold any of them, put together once for each distinct array."""
+    pairs, windows = window_items(benchmark, n), item_windows(benchmark, n)
+    # Any one window of a kind has the items of all of them.
+    one = windows.groupBy("kind").agg(F.min(F.struct("length", "hash", "window")).alias("o")).select("kind", "o.*")
+    of_kind = pairs.join(one, ["length", "hash", "window"]).select("kind", "item")
+    asked = kinds.select("kinds").distinct().select("kinds", F.explode("kinds").alias("kind"))
+    return asked.join(of_kind, "kind").groupBy("kinds").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
 def covered(spans: Column) -> Column:
     """Number of words inside any of the sorted spans."""
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
@@ -87,16 +111,23 @@ def covered(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
-    """One row for each row of ``docs``: key, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = find(docs, benchmark, key=key, **settings)
+    """One row for each row of ``docs``: key, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Lists of items are put together, counted and digested once for each distinct set of kinds; texts get the figures only.
+    """
+    n = settings.get("n", N)
+    folder = shared.work_dir(docs.sparkSession)
+    found = shared.materialize(find(docs, benchmark, key=key, **settings), folder, "found")
+    digests = held_items(found.where(F.size("kinds") > 0), benchmark, n).select("kinds", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    named = found.join(digests, "kinds", "left")
     n_hit = covered(F.col("spans"))
-    each = found.select("*", F.explode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int"))).alias("__row"))
+    each = named.select("*", F.explode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int"))).alias("__row"))
     return each.select(
         F.col("key").alias(key),
         F.col("n_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
 
@@ -110,20 +141,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", key:
     if remove != "spans":
         raise ValueError("remove is documents or spans")
     joined = docs.alias("d").join(hits.alias("h"), same, "left")
-    tokens = F.regexp_extract_all(F.col(f"d.{text}"), F.lit(WORDS), F.lit(0))
-    gaps = F.split(F.col(f"d.{text}"), WORDS, -1)  # one more than words: before the first, between, after the last
-    # Spans merged into disjoint stretches, as far as they overlap or touch.
-    last = lambda a: F.get(a, F.size(a) - 1)
-    stretch = lambda at, end: F.array(F.struct(at.alias("at"), end.alias("end")))
-    merged = F.aggregate(
-        "h.spans",
-        F.array().cast("array<struct<at:int,end:int>>"),
-        lambda a, s: F.when(last(a)["end"] >= s["at"], F.concat(F.slice(a, 1, F.size(a) - 1), stretch(last(a)["at"], F.greatest(last(a)["end"], s["at"] + s["length"])))).otherwise(F.concat(a, stretch(s["at"], s["at"] + s["length"]))),
-    )
-    keep = lambda i: ~F.exists(merged, lambda m: (i >= m["at"]) & (i < m["end"]))
-    pieces = F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.when(keep(i), F.concat(F.get(tokens, i), F.get(gaps, i + 1))).otherwise(F.lit("")))
-    cut = F.when(F.col("h.spans").isNull(), F.col(f"d.{text}")).otherwise(F.concat(F.get(gaps, F.lit(0)), F.array_join(pieces, "")))
-    return joined.select(*[cut.alias(c) if c == text else F.col(f"d.{c}") for c in docs.columns])
+    tokens = F.regexp_extract_all(F.col(f"d.{text}"), F.lit(CASED), F.lit(0))
+    gaps = F.split(F.col(f"d.{text}"), CASED, -1)  # one more than words: before the first, between, after the last
+    # Linear: positions of hit words, those of all others, and each of these words with the gap that follows it. Tokens
+    # and gaps are named more than once below, so the optimizer keeps them as columns and doesn't repeat them by word.
+    hit = F.flatten(F.transform(F.coalesce("h.spans", F.array().cast("array<struct<at:int,length:int>>")), lambda s: F.sequence(s["at"], s["at"] + s["length"] - 1)))
+    marked = joined.select(*[F.col(f"d.{c}").alias(f"d_{k}") for k, c in enumerate(docs.columns)], tokens.alias("__tokens"), gaps.alias("__gaps"), hit.alias("__hit"))
+    every = F.when(F.size("__tokens") > 0, F.sequence(F.lit(0), F.size("__tokens") - 1)).otherwise(F.array().cast("array<int>"))
+    kept = F.transform(F.array_except(every, "__hit"), lambda i: F.concat(F.get("__tokens", i), F.get("__gaps", i + 1)))
+    own = F.col(f"d_{docs.columns.index(text)}")
+    cut = F.when(F.size("__hit") == 0, own).otherwise(F.concat(F.get("__gaps", F.lit(0)), F.array_join(kept, "")))
+    return marked.select(*[(cut if c == text else F.col(f"d_{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

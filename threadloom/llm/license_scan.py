@@ -11,6 +11,8 @@ A window can only agree with a template in a band if it holds the shingle that i
 shingles are first looked up among those minima, and signatures are computed only for windows that hold one: the
 result is the same as from all windows.
 
+Memory is bounded by blocks of a text, and time is linear in its length, also where every word is part of a notice.
+
 Edge cases: null and empty texts have no licenses; texts shorter than a shingle are one shingle of all their words,
 as are templates; repeated rows are each reported; no template, or an empty table, gives no match; other columns
 take no part.
@@ -28,7 +30,11 @@ from . import decontam, shared
 SHINGLE = 5
 CONTAINMENT = 0.8
 RECALL = 0.999
-#: Rows of the template tables (minima, bands; some 50 bytes each) up to which they are broadcast; larger ones are shuffled.
+#: Words of a block; a power of two, so that every class of windows fits into it without remainder.
+BLOCK = 8192
+#: Rows of the template tables (minima, bands) up to which minima are a hash set within the plan; beyond, a join looks them up.
+LITERAL = 20_000
+#: Rows of the template tables (some 50 bytes each) up to which they are broadcast; larger ones are shuffled.
 BROADCAST = 500_000
 
 # The wording of common license notices.
@@ -97,48 +103,75 @@ def template_table(spark: SparkSession, templates: dict[str, str] | DataFrame) -
     return grams.select("license", doubled.alias("class"), "grams")
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, key: str = "doc_id", text: str = "text", broadcast: int = BROADCAST) -> DataFrame:
+def _windows_held(positions: Column, size: int, step: int) -> Column:
+    """Numbers, within a block, of the windows of a class that hold any of the positions: at most two for each."""
+    shift = size.bit_length() - 1
+    both = F.transform(positions, lambda i: F.array(F.shiftright(i, shift), F.shiftright(i, shift) - 1))
+    return F.filter(F.array_distinct(F.flatten(both)), lambda m: (m >= 0) & (m < step >> shift))
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, key: str = "doc_id", text: str = "text", literal: int = LITERAL, broadcast: int = BROADCAST) -> DataFrame:
     """(key, n_licenses, licenses, n_words) for every row of ``docs``; licenses are sorted and joined by commas.
 
-    Every document sends a row of its own through all steps besides those of its windows, so that one scan does
-    everything; what is shuffled are such small rows and the words of windows that hold a template's minimum.
+    Texts go through in blocks of ``BLOCK`` words, each with as many more as its last windows reach into the next. Within
+    a block the windows to look at are found as numbers, once each, and only then cut out: memory is bounded by the
+    block and time grows with the length, however often a notice is repeated. All that is shuffled are a small row for
+    each text and for each template found.
     """
     known = template_table(docs.sparkSession, templates)
     classes = {r["class"]: r["n"] for r in known.groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy("class").collect()}  # a row for each doubling
-    small = sum(n * max(bands(c), 2 * c) for c, n in classes.items()) <= broadcast
-    near = F.broadcast if small else lambda df: df
+    rows = sum(n * max(bands(c), 2 * c) for c, n in classes.items())
+    near = F.broadcast if rows <= broadcast else lambda df: df
     count = F.coalesce(*[F.when(F.col("class") == c, F.lit(bands(c))) for c in classes], F.lit(None).cast("int"))
     hashes = F.transform("grams", _hash)
-    signed = known.select("license", "class", "grams", hashes.alias("hashes"), F.posexplode(_minima(hashes, count)).alias("band", "value"))
-    minima = signed.select("class", F.explode(F.filter("hashes", lambda h: F.xxhash64(h, F.col("band")) == F.col("value"))).alias("hash"))
-    starts = minima.groupBy("hash").agg(F.sort_array(F.collect_set("class")).alias("sizes"))
+    signed = known.select("license", "class", "grams", hashes.alias("hashes"), _minima(hashes, count).alias("theirs")).select("*", F.posexplode("theirs").alias("band", "value"))
+    minima = signed.select("class", F.explode(F.filter("hashes", lambda h: F.xxhash64(h, F.col("band")) == F.col("value"))).alias("hash")).distinct()
 
+    widest = max(classes, default=1)
+    step = max(BLOCK, widest)
     read = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), decontam.words(F.col(text)).alias("w"))
-    last = F.when(F.size("w") > 0, F.greatest(F.size("w") - SHINGLE, F.lit(0))).otherwise(F.lit(-1))
-    at = read.select("key", "text_hash", "w", F.explode(F.sequence(F.lit(-1), last)).alias("at"))
-    hashed = at.select("*", F.when(F.col("at") >= 0, decontam._hash(F.col("w"), F.col("at"), SHINGLE)).alias("hash"))
-    if small:
-        # Within the broadcast join's code the words go along by reference.
-        held = hashed.join(F.broadcast(starts), "hash", "left").where((F.col("at") < 0) | F.col("sizes").isNotNull())
+    last = F.greatest(F.size("w") - SHINGLE, F.lit(0))
+    cut = F.transform(F.sequence(F.lit(0), F.floor(last / step).cast("int")), lambda b: F.struct((b * step).alias("first"), F.least(last - b * step, F.lit(step + widest - 1)).alias("last"), F.slice("w", b * step + 1, step + widest + SHINGLE - 1).alias("w")))
+    blocks = read.select("key", "text_hash", F.size("w").alias("n_words"), F.explode(cut).alias("b")).select("key", "text_hash", "n_words", "b.*")
+    places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.col("last"))).otherwise(F.array().cast("array<int>"))
+    hash_at = lambda i: decontam._hash(F.col("w"), i, SHINGLE)
+    numbered = lambda c, numbers: F.transform(numbers, lambda m: F.struct(F.lit(c).alias("class"), m.alias("number")))
+    none = F.array().cast("array<struct<class:int,number:int>>")
+    if rows <= literal:
+        of: dict[int, list[int]] = {c: [] for c in classes}
+        for r in minima.collect():  # at most ``literal`` rows
+            of[r["class"]].append(r["hash"])
+        every = sorted({h for hs in of.values() for h in hs})
+        hit = blocks.withColumn("hits", F.filter(places, lambda i: hash_at(i).isin(every)))
+        among = lambda hs: F.filter("hits", lambda i: hash_at(i).isin(hs))
+        held = hit.withColumn("held", F.concat(none, *[numbered(c, _windows_held(among(hs), c, step)) for c, hs in of.items()]))
     else:
-        # A shuffle would copy the words for every place: places are looked up alone, and hits join their texts again.
-        places = hashed.where("at >= 0").select("key", "text_hash", "at", "hash").join(starts, "hash")
-        hits = places.groupBy("key", "text_hash").agg(F.collect_set(F.struct("at", "sizes")).alias("hits"))
-        own = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("array<int>").alias("sizes")))
-        joined = read.alias("r").join(hits.alias("h"), F.col("r.key").eqNullSafe(F.col("h.key")) & (F.col("r.text_hash") == F.col("h.text_hash")), "left")
-        held = joined.select("r.key", "r.text_hash", "w", F.explode(F.when(F.col("hits").isNull(), own).otherwise(F.concat(own, "hits"))).alias("p")).select("key", "text_hash", "w", "p.*")
-    # The windows (class, number) that hold such a place, with just their own words.
-    sized = held.select("key", "text_hash", "w", F.explode_outer("sizes").alias("class"), "at")
-    number = F.when(F.col("at") >= 0, F.filter(F.array(F.floor(F.col("at") / F.col("class")), F.floor(F.col("at") / F.col("class")) - 1), lambda x: x >= 0))
-    windows = sized.select("key", "text_hash", F.size("w").alias("n_words"), "class", F.explode_outer(number).alias("number"), "w")
-    part = F.when(F.col("number").isNotNull(), F.slice("w", (F.col("number") * F.col("class")).cast("int") + 1, 2 * F.col("class") + SHINGLE - 1))
-    distinct = windows.select("key", "text_hash", "n_words", "class", "number", part.alias("part")).groupBy("key", "text_hash", "n_words", "class", "number").agg(F.first("part").alias("part"), F.count(F.lit(1)).alias("n"))
-
-    grams = distinct.select("key", "text_hash", "n_words", "class", F.when(F.col("number").isNull(), F.col("n")).otherwise(0).alias("n"), F.when(F.col("number").isNotNull(), F.array_distinct(shingles(F.col("part")))).alias("part"))
-    banded = grams.select("*", F.posexplode_outer(_minima(F.transform("part", _hash), count)).alias("band", "value"))
-    retrieved = banded.join(near(signed.select("license", "class", "band", "value", "grams")), ["class", "band", "value"], "left")
-    verified = F.when(F.size(F.array_intersect("part", "grams")) >= CONTAINMENT * F.size("grams"), F.col("license"))
-    summed = retrieved.select("key", "text_hash", "n_words", "n", verified.alias("license")).groupBy("key", "text_hash", "n_words").agg(F.sum("n").alias("n"), F.array_sort(F.collect_set("license")).alias("names"))
+        # Places are looked up by a join without their words; windows held meet their blocks again.
+        looked = blocks.select("key", "text_hash", "first", F.posexplode(F.transform(places, hash_at)).alias("i", "hash")).join(near(minima), "hash")
+        number = F.filter(F.array(F.floor(F.col("i") / F.col("class")), F.floor(F.col("i") / F.col("class")) - 1), lambda m: (m >= 0) & (m < F.floor(F.lit(step) / F.col("class"))))
+        spread = looked.select("key", "text_hash", "first", "class", F.explode(number).cast("int").alias("number"))
+        sets = spread.groupBy("key", "text_hash", "first").agg(F.collect_set(F.struct("class", "number")).alias("held"))
+        same = F.col("b.key").eqNullSafe(F.col("s.key")) & F.col("b.text_hash").eqNullSafe(F.col("s.text_hash")) & (F.col("b.first") == F.col("s.first"))
+        held = blocks.alias("b").join(sets.alias("s"), same, "left").select("b.*", F.coalesce("s.held", none).alias("held"))
+    # A row of each text's own goes along with its first block, so that texts without a window stay too.
+    part = lambda s: F.slice("w", s["number"] * s["class"] + 1, 2 * s["class"] + SHINGLE - 1)
+    own = F.array(F.struct(F.lit(None).cast("int").alias("class"), F.lit(1).alias("n"), F.lit(None).cast("array<string>").alias("part")))
+    cuts = F.transform("held", lambda s: F.struct(s["class"].alias("class"), F.lit(0).alias("n"), part(s).alias("part")))
+    windows = held.select("key", "text_hash", "n_words", F.explode(F.when(F.col("first") == 0, F.concat(own, cuts)).otherwise(cuts)).alias("p")).select("key", "text_hash", "n_words", "p.*")
+
+    # Retrieval works on hashes. A window meets a template in many bands: it is verified in the first of them only, by
+    # hashes, and what passes by its words.
+    held_grams = F.size("part") - SHINGLE
+    hashed = windows.select("*", F.when(F.col("class").isNotNull(), F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(held_grams, F.lit(0))), lambda i: decontam._hash(F.col("part"), i, SHINGLE)))).alias("own"))
+    signature = hashed.select("*", _minima(F.col("own"), count).alias("minima"))
+    banded = signature.select("*", F.posexplode_outer("minima").alias("band", "value"))
+    # The text's own row has no band: it is counted once, as windows' rows count nothing.
+    retrieved = banded.join(near(signed), ["class", "band", "value"], "left")
+    first_band = F.array_position(F.zip_with("minima", "theirs", lambda a, b: a == b), True) == F.col("band") + 1
+    enough = lambda shared_ones, of: F.size(shared_ones) >= CONTAINMENT * F.size(of)
+    verified = F.when(F.col("license").isNotNull() & first_band, F.when(enough(F.array_intersect("own", "hashes"), F.col("hashes")), F.when(enough(F.array_intersect(shingles(F.col("part")), "grams"), F.col("grams")), F.col("license"))))
+    found = retrieved.select("key", "text_hash", "n_words", "n", verified.alias("license")).where(F.col("license").isNotNull() | (F.col("n") > 0))
+    summed = found.groupBy("key", "text_hash", "n_words").agg(F.sum("n").alias("n"), F.array_sort(F.collect_set("license")).alias("names"))
     each = summed.select("*", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("__row"))
     return each.select(F.col("key").alias(key), F.size("names").cast("long").alias("n_licenses"), F.array_join("names", ",").alias("licenses"), F.col("n_words").cast("long").alias("n_words"))
 
