@@ -65,16 +65,50 @@ def test_gray_index_finds_all_pairs():
     assert (ranks[1:] > ranks[:-1]).all()
 
 
-@pytest.mark.parametrize("bucket", [4096, 3])
-def test_links_connect_what_pairs_do(spark, bucket):
+@pytest.mark.parametrize("codes_a_range", [8192, 60, 3])
+def test_links_connect_what_pairs_do(spark, codes_a_range):
     codes = cluster_of_codes()
     near = np.argwhere(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 3)
     at = {int(c): k for k, c in enumerate(codes)}
     df = spark.createDataFrame([(int(c) - (1 << 64) if c >= 1 << 63 else int(c),) for c in codes], "fp long")
-    found = [(at[r["a"] % (1 << 64)], at[r["b"] % (1 << 64)]) for r in simhash.links(df, shared.work_dir(spark), bucket).collect()]
+    found = [(at[r["a"] % (1 << 64)], at[r["b"] % (1 << 64)]) for r in simhash.links(df, shared.work_dir(spark), codes_a_range).collect()]
     assert roots(len(codes), found) == roots(len(codes), [tuple(p) for p in near])
 
 
+def test_upper_nodes_prune_only_what_is_far():
+    codes = cluster_of_codes()
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    parts = np.array_split(codes, 40)
+    nodes = [(k, *(int(f.reduce(p).view(np.int64)) for f in (np.bitwise_and, np.bitwise_or))) for k, p in enumerate(parts)]
+    kept = set(simhash.near_ranges(nodes))
+    for i, j in itertools.combinations_with_replacement(range(40), 2):
+        if (np.bitwise_count(parts[i][:, None] ^ parts[j][None, :]) <= 3).any():
+            assert (i, j) in kept
+    assert len(kept) < 40 * 41 / 2
+
+
+def test_links_of_a_hot_range(spark):
+    """100,000 codes within a narrow stretch of the Gray order, against components by flipping bits."""
+    draw = np.random.default_rng(5)
+    low = np.unique(draw.integers(0, 1 << 24, 100_000, dtype=np.uint64))
+    codes = np.unique(np.concatenate([low | np.uint64(0xABCDEF << 40), draw.integers(0, 2**64 - 1, 3000, dtype=np.uint64)]))
+    order = {int(c): k for k, c in enumerate(codes)}
+    flips = [f for n in (1, 2, 3) for f in itertools.combinations(range(24), n)]
+    pairs = []
+    for k in [*range(300), *draw.integers(300, len(flips), 200)]:  # all flips of one and two bits, and some of three
+        flipped = codes ^ np.uint64(sum(1 << b for b in flips[k]))
+        at = np.minimum(np.searchsorted(codes, flipped), len(codes) - 1)
+        found = np.flatnonzero((codes[at] == flipped) & (at > np.arange(len(codes))))
+        pairs.append(np.stack([found, at[found]]))
+    x, y = np.concatenate(pairs, axis=1)
+    assert len(x) > 10_000
+    df = spark.createDataFrame([(int(np.int64(c.view(np.int64))),) for c in codes], "fp long")
+    out = [(order[r["a"] % (1 << 64)], order[r["b"] % (1 << 64)]) for r in simhash.links(df, shared.work_dir(spark)).collect()]
+    assert all((int(codes[a]) ^ int(codes[b])).bit_count() <= 3 for a, b in out)
+    mine = np.array(roots(len(codes), out))
+    assert (mine[x] == mine[y]).all()
+
+
 def test_simhash_edges(spark):
     text = " ".join(f"w{k}" for k in range(400))
     rows = [(5, text), (3, text.upper()), (9, text + " more"), (7, None), (2, ""), (8, " \n"), (None, None), (None, "alone here now"), (4, "alone here"), (4, "alone here"), (11, LONG)]
@@ -87,7 +121,7 @@ def test_simhash_edges(spark):
     assert sorted(out, key=repr) == sorted(((rows[k][0], prints[k], least[groups[k]]) for k in range(len(rows))), key=repr)
     kept = simhash.dedupe(df)
     assert kept.columns == df.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([2, 3, 4, 4, 11, None, None], key=repr)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([2, 3, 4, 11, None], key=repr)
     assert simhash.cluster(df.limit(0)).count() == 0
 
 
@@ -108,6 +142,10 @@ def test_one_row_of_each_component(spark):
         assert r[0] == min((rows[k][0] for k in range(len(rows)) if groups[k] == g and rows[k][0] is not None), default=None)
     assert [r[0] for r in out if "clean" in (r[1] or "")].count(9) == 1
     assert corpus_pipeline.drop_near_copies(spark, df.limit(0), "").count() == 0
+    clash = spark.createDataFrame([(3, "b b b b"), (5, "a a a a"), (5, "b b b b")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.dedupe(clash).collect()) == [(3, "b b b b"), (5, "a a a a")]
+    same = spark.createDataFrame([(7, "x y z"), (7, "x y z")], "doc_id long, text string")
+    assert [tuple(r) for r in simhash.dedupe(same).collect()] == [(7, "x y z")]
 
 
 def test_nearest_neighbours(spark):

@@ -149,7 +149,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, key
         # Places are looked up by a join without their words; windows held meet their blocks again.
         looked = blocks.select("key", "text_hash", "first", F.posexplode(F.transform(places, hash_at)).alias("i", "hash")).join(near(minima), "hash")
         number = F.filter(F.array(F.floor(F.col("i") / F.col("class")), F.floor(F.col("i") / F.col("class")) - 1), lambda m: (m >= 0) & (m < F.floor(F.lit(step) / F.col("class"))))
-        spread = looked.select("key", "text_hash", "first", "class", F.explode(number).cast("int").alias("number"))
+        spread = looked.select("key", "text_hash", "first", "class", F.explode(number.cast("array<int>")).alias("number"))
         sets = spread.groupBy("key", "text_hash", "first").agg(F.collect_set(F.struct("class", "number")).alias("held"))
         same = F.col("b.key").eqNullSafe(F.col("s.key")) & F.col("b.text_hash").eqNullSafe(F.col("s.text_hash")) & (F.col("b.first") == F.col("s.first"))
         held = blocks.alias("b").join(sets.alias("s"), same, "left").select("b.*", F.coalesce("s.held", none).alias("held"))

@@ -4,24 +4,29 @@ A fingerprint has 64 bits; a bit is set if it is set in more than half of the ha
 Fingerprints that differ in at most three bits are linked. Copies share a fingerprint, so links are sought among
 distinct fingerprints only, each with its smallest id.
 
-To be linked, two fingerprints must agree in one of four quarters, and within the other 48 bits in one of four
-parts: sixteen tables of 28-bit keys hold every link (pigeonhole principle). A key's fingerprints are searched
-with the hierarchical index; keys with many fingerprints are parted again by the bits that are still free, which
-bounds what a task holds, whatever the data: after the last parting at most 21 bits are free. A bucket reports
-links that span its components rather than all pairs, so a large group of near copies doesn't grow quadratically.
+The index: codes are sorted by Gray rank across the cluster, so that neighbours in that order share many bits, and
+cut into ranges, which are written as tables. Above a range stands an upper node with the bits that all its codes
+share; within it nodes factor out shared bits in the same way, down to single codes. A search for all links sends
+each range's codes through the nodes of every range: pairs of ranges whose upper nodes differ in more than three
+shared bits are pruned as a whole, and so is each group further down as soon as its accumulated differences pass
+three. Codes are written once; a task reads the ranges that its pairs need. What it reports are links that span the
+components of a pair rather than all pairs, so a large group of near copies doesn't grow quadratically.
 
 Edge cases: a text without words (null, empty or white space) has fingerprint zero, linked like any other; fewer
 words than a shingle count as one; null ids take part but are never a component's id unless there is no other;
-repeated rows are each returned; an empty table gives an empty result; other columns take no part.
+repeated rows are each returned by ``cluster``, and ``dedupe`` keeps one row of a component, repeated rows included; an
+empty table gives an empty result; other columns take no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +35,12 @@ from . import components, shared
 SHINGLE = 3
 SEED = 42
 DISTANCE = 3
-#: A key with more distinct fingerprints than this is parted again.
-BUCKET = 4096
+#: Codes of a range, and the most ranges: beyond their product ranges grow, up to some 100 MB each at 5e10 codes.
+RANGE, RANGES = 8192, 4096
 #: Children of a node of the index.
 FAN = 8
-#: Queries that go through the index together.
-CHUNK = 256
+#: Queries that go through the index together, and nodes that they may have reached before they are split up.
+CHUNK, FRONTIER = 256, 2_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -111,16 +116,22 @@ class GrayIndex:
 
     def search(self, queries: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         """(query position, code position) of all pairs within the distance."""
-        q = np.arange(len(queries))
-        node = np.zeros(len(queries), dtype=np.int64)
-        so_far = np.zeros(len(queries), dtype=np.uint8)
-        for depth, (mask, value) in enumerate(self.levels):
+        return self._down(np.arange(len(queries)), np.zeros(len(queries), dtype=np.int64), np.zeros(len(queries), dtype=np.uint8), queries, distance, 0)
+
+    def _down(self, q, node, so_far, queries, distance, depth):
+        while depth < len(self.levels):
+            if len(q) > FRONTIER:  # bounds memory where many codes are near each other
+                half = len(q) // 2
+                parts = [self._down(q[at], node[at], so_far[at], queries, distance, depth) for at in (slice(half), slice(half, None))]
+                return np.concatenate([parts[0][0], parts[1][0]]), np.concatenate([parts[0][1], parts[1][1]])
+            mask, value = self.levels[depth]
             if depth:
                 width = np.minimum(self.fan, len(mask) - node * self.fan)
                 q, so_far, node = np.repeat(q, width), np.repeat(so_far, width), np.repeat(node * self.fan, width) + _counting(width)
             so_far = so_far + np.bitwise_count((queries[q] ^ value[node]) & mask[node])
             near = so_far <= distance
             q, node, so_far = q[near], node[near], so_far[near]
+            depth += 1
         return q, node
 
 
@@ -130,18 +141,15 @@ def _counting(widths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - widths, widths)
 
 
-def spanning_links(codes: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the codes of a bucket just as all pairs within the distance do: at most one for each code."""
-    if len(codes) == 2:
-        a, b = codes
-        return (codes[:1], codes[1:]) if int(a ^ b).bit_count() <= distance else (codes[:0], codes[:0])
-    index = GrayIndex(codes)
-    codes = index.codes
-    root = np.arange(len(codes))
+def spanning_links(codes: np.ndarray, index: GrayIndex, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join ``codes`` and those of the index just as all pairs within the distance do: fewer than codes."""
+    every, at = np.unique(np.concatenate([codes, index.codes]), return_inverse=True)  # a code may stand on both sides
+    mine, theirs = at[: len(codes)], at[len(codes) :]
+    root = np.arange(len(every))
     a, b = [], []
     for start in range(0, len(codes), CHUNK):
         q, found = index.search(codes[start : start + CHUNK], distance)
-        q = q + start
+        q, found = mine[q + start], theirs[found]
         while True:
             apart = root[q] != root[found]
             if not apart.any():
@@ -149,8 +157,8 @@ def spanning_links(codes: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndar
             q, found = q[apart], found[apart]
             low, high = np.minimum(root[q], root[found]), np.maximum(root[q], root[found])
             high, first = np.unique(high, return_index=True)  # each root joins one lower root a round
-            a.append(codes[q[first]])
-            b.append(codes[found[first]])
+            a.append(every[q[first]])
+            b.append(every[found[first]])
             root[high] = low[first]
             while not np.array_equal(up := root[root], root):
                 root = up
@@ -158,109 +166,78 @@ def spanning_links(codes: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndar
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = [], []
-        lists = batch.column(0)
-        values, offsets = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-        for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
-            x, y = spanning_links(values[lo:hi])
-            if len(x):
-                a.append(x)
-                b.append(y)
-        none = np.empty(0, dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x]).view(np.int64)) for x in (a, b)], ["a", "b"])
-
-
-def _bits(code, low: int, width: int):
-    return F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else code
-
-
-def _parts(free: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Four parts of the free bits, given and returned as runs (low, width)."""
-    bits = [b for low, width in free for b in range(low, low + width)]
-    cuts = [round(k * len(bits) / 4) for k in range(5)]
+def near_ranges(nodes: list[tuple[int, int, int]], distance: int = DISTANCE) -> list[tuple[int, int]]:
+    """Pairs of ranges that their upper nodes, (range, AND of its codes, OR of its codes), don't prune: the first not after the second."""
+    names = np.array([n[0] for n in nodes], dtype=np.int64)
+    ones, any_one = (np.array([n[k] for n in nodes], dtype=np.int64).view(np.uint64) for k in (1, 2))
+    shared_bits = ones | ~any_one
     out = []
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        runs: list[tuple[int, int]] = []
-        for b in bits[lo:hi]:
-            if runs and sum(runs[-1]) == b:
-                runs[-1] = (runs[-1][0], runs[-1][1] + 1)
-            else:
-                runs.append((b, 1))
-        out.append(runs)
+    for k in range(len(nodes)):
+        near = np.bitwise_count((ones[k] ^ ones[k:]) & shared_bits[k] & shared_bits[k:]) <= distance
+        out += [(int(names[k]), int(j)) for j in names[k:][near]]
     return out
 
 
-def _tables(depth: int, free: list[tuple[int, int]], fixed: tuple = ()) -> list[list[tuple[int, int]]]:
-    """Runs of bits that make up the key of each of the 4^depth tables."""
-    if not depth:
-        return [list(fixed)]
-    out = []
-    for part in _parts(free):
-        inside = {b for low, width in part for b in range(low, low + width)}
-        rest = [(b, 1) for low, width in free for b in range(low, low + width) if b not in inside]
-        out += _tables(depth - 1, rest, (*fixed, *part))
-    return out
+def _search_ranges(folder: str):
+    def codes_of(number: int) -> np.ndarray:
+        files, base = shared.open_folder(folder)
+        return pq.read_table(f"{base}/range={number}", columns=["fp"], filesystem=files, partitioning=None)["fp"].to_numpy().view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                mine = codes_of(number)
+                for other in others:
+                    x, y = spanning_links(mine, GrayIndex(mine if other == number else codes_of(other)))
+                    yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (x, y)], ["a", "b"])
+
+    return run
+
 
+def gray_order(code):
+    """Gray rank of a code as a column; unsigned order but for the first bit, which is as good."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        code = code.bitwiseXOR(F.shiftrightunsigned(code, shift))
+    return code
+
+
+def links(codes: DataFrame, folder: str, codes_a_range: int = RANGE) -> DataFrame:
+    """Links (a, b) that connect distinct codes (column fp) just as all pairs within the distance do.
 
-def _key(code, runs: list[tuple[int, int]]):
-    """The bits of a table's key, as a masked long; at most one table reads each mask."""
-    mask = sum(((1 << width) - 1) << low for low, width in runs)
-    return code.bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("long"))
-
-
-def _keyed(codes: DataFrame, depth: int) -> DataFrame:
-    tables = _tables(depth, [(0, 64)])
-    keys = F.array(*[F.struct(F.lit(k).alias("t"), _key(F.col("fp"), runs).alias("k")) for k, runs in enumerate(tables)])
-    return codes.select("fp", F.explode(keys).alias("p")).select("fp", "p.t", "p.k")
-
-
-def links(codes: DataFrame, folder: str, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that connect distinct codes (column fp) just as all pairs within the distance do."""
-    found = None
-    keyed, depth = _keyed(codes, 2), 2
-    while True:
-        counts = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"))
-        large = shared.materialize(counts.where(F.col("n") > bucket).select("t", "k"), folder, f"large-{depth}") if depth < 4 else None
-        any_large = large is not None and not large.isEmpty()
-        fine = keyed.join(large, ["t", "k"], "left_anti") if any_large else keyed
-        grouped = fine.groupBy("t", "k").agg(F.collect_list("fp").alias("codes")).where(F.size("codes") > 1).select("codes")
-        some = grouped.mapInArrow(_links, "a long, b long")
-        found = some if found is None else found.unionByName(some)
-        if not any_large:
-            return found
-        depth += 1
-        # Table t of one depth is tables 4t to 4t+3 of the next, so that only rows of large keys go on, in those tables.
-        split = _tables(depth, [(0, 64)])
-        rows = keyed.join(large, ["t", "k"], "left_semi")
-        finer = F.array(*[F.struct(F.lit(k).alias("t"), _key(F.col("fp"), runs).alias("k")) for k, runs in enumerate(split)])
-        keyed = rows.select("fp", F.explode(F.slice(finer, F.col("t") * 4 + 1, 4)).alias("p")).select("fp", "p.t", "p.k")
-
-
-def _rooted(codes: DataFrame, folder: str, bucket: int) -> DataFrame:
+    Codes are shuffled once, into Gray order. The driver sees the upper nodes, ``RANGES`` rows at most, and no code.
+    """
+    spark = codes.sparkSession
+    count = codes.count()
+    ranges = max(1, min(RANGES, math.ceil(count / codes_a_range)))
+    ordered = codes.select("fp").repartitionByRange(ranges, gray_order(F.col("fp"))).select("fp", F.spark_partition_id().alias("range"))
+    ordered.write.mode("overwrite").partitionBy("range").parquet(f"{folder}/ranges")
+    written = spark.read.schema("fp long, range int").parquet(f"{folder}/ranges")
+    nodes = written.groupBy("range").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")).orderBy("range").collect()
+    of: dict[int, list[int]] = {}
+    for i, j in near_ranges([tuple(n) for n in nodes]):
+        of.setdefault(i, []).append(j)
+    work = [(i, js[k : k + 4]) for i, js in of.items() for k in range(0, len(js), 4)]  # a unit of work: one range against four
+    units = spark.createDataFrame(work, "range int, others array<int>").repartition(max(1, min(len(work), 16 * RANGES)), F.col("range"), F.col("others"))
+    return units.mapInArrow(_search_ranges(f"{folder}/ranges"), "a long, b long")
+
+
+def _rooted(codes: DataFrame, folder: str) -> DataFrame:
     """(fp, least, root): the distinct codes, each with the least fingerprint of its component."""
-    stars = shared.materialize(components.connected(links(codes.select("fp"), folder, bucket), folder), folder, "stars")
+    stars = shared.materialize(components.connected(links(codes, folder), folder), folder, "stars")
     return codes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
-def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
+def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``."""
     folder = shared.work_dir(docs.sparkSession)
     prints = shared.materialize(fingerprints(docs, key, text), folder, "fingerprints")
     codes = shared.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), folder, "codes")
-    rooted = _rooted(codes, folder, bucket)
+    rooted = _rooted(codes, folder)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def dedupe(docs: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id. Documents without id all stay."""
-    gone = cluster(docs, key, **settings).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key))
-    return docs.join(gone, key, "left_anti")
-
-
-def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
+def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with exactly one row of each component: that with the smallest id (none comes last), then text hash.
 
     Rows that agree in both are counted, and only those are compared as a whole, by a hash of all columns. The rest
@@ -273,7 +250,7 @@ def one_each(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket: i
     pieces = shared.materialize(prints.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), folder, "pieces")
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     codes = shared.materialize(pieces.groupBy("fp").agg(F.min(own).alias("least")), folder, "codes")
-    rooted = _rooted(codes, folder, bucket)
+    rooted = _rooted(codes, folder)
     kept = rooted.groupBy("root").agg(F.min("least").alias("kept"))
     chosen = rooted.join(kept, "root").select("fp", "kept")
     same = F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.text_hash") == F.col("text_hash"))

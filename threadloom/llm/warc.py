@@ -21,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,15 +176,11 @@ def _id(urn: str | None) -> int | None:
     return int(number) if number.lstrip("-").isdigit() else None
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-
-
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        files, base = _open(folder)
+        files, base = shared.open_folder(folder)
         name = f"pages-{TaskContext.get().partitionId():06d}.warc.gz"
         mine, n, size = f"{base}/{name}.{uuid.uuid4().hex}.tmp", 0, 0
         with files.open_output_stream(mine, compression=None) as out:
@@ -215,7 +210,7 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
 def write(pages: DataFrame, folder: str, **names) -> list[str]:
     """Writes an archive for each partition of the planned records and returns the files' names."""
-    files, base = _open(folder)
+    files, base = shared.open_folder(folder)
     files.create_dir(base, recursive=True)
     done = plan_records(pages, **names).mapInArrow(_writer(folder), "file string, records long, bytes long").collect()  # a row for each archive
     return sorted(r["file"] for r in done)
@@ -229,7 +224,7 @@ def read(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
         schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                files, base = _open(folder)
+                files, base = shared.open_folder(folder)
                 with files.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     some: list[dict] = []
                     for r in read_records(stream):
