@@ -148,35 +148,82 @@ def test_one_row_of_each_component(spark):
     assert [tuple(r) for r in simhash.dedupe(same).collect()] == [(7, "x y z")]
 
 
-def test_nearest_neighbours(spark):
+def exact_nearest(rows, k=20):
+    """For each query row, in order: [(vec_id, score)] by brute force over all rows with another id."""
+    ids, matrix = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    out = []
+    for q, v in rows:
+        if q % 20 == 0:
+            score = ann.exact_scores(np.array(v, dtype=np.float64), matrix)
+            out.append((q, [(int(ids[j]), score[j]) for j in np.lexsort((ids, -score)) if ids[j] != q][:k]))
+    return out
+
+
+def answers(df, **settings):
+    found = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, **settings).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    return {q: sorted(near) for q, near in found.items()}
+
+
+@pytest.mark.parametrize("settings", [{}, {"cell": 50, "candidates": 40, "group": 10, "recall": 1.0}, {"cell": 50, "candidates": 40, "group": 10}])
+def test_nearest_neighbours(spark, settings):
     draw = np.random.default_rng(3)
     vectors = draw.standard_normal((700, 16)).astype(np.float32)
     vectors[100:160] = vectors[0]
     rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
     bad = [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] + [1.0] * 15), (1060, [None] + [1.0] * 15), (1080, [float("inf")] * 16), (1100, [1.0, 2.0]), (1120, []), (None, [1.0] * 16)]
     df = spark.createDataFrame([(a, b, 1) for a, b in rows + bad], "vec_id long, embedding array<float>, rank int")
-    out = ann.nearest(df, F.col("vec_id") % 20 == 0, candidates=150, per_block=10).collect()
-    exact = vectors.astype(np.float64)
-    found = {}
-    for r in out:
-        found.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
-    assert sorted(found) == [k for k in range(700) if k % 20 == 0]
-    hits = total = 0
+    found, want = answers(df, **settings), dict(exact_nearest(rows))
+    assert sorted(found) == sorted(want)
+    exact = dict(rows)
+    hits = 0
     for q, near in found.items():
-        score = ann.exact_scores(exact[q], exact)
-        order = [k for k in np.lexsort((np.arange(700), -score)) if k != q][:20]
-        assert sorted(near) == list(range(1, 21))
-        assert all(near[r][1] == score[near[r][0]] for r in near)
-        hits += len(set(order) & {v for v, _ in near.values()})
-        total += 20
-        if q == 0:
-            assert [near[r][0] for r in range(1, 21)] == list(range(100, 120))  # ties to the smaller id
-    assert hits / total >= 0.99
+        assert [r for r, _, _ in near] == list(range(1, 21))
+        assert all(s == ann.exact_scores(np.array(exact[q]), np.array([exact[v]]))[0] for _, v, s in near)
+        hits += len({v for _, v, _ in near} & {v for v, _ in want[q]})
+    assert hits / (20 * len(found)) >= (0.9 if "cell" in settings and "recall" not in settings else 0.999)
+    assert [v for _, v, _ in found[0]] == list(range(100, 120))  # ties to the smaller id
     few = ann.nearest(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0).collect()
     assert len(few) == 4
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_of_large_and_small_numbers(spark):
+    draw = np.random.default_rng(4)
+    rows = [(k, (draw.standard_normal(8) * 10.0 ** draw.integers(-200, 100)).tolist()) for k in range(60)] + [(100, [2e38] * 8), (120, [1e200] * 8), (140, [1e-300] * 8), (141, [-1e150] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {q: [(r, v, s) for r, (v, s) in enumerate(near, 1)] for q, near in exact_nearest(rows)}
+    assert answers(df, recall=1.0) == want
+    assert answers(df, recall=1.0, cell=10) == want
+
+
+def test_nearest_of_repeated_ids_and_ties(spark):
+    draw = np.random.default_rng(6)
+    rows = [(k // 3, draw.standard_normal(6).tolist()) for k in range(180)] + [(40, [1.0] * 6)] * 30 + [(k, [1.0] * 6) for k in range(200, 260)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want: dict = {}
+    for q, near in exact_nearest(rows):
+        want.setdefault(q, []).extend((r, v, s) for r, (v, s) in enumerate(near, 1))
+    for settings in ({}, {"cell": 20, "candidates": 7, "group": 3}):
+        assert answers(df, recall=1.0, **settings) == {q: sorted(near) for q, near in want.items()}
+    tied = [(k, [2.0, 2.0]) for k in range(50)]
+    assert answers(spark.createDataFrame(tied, "vec_id long, embedding array<double>"), recall=1.0) == {q: [(r, v, s) for r, (v, s) in enumerate(near, 1)] for q, near in exact_nearest(tied)}
+
+
+def test_estimates_keep_their_bounds():
+    draw = np.random.default_rng(8)
+    vectors, centre, turn = draw.standard_normal((4000, 64)), draw.standard_normal(64) * 0.1, ann.rotation(64)
+    codes, length, fit = ann.encode(vectors, centre, turn)
+    assert codes.dtype == np.uint64 and codes.shape == (4000, 1)
+    block = ann.Block(np.arange(4000), vectors, vectors, codes, length, fit, centre, turn)
+    outside = 0
+    for query in draw.standard_normal((50, 64)):
+        estimate, off = block.bounds(query)
+        outside += (np.abs(estimate - vectors @ query) > off).sum()
+    assert outside <= 200_000 / 3000
+
+
 def test_warc(spark):
     page = "<p>" + "é" * 60
     rows = [(3, "http://a/ü b", page), (1, "http://b", page), (2, None, page), (2, None, page), (4, "x", "tiny"), (5, "x", "tiny"), (6, "x", None), (None, "x", page), (7, "x", LONG), (1, "http://b", page)]

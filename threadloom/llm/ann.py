@@ -1,18 +1,28 @@
 """Approximate nearest neighbours by inner product, with randomly rotated one-bit codes.
 
-Index: a vector's residual from a centre is rotated by a random orthogonal matrix; the signs of the result, packed
-into bits, are its code. Two scalars correct it: the residual's length and the inner product of the unit residual
-with its code. From code and scalars comes an unbiased estimate of the inner product with any query, and a bound
-on the estimate's error that holds with high probability. A candidate whose upper bound stays below the score of
-the k-th best so far is left out; all others are scored again from the original vectors, in double precision.
-
-Every query meets every code, in blocks of bounded size, so no list of cells is missed; the centre is the mean of
-a bounded sample (``SAMPLE`` vectors), which changes the tightness of bounds only.
-
-Edge cases: vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor do those
-whose number of dimensions is not the table's most frequent one (ties: the smaller); a query's own id is never
-its neighbour; of query rows that repeat an id one counts (the least vector), while candidate rows all count;
-ties go to the smaller id; fewer candidates than k give them all; an empty table gives an empty result.
+Index: vectors belong to cells around centres, which come from a bounded sample. A vector's residual from its centre is
+rotated by a random orthogonal matrix; the signs of the result, packed into bits, are its code. Two scalars correct
+it: the residual's length and the inner product of the unit residual with its code. Every vector is indexed.
+
+Search: a query's rotated components are rounded to ``PLANES`` bits each, and the inner product with a code is
+estimated from counts of common bits, one count for each plane. An error bound holds with high probability; a
+candidate whose upper bound stays below the score of the k-th best so far is left out, and all others are scored
+again from the original vectors, in double precision, summed in order. Vectors are scaled by powers of two for all
+estimates, so that no finite number overflows there.
+
+A query visits the cells whose centres have the largest inner products with it. How many is measured, not assumed: for
+``CALIBRATION`` queries the exact neighbours among all vectors are found in one pass, and as many cells are visited as
+hold ``recall`` of them (and k candidates at least). Data without clusters need many; ``recall=1`` visits all.
+
+Skew: of equal vectors only those with the k + 1 smallest ids can be among anyone's k nearest, so others aren't searched,
+which loses nothing; equal queries are searched once and answered each; cells are cut into blocks of candidates, and
+their queries into groups, by counts.
+
+Edge cases: vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor do rows without
+id, nor those whose number of dimensions is not the table's most frequent one (ties: the smaller). A query's own id is
+never its neighbour. Query rows that repeat an id are each answered; candidate rows that do all count. Ties go to the
+smaller id; scores beyond the range of doubles are infinite; fewer candidates than k give them all; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +40,14 @@ from pyspark.sql.window import Window
 from . import shared
 
 K = 20
-#: Vectors whose mean is the centre.
-SAMPLE = 4096
-#: Candidates and queries of a block, on average: 64 floats each, so some MB. Candidates are sent once for each block
-#: of queries, and queries once for each block of candidates.
+#: Vectors of a cell on average, the most numbers in the centres of all cells, and sampled vectors for each centre.
+CELL, CENTRES, PER_CENTRE = 1024, 1 << 21, 8
+#: Candidates of a block and queries of a group, on average.
 CANDIDATES, QUERIES = 8192, 4096
+#: Queries whose exact neighbours tell how many cells to visit, and the share of these that visited cells must hold.
+CALIBRATION, RECALL = 128, 0.97
+#: Bits of a query's rounded component.
+PLANES = 4
 #: Width of the error bound in standard deviations: 4 leaves out a true neighbour about once in 30,000.
 WIDTH = 4.0
 SEED = 20240229
@@ -52,114 +65,244 @@ def rotation(dims: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed bits, residual lengths, and inner products of the unit residuals with their codes."""
-    residual = vectors - centre
+def encode(vectors: np.ndarray, centres: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed bits (64 to a number), residual lengths, and inner products of the unit residuals with their codes."""
+    residual = vectors - centres
     length = np.linalg.norm(residual, axis=1)
     unit = (residual / np.where(length > 0, length, 1)[:, None]) @ turn.T
     fit = np.abs(unit).sum(axis=1) / math.sqrt(vectors.shape[1])
-    return np.packbits(unit > 0, axis=1), length, fit
+    return pack(unit > 0), length, fit
 
 
-def _encoder(dims: int, centre: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(dims)
-        for batch in batches:
-            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
-            bits, length, fit = encode(vectors, centre, turn)
-            codes = pa.array([b.tobytes() for b in bits], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes, pa.array(length), pa.array(fit)], ["vec_id", "vector", "code", "length", "fit"])
+def pack(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of 64-bit numbers."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+
+def common_bits(codes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Number of bits that each code has in common with one row of bits."""
+    counts = np.bitwise_count(codes[:, 0] & bits[0]).astype(np.int64)
+    for k in range(1, codes.shape[1]):
+        counts += np.bitwise_count(codes[:, k] & bits[k])
+    return counts
+
+
+class Block:
+    """Codes and vectors of a block of one cell, searched for one query at a time. All but ``exact`` is scaled."""
+
+    def __init__(self, ids, exact, scaled, codes, length, fit, centre, turn, width: float = WIDTH):
+        dims = scaled.shape[1]
+        self.ids, self.exact, self.scaled, self.codes, self.centre, self.turn, self.width, self.dims = ids, exact, scaled, codes, centre, turn, width, dims
+        usable = fit > 0
+        safe = np.where(usable, fit, 1)
+        self.scale = np.where(usable, length / safe / math.sqrt(dims), 0)
+        self.spread = np.where(usable, length * np.sqrt(np.maximum(0, 1 - fit**2)) / safe * width / math.sqrt(max(1, dims - 1)), 0)
+        self.ones = common_bits(codes, np.full(codes.shape[1], ~np.uint64(0)))
+        self.longest = float(np.linalg.norm(scaled, axis=1).max()) if len(ids) else 0.0
+        self.repeats = len(np.unique(ids)) < len(ids)
 
-    return run
+    def bounds(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated inner products with a scaled query, from packed bits, and how far off they may be."""
+        turned = self.turn @ query
+        low = turned.min()
+        step = (turned.max() - low) / ((1 << PLANES) - 1)
+        levels = np.rint((turned - low) / step).astype(np.int64) if step > 0 else np.zeros(self.dims, dtype=np.int64)
+        planes = pack(((levels[None, :] >> np.arange(PLANES)[:, None]) & 1).astype(bool))
+        counted = sum(common_bits(self.codes, plane) << j for j, plane in enumerate(planes))
+        signed = 2 * (low * self.ones + step * counted) - (low * self.dims + step * levels.sum())
+        rounding = self.width * step * math.sqrt(self.dims / 12) * self.scale
+        return query @ self.centre + self.scale * signed, np.linalg.norm(query) * self.spread + rounding
+
+    def nearest(self, query: np.ndarray, scaled_query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, exact scores) of the rows of the k + 1 best ids: enough for k whichever id is the query's own."""
+        first = np.arange(len(self.ids))
+        room = 1e-10 * np.linalg.norm(scaled_query) * self.longest  # what rounding may take
+        if len(first) > k + 1 and not self.repeats:
+            estimate, off = self.bounds(scaled_query)
+            # The most promising are scored; what can't reach the least of them is left out.
+            promising = np.argpartition(estimate, -k - 1)[-k - 1 :]
+            worst = (self.scaled[promising] @ scaled_query).min()
+            first = np.flatnonzero(estimate + off >= worst - room)
+            scores = self.scaled[first] @ scaled_query
+            # Only what rounding could bring among the best is summed in the order that the result is defined by.
+            first = first[scores >= np.partition(scores, -k - 1)[-k - 1] - room] if len(first) > k + 1 else first
+        scores = exact_scores(query, self.exact[first])
+        order = np.lexsort((self.ids[first], -scores))
+        first, scores = first[order], scores[order]
+        new = np.zeros(len(first), dtype=bool)
+        new[np.unique(self.ids[first], return_index=True)[1]] = True
+        within = np.cumsum(new) <= k + 1
+        return first[within], scores[within]
 
 
 def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed from the first component to the last."""
     total = np.zeros(len(vectors))
-    for q, column in zip(query, vectors.T, strict=True):
-        total += q * column
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q, column in zip(query, vectors.T, strict=True):
+            total += q * column
     return total
 
 
-def search_block(query_ids, queries, ids, vectors, codes, length, fit, centre, turn, k: int, width: float = WIDTH):
-    """(query position, candidate position, score) of each query's k nearest in a block, by bounds and reranking."""
-    dims = vectors.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=dims).astype(np.float32) * np.float32(2) - np.float32(1)
-    usable = fit > 0
-    scale = np.where(usable, length / np.where(usable, fit, 1) / math.sqrt(dims), 0)
-    spread = np.where(usable, length * np.sqrt(np.maximum(0, 1 - fit**2)) / np.where(usable, fit, 1) * width / math.sqrt(max(1, dims - 1)), 0)
-    turned = (queries @ turn.T).astype(np.float32)
-    at_centre, lengths = queries @ centre, np.linalg.norm(queries, axis=1)
-    single, wide = scale.astype(np.float32), spread.astype(np.float32)
-    longest = float(np.linalg.norm(vectors, axis=1).max()) if len(vectors) else 0.0
-    out_q, out_c, out_s = [], [], []
-    for start in range(0, len(queries), 128):
-        estimates = (turned[start : start + 128] @ signs.T) * single
-        for i, low in enumerate(estimates, start):
-            query, room = queries[i], 1e-4 * lengths[i] * longest  # what single precision may take from an estimate
-            low[ids == query_ids[i]] = -np.inf
-            if len(ids) > k:
-                # The k most promising are scored; what can't reach the least of them is left out.
-                promising = np.argpartition(low, -k)[-k:]
-                worst = (vectors[promising] @ query).min() if (low[promising] > -np.inf).all() else -np.inf
-                first = np.flatnonzero((low + np.float32(lengths[i]) * wide >= worst - at_centre[i] - room) & (low > -np.inf))
-                scores = vectors[first] @ query
-                # Only what rounding could bring among the k best is summed in the order that the result is defined by.
-                first = first[scores >= np.partition(scores, -k)[-k] - 1e-10 * lengths[i] * longest] if len(first) > k else first
-            else:
-                first = np.flatnonzero(low > -np.inf)
-            scores = exact_scores(query, vectors[first])
-            best = np.lexsort((ids[first], -scores))[:k]
-            out_q.append(np.full(len(best), i))
-            out_c.append(first[best])
-            out_s.append(scores[best])
-    none = np.empty(0, dtype=np.int64)
-    return np.concatenate([none, *out_q]), np.concatenate([none, *out_c]), np.concatenate([np.empty(0), *out_s])
-
-
-def index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, np.ndarray, int]:
-    """(vec_id, vector, code, length, fit) of every vector that takes part, the centre, and the number of vectors."""
+def find_centres(sample: np.ndarray, count: int, rounds: int = 5) -> np.ndarray:
+    """Centres by Lloyd's rounds over a sample, from evenly spaced rows; a centre without vectors stays where it is."""
+    centres = sample[np.linspace(0, len(sample) - 1, min(count, len(sample))).astype(np.int64)].copy()
+    for _ in range(rounds):
+        mine = np.concatenate([nearest_centre(sample[i : i + 4096], centres) for i in range(0, len(sample), 4096)])
+        sizes = np.bincount(mine, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, mine, sample)
+        centres = np.where(sizes[:, None] > 0, sums / np.maximum(1, sizes)[:, None], centres)
+    return centres
+
+
+def nearest_centre(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(vectors @ centres.T - (centres**2).sum(axis=1) / 2, axis=1)
+
+
+def visiting_order(queries: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argsort(-(queries @ centres.T), axis=1, kind="stable")
+
+
+def _matrix(column: pa.ListArray, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+
+
+def _unit(queries: np.ndarray) -> np.ndarray:
+    """Each query scaled by a power of two of its own: that changes no order."""
+    return np.ldexp(queries, -np.frexp(np.abs(queries).max(axis=1, initial=0))[1][:, None])
+
+
+def _useful(table: DataFrame, k: int) -> DataFrame:
+    """Rows that can be among anyone's k nearest: of equal vectors those of the k + 1 smallest ids, k rows of each at most."""
+    hashed = F.xxhash64("vector")
+    often = table.groupBy(hashed.alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("h")
+    if often.isEmpty():
+        return table
+    repeated = table.join(often, hashed == F.col("h"), "left_semi")
+    ids = repeated.withColumn("__r", F.row_number().over(Window.partitionBy("vector", "vec_id").orderBy("vec_id"))).where(F.col("__r") <= k)
+    least = ids.withColumn("__d", F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("__d") <= k + 1)
+    return table.join(often, hashed == F.col("h"), "left_anti").unionByName(least.select(table.columns))
+
+
+def nearest(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL, cell: int = CELL, candidates: int = CANDIDATES, group: int = QUERIES) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest of each row that ``queries`` selects."""
+    spark, folder = vectors.sparkSession, shared.work_dir(vectors.sparkSession)
     # Single-precision vectors travel as they are; all arithmetic on them is in double precision.
     kind = vectors.schema[vector].dataType.simpleString()
     kind = kind if kind == "array<float>" else "array<double>"
-    valid = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("vector")).where(takes_part(F.col("vector")))
-    sizes = valid.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    dims, n = (sizes["d"], sizes["n"]) if sizes else (1, 0)
+    valid = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asked")).where(takes_part(F.col("vector")) & F.col("vec_id").isNotNull())
+    largest = F.max(F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double")))))
+    sizes = valid.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), largest.alias("most")).orderBy(F.desc("n"), "d").first()
+    schema = "query_id long, rank int, vec_id long, score double"
+    if not sizes:
+        return spark.createDataFrame([], schema)
+    dims, n, power = sizes["d"], sizes["n"], int(np.frexp(sizes["most"])[1])
     valid = valid.where(F.size("vector") == dims)
-    sample = valid.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // SAMPLE))) == 0).select("vector").limit(2 * SAMPLE).collect() if n else []
-    # Rounded, so that it doesn't depend on the order of the sample.
-    centre = np.round(np.mean([r["vector"] for r in sample], axis=0), 3) if sample else np.zeros(dims)
-    return valid.mapInArrow(_encoder(dims, centre), f"vec_id long, vector {kind}, code binary, length double, fit double"), centre, n
-
-
-def nearest(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id", vector: str = "embedding", candidates: int = CANDIDATES, per_block: int = QUERIES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest of each row that ``queries`` selects.
-
-    Codes and queries are dealt into blocks by hash, and every pair of blocks is one group. A block's size doesn't
-    depend on the data: more vectors make more blocks. Each pair returns k rows a query at most.
-    """
-    codes, centre, n = index(vectors, key, vector)
-    asked = codes.where(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    n_asked = vectors.where(queries).count()
-    blocks, asking = max(1, math.ceil(n / candidates)), max(1, math.ceil(n_asked / per_block))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(asking)).cast("int").alias("qb"), every(blocks).alias("cb"), "vec_id", "vector")
-    right = codes.select(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int").alias("cb"), every(asking).alias("qb"), "vec_id", "vector", "code", "length", "fit")
-    dims = len(centre)
-
-    def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        c = c[c["vec_id"].notna()]
-        q_ids, ids = q["vec_id"].to_numpy(dtype=np.int64), c["vec_id"].to_numpy(dtype=np.int64)
-        stack = lambda s: np.stack(s.to_numpy()).astype(np.float64).reshape(len(s), dims)
-        bits = np.frombuffer(b"".join(c["code"]), dtype=np.uint8).reshape(len(c), -1)
-        i, j, s = search_block(q_ids, stack(q["vector"]), ids, stack(c["vector"]), bits, c["length"].to_numpy(), c["fit"].to_numpy(), centre, rotation(dims), k)
-        return pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[j], "score": s})
-
-    near = left.where("vec_id is not null").groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(pair, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    # Centres, from a sample that their number bounds.
+    count = max(1, min(math.ceil(n / cell), CENTRES // dims))
+    wanted = PER_CENTRE * count
+    hashed = F.xxhash64("vector")
+    sample = valid.select("vector", hashed.alias("h")).where(F.pmod("h", F.lit(max(1, n // (2 * wanted)))) == 0).dropDuplicates(["h"]).orderBy("h").limit(wanted)
+    centres = find_centres(np.ldexp(np.array([r["vector"] for r in sample.collect()], dtype=np.float64), -power), count)
+    shipped = spark.sparkContext.broadcast(centres)  # ``CENTRES`` numbers at most
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = rotation(dims)
+        for batch in batches:
+            scaled = np.ldexp(_matrix(batch.column(1), dims), -power)
+            mine = nearest_centre(scaled, shipped.value)
+            codes, length, fit = encode(scaled, shipped.value[mine], turn)
+            columns = [pa.array(mine, pa.int32()), batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(fit)]
+            yield pa.RecordBatch.from_arrays(columns, ["cell", "vec_id", "vector", "code", "length", "fit"])
+
+    index = shared.materialize(_useful(valid.select("vec_id", "vector"), k).mapInArrow(assign, f"cell int, vec_id long, vector {kind}, code binary, length double, fit double"), folder, "index")
+    sizes_of = np.zeros(len(centres), dtype=np.int64)
+    for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each centre
+        sizes_of[r["cell"]] = r["n"]
+
+    # Query rows, and the distinct vectors that are searched for.
+    rows = shared.materialize(valid.where("asked").select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").alias("query_id"), "vector"), folder, "rows")
+    asked = shared.materialize(rows.groupBy("vector").agg(F.min("row").alias("qid")).select("qid", "vector"), folder, "asked")
+    visits = _visits(index, asked, centres, sizes_of, dims, power, k, recall)
+
+    def cells_of(found: np.ndarray) -> list[np.ndarray]:
+        order = visiting_order(_unit(found), shipped.value)
+        enough = (np.cumsum(sizes_of[order], axis=1) > k).argmax(axis=1) if sizes_of.sum() > k else np.full(len(order), len(sizes_of))
+        return [o[: max(visits, int(e) + 1)] for o, e in zip(order, enough, strict=True)]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(sizes_of), dtype=np.int64)
+        for batch in batches:
+            for cells in cells_of(_matrix(batch.column(1), dims)):
+                counts[cells] += 1
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], ["cell", "n"])
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                cells = cells_of(_matrix(part.column(1), dims))
+                at = pa.array(np.repeat(np.arange(part.num_rows), [len(c) for c in cells]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells), pa.int32()), part.column(0).take(at), part.column(1).take(at)], ["cell", "qid", "vector"])
+
+    asking = {r["cell"]: r["n"] for r in asked.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # a row for each centre
+    plan = [(c, math.ceil(int(sizes_of[c]) / candidates), math.ceil(q / group)) for c, q in asking.items() if sizes_of[c]]
+    cut = F.broadcast(spark.createDataFrame(plan, "cell int, blocks int, groups int"))  # a row for each centre
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = asked.mapInArrow(visit, f"cell int, qid long, vector {kind}").join(cut, "cell").select("cell", F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int").alias("g"), every("blocks").alias("b"), "qid", "vector")
+    right = index.join(cut, "cell").select("cell", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("int").alias("b"), every("groups").alias("g"), "vec_id", "vector", "code", "length", "fit")
+
+    def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[np.ndarray, ...]] = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+        if len(q) and len(c):
+            stack = lambda column: np.stack(column.to_numpy()).astype(np.float64).reshape(-1, dims)
+            exact, ids = stack(c["vector"]), c["vec_id"].to_numpy(dtype=np.int64)
+            codes = np.frombuffer(b"".join(c["code"]), dtype=np.uint64).reshape(len(c), -1)
+            block = Block(ids, exact, np.ldexp(exact, -power), codes, c["length"].to_numpy(), c["fit"].to_numpy(), shipped.value[int(c["cell"].iloc[0])], rotation(dims))
+            found = stack(q["vector"])
+            for qid, query, scaled in zip(q["qid"].to_numpy(), found, _unit(found), strict=True):
+                at, scores = block.nearest(query, scaled, k)
+                out.append((np.full(len(at), qid), ids[at], scores))
+        return pd.DataFrame({name: np.concatenate([o[j] for o in out]) for j, name in enumerate(("qid", "vec_id", "score"))})
+
+    near = left.groupBy("cell", "b", "g").cogroup(right.groupBy("cell", "b", "g")).applyInPandas(search, "qid long, vec_id long, score double")
+    # Ids by their best score: the k + 1 best of a query hold its k nearest rows, whichever id is its own.
+    best = near.repartition("qid").groupBy("qid", "vec_id").agg(F.max("score").alias("best"), F.collect_list("score").alias("scores"))
+    some = best.withColumn("__r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("best"), "vec_id"))).where(F.col("__r") <= k + 1)
+    named = rows.join(asked, "vector").select("row", "query_id", "qid")
+    answers = named.join(some, "qid").where(F.col("vec_id") != F.col("query_id")).select("row", "query_id", "vec_id", F.explode("scores").alias("score"))
+    ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _visits(index: DataFrame, asked: DataFrame, centres: np.ndarray, sizes_of: np.ndarray, dims: int, power: int, k: int, recall: float) -> int:
+    """How many cells hold the wanted share of the exact neighbours of a bounded sample of the queries."""
+    if recall >= 1 or len(centres) == 1:
+        return len(centres)
+    few = asked.orderBy(F.xxhash64("vector"), "qid").limit(CALIBRATION).collect()
+    if not few:
+        return 1
+    queries = _unit(np.array([r["vector"] for r in few], dtype=np.float64))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, cells = np.empty((len(queries), 0)), np.empty((len(queries), 0), dtype=np.int32)
+        for batch in batches:
+            now = np.concatenate([scores, queries @ np.ldexp(_matrix(batch.column(1), dims), -power).T], axis=1)
+            mine = np.concatenate([cells, np.tile(batch.column(0).to_numpy(), (len(queries), 1))], axis=1)
+            top = np.argsort(-now, axis=1, kind="stable")[:, : k + 1]
+            scores, cells = np.take_along_axis(now, top, axis=1), np.take_along_axis(mine, top, axis=1)
+        at = np.repeat(np.arange(len(queries)), scores.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(cells.ravel(), pa.int32()), pa.array(scores.ravel())], ["at", "cell", "score"])
+
+    found = index.select("cell", "vector").mapInArrow(best, "at int, cell int, score double")
+    top = found.withColumn("__r", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("score"), "cell"))).where(F.col("__r") <= k + 1).select("at", "cell").collect()
+    place = np.argsort(visiting_order(queries, centres), axis=1)
+    depth = np.sort([int(place[r["at"], r["cell"]]) for r in top])  # k + 1 for each of the sample
+    return int(depth[min(len(depth) - 1, math.ceil(recall * len(depth)))]) + 1
 
 
 def op6_ann(spark, sf_dir: str) -> DataFrame:
