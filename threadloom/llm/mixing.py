@@ -1,9 +1,11 @@
 """Mixing sources to target weights by systematic sampling.
 
 Within a source, documents stand in an order by size; each has the expected number of copies that its source's
-target asks for. Those numbers are summed up from the start, one offset is added, and a document is emitted once
-for each integer boundary that its stretch crosses. The order by size keeps a source's words close to its target,
-and so does the choice of the offset, one for each source.
+target asks for. Those numbers are summed up from the start, one random offset is added, and a document is emitted
+once for each integer boundary that its stretch crosses. The offset comes from a seeded hash of the source's name, so
+reruns agree. Where rows are in order of size, the words taken differ from the target by less than the source's
+longest document has: a document's copies differ from their expectation by rounding only, which the order makes small
+for all but the longest.
 
 Edge cases: null text has size 0; null sources form one source, last in order; repeated rows are rows of their
 own; sources without words, and empty tables, take nothing; input columns named like an added one are replaced.
@@ -20,12 +22,8 @@ from . import shared
 WEIGHTS = (1, 2, 3)
 #: No source, and no document, is taken more than so many times over.
 MOST = 3
-#: Documents of one source and size class are numbered in so many independent groups, so that a hot size is spread.
-GROUPS = 31
-#: A source's one offset is drawn from so many equal steps of a copy: the one whose words come nearest the target,
-#: ties to the first. So reruns agree, and sources of few documents keep to their targets too.
-OFFSETS = 32
-ADDED = ("size", "source_size", "target", "copies", "taken")
+#: Seed of the offsets.
+SEED = "mix 1"
 
 
 def size_class(size: Column) -> Column:
@@ -61,36 +59,30 @@ def targets(groups: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     return leveled.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, groups: int = GROUPS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, source, size, source_size, target, copies) and a struct ``kept`` of the columns of ``keep``, for every row of ``docs``.
+def offset(source: Column, seed: str = SEED) -> Column:
+    """A source's one offset, in [0, 1): 32 bits of a hash of seed and name."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + " "), F.coalesce(source.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
-    Ranks run over (size class, group, size, key) within a source. Groups of rows are numbered independently
-    from offsets that a running sum over group counts gives, so a source with a third of all rows is spread.
+
+def copies(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED, rows: int | None = None) -> DataFrame:
+    """(key, text_hash, source, size, source_size, target, copies) for every row of ``docs``.
+
+    Texts are read once, for their sizes and hashes; the rest works on these small rows. Ranks run over (size class,
+    group, size, key) within a source; ``shared.ranked`` spreads a source or a size that a third of all rows have.
     """
-    sized = docs.select(F.col(key).alias("__key"), F.col(source).alias("source"), shared.word_count(F.col(text)).alias("size"), *([F.struct(*[F.col(c) for c in keep]).alias("__kept")] if keep else []))
-    number = F.coalesce(F.col("__key").cast("long") if _integral(docs, key) else F.xxhash64("__key"), F.lit(0))
-    sized = sized.select("*", size_class(F.col("size")).alias("__class"), F.pmod(number, F.lit(groups)).cast("int").alias("__group"))
-    counted = sized.groupBy("source", "__class", "__group").agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("__class", "__group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.select("source", "__class", "__group", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    aims = targets(counted, weights, most)
-    known = offsets.alias("o").join(aims.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.*", "t.source_size", "t.target")
-    on = [F.col("r.source").eqNullSafe(F.col("k.source")), F.col("r.__class") == F.col("k.__class"), F.col("r.__group") == F.col("k.__group")]
-    rows = sized.alias("r").join(known.alias("k"), on[0] & on[1] & on[2]).select("r.*", "k.__offset", "k.source_size", "k.target")
-    within = Window.partitionBy("source", "__class", "__group").orderBy("size", "__key")
-    rank = F.col("__offset") + F.row_number().over(within)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    ranked = rows.withColumn("__rank", rank).withColumn("__rate", rate)
-    crossed = lambda offset: F.floor(F.col("__rank") * F.col("__rate") + offset) - F.floor((F.col("__rank") - 1) * F.col("__rate") + offset)
-    tried = [F.sum(crossed(F.lit(k / OFFSETS)) * F.col("size")).alias(f"__{k}") for k in range(OFFSETS)]
-    misses = [F.struct(F.abs(F.col(f"__{k}") - F.col("target")).alias("miss"), F.lit(k / OFFSETS).alias("offset")) for k in range(OFFSETS)]
-    best = ranked.groupBy("source", "target").agg(*tried).select("source", F.array_min(F.array(*misses))["offset"].alias("__best"))
-    ranked = ranked.alias("r").join(best.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source"))).select("r.*", "b.__best")
-    crossed = crossed(F.col("__best"))
-    return ranked.select(
-        F.col("__key").alias(key), "source", "size", "source_size", "target",
-        crossed.cast("long").alias("copies"), *([F.col("__kept").alias("kept")] if keep else []),
+    folder = shared.work_dir(docs.sparkSession)
+    number = F.pmod(F.col(key).cast("long"), F.lit(1 << 31)) if _integral(docs, key) else F.pmod(F.xxhash64(key), F.lit(1 << 31))
+    read = docs.select(
+        F.col(key).alias("__key"), F.col(source).alias("source"), shared.word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("text_hash"),
+        F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("__octets"), F.coalesce(number, F.lit(0).cast("long")).alias("__number"),
     )
+    sized = shared.materialize(read.select("*", size_class(F.col("size")).alias("__class")), folder, "sized")
+    aims = targets(sized.groupBy("source").agg(F.sum("size").alias("words")), weights, most)
+    ranked = shared.ranked(sized, ["source"], ["__class"], F.col("__number") + F.col("__octets"), ["size", "__key", "__octets", "text_hash"], folder, rows)
+    known = ranked.alias("r").join(aims.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select("r.*", "t.source_size", "t.target")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    passed = lambda rank: F.floor(rank * rate + offset(F.col("source"), seed))
+    return known.select(F.col("__key").alias(key), "text_hash", "source", "size", "source_size", "target", (passed(F.col("__rank")) - passed(F.col("__rank") - 1)).cast("long").alias("copies"))
 
 
 def _integral(df: DataFrame, column: str) -> bool:
@@ -98,10 +90,25 @@ def _integral(df: DataFrame, column: str) -> bool:
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **settings) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as it is taken."""
-    taken = copies(docs, text, source, key, keep=tuple(docs.columns), **settings).where("copies > 0")
-    repeated = taken.select("kept", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy"))
-    return repeated.select("kept.*")
+    """The mixed corpus: the rows of ``docs``, each as often as it is taken.
+
+    Texts meet their copies in one join by key and text. Rows that share both also share their copies out: evenly,
+    the rest to some of them.
+    """
+    folder = shared.work_dir(docs.sparkSession)
+    own, hashed = docs.columns, F.xxhash64(F.col(text))
+    taken = copies(docs, text, source, key, **settings).groupBy(F.col(key).alias("__key"), "text_hash").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__alike"))
+    wanted = shared.materialize(taken.where("__copies > 0"), folder, "wanted")
+    met = docs.withColumn("__hash", hashed).join(wanted, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("text_hash")))
+    single = met.where("__alike = 1").select(*own, "__copies")
+    several = wanted.where("__alike > 1")
+    if not several.isEmpty():
+        alike = docs.withColumn("__hash", hashed).join(several, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("text_hash")))
+        written = shared.materialize(alike.select(*own, "__key", "__hash", "__copies", "__alike", F.monotonically_increasing_id().alias("__number")), folder, "alike")
+        ranked = shared.ranked(written, ["__key", "__hash"], [], F.col("__number"), ["__number"], shared.work_dir(docs.sparkSession))
+        share = F.floor(F.col("__copies") / F.col("__alike")) + F.when(F.col("__rank") <= F.col("__copies") % F.col("__alike"), 1).otherwise(0)
+        single = single.unionByName(ranked.select(*own, share.alias("__copies")))
+    return single.select(*own, F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))).alias("__copy")).select(*own)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -12,15 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import shared
 
 # Fixed value of the published algorithm: the multiplier of its generator, in 32-bit halves below.
 MULTIPLIER = 2862933555777941757
 _MH, _ML = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
-#: Slots are numbered in so many independent groups a shard, a prime so that regular ids spread.
-GROUPS = 251
 
 
 def _low16(x: Column) -> Column:
@@ -67,32 +64,41 @@ def key_of(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("long") if isinstance(kind, T.IntegralType) else F.when(F.col(column).isNotNull(), F.xxhash64(F.col(column)))
 
 
-def shard(df: DataFrame, key: str = "doc_id", shards: int = 24, text: str = "text", groups: int = GROUPS) -> DataFrame:
-    """Adds size, text_crc32, law, shard, slot and grown_shard to the rows of ``df``.
+ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
-    Slots run from 0 without gaps within a shard, ordered by (key modulo ``groups``, key). Each (shard, group)
-    is numbered by itself from an offset, so no shard is ever sorted in one task; the offset table has at most
-    ``shards * groups`` rows, whatever the input, which is the proven bound of its broadcast.
-    """
-    df = shared.names_free(df, "size", "text_crc32", "law", "shard", "slot", "grown_shard", "__group")
+
+def place(df: DataFrame, key: str = "doc_id", shards: int = 24, text: str = "text") -> DataFrame:
+    """Adds size, text_crc32, law, shard and grown_shard to the rows of ``df``: what each row decides by itself."""
+    df = shared.names_free(df, *ADDED)
     number = key_of(df, key)
-    placed = [jump_hash(number, shards).alias("shard"), F.pmod(F.coalesce(number, F.lit(0)), F.lit(groups)).cast("int").alias("__group")]
-    counts = df.select(*placed).groupBy("shard", "__group").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "__group", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    rows = df.select(
+    return df.select(
         *df.columns,
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.col(text)).alias("text_crc32"),
         F.lit("key").alias("law"),
-        *placed,
+        jump_hash(number, shards).alias("shard"),
         jump_hash(number, shards + 1).alias("grown_shard"),
     )
-    within = Window.partitionBy("shard", "__group").orderBy(F.col(key), F.col("size"), F.col("text_crc32"))
-    slotted = rows.join(F.broadcast(offsets), ["shard", "__group"]).withColumn("slot", F.col("__offset") + F.row_number().over(within) - 1)
-    return slotted.select(*df.columns, "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+
+
+def number_slots(placed: DataFrame, key: str = "doc_id", rows: int | None = None) -> DataFrame:
+    """Adds slot to rows that have been placed: 0, 1, ... without gaps within a shard.
+
+    A shard's rows are dealt into groups by key, size and checksum, so a key that many rows share is spread, whatever
+    its texts; see ``shared.ranked``.
+    """
+    spread = F.coalesce(F.pmod(key_of(placed, key), F.lit(1 << 31)), F.lit(0).cast("long")) + F.col("size") + F.coalesce("text_crc32", F.lit(0))
+    ranked = shared.ranked(placed, ["shard"], [], spread, [key, "size", "text_crc32"], shared.work_dir(placed.sparkSession), rows)
+    rest = [c for c in placed.columns if c not in ADDED]
+    return ranked.select(*rest, "size", "text_crc32", "law", "shard", (F.col("__rank") - 1).cast("long").alias("slot"), "grown_shard")
+
+
+def shard(df: DataFrame, key: str = "doc_id", shards: int = 24, text: str = "text", rows: int | None = None) -> DataFrame:
+    """Adds size, text_crc32, law, shard, slot and grown_shard to the rows of ``df``."""
+    return number_slots(place(df, key, shards, text), key, rows)
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return shard(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    placed = shared.materialize(place(docs).drop("text"), shared.work_dir(spark), "placed")  # texts are read once
+    return number_slots(placed).select("doc_id", *ADDED)

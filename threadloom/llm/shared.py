@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,6 +58,55 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Rows of small tables (some 50 bytes each) up to which they are broadcast.
+BROADCAST = 1_000_000
+
+
+def rows_a_group(n: int) -> int:
+    """How many of ``n`` rows are numbered together: grows with the root, between 500 and 100,000."""
+    return min(100_000, max(500, math.floor(4 * math.sqrt(n))))
+
+
+def ranked(df: DataFrame, part: list[str], tiers: list[str], spread: Column, order: list[str], folder: str, rows: int | None = None) -> DataFrame:
+    """Adds ``__rank``: 1, 2, ... without gaps within each value of ``part`` (null is one), in the order of ``tiers``.
+
+    No value is sorted in one task. Rows of a (part, tiers) are dealt into groups, as many as their count asks for, by
+    ``spread``, a long; groups are numbered each by itself, in the order of ``order``, from offsets that a running sum
+    over counts gives. If rows agree so much that a group gets far too large all the same, rows are written with
+    numbers of their own, and these deal them out. Tables of counts are written to ``folder``, so that ``df`` is
+    read no more often than for the counts and for the rows.
+    """
+    by = [*part, *tiers]
+
+    def meet(left: DataFrame, right: DataFrame, on: list[str], small: bool) -> DataFrame:
+        right = right.select(*[F.col(c).alias(f"__on_{k}") for k, c in enumerate(on)], *[c for c in right.columns if c not in on])
+        same = F.lit(True)
+        for k, c in enumerate(on):
+            same = same & left[c].eqNullSafe(right[f"__on_{k}"])
+        return left.join(F.broadcast(right) if small else right, same).drop(*[f"__on_{k}" for k in range(len(on))])
+
+    counts = materialize(df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), folder, "counts")
+    seen = counts.agg(F.sum("__n").alias("n"), F.count(F.lit(1)).alias("c")).first()
+    rows = rows or rows_a_group(seen["n"] or 0)
+    small = seen["c"] + (seen["n"] or 0) / rows <= BROADCAST
+    groups = counts.select(*by, F.greatest(F.ceil(F.col("__n") / rows), F.lit(1)).alias("__groups"))
+
+    def dealt(table: DataFrame, by_what: Column) -> DataFrame:
+        return meet(table, groups, by, small).withColumn("__group", F.pmod(by_what, F.col("__groups"))).drop("__groups")
+
+    grouped = dealt(df, spread)
+    sizes = materialize(grouped.groupBy(*by, "__group").agg(F.count(F.lit(1)).alias("__n")), folder, "groups")
+    if not sizes.where(F.col("__n") > 4 * rows).isEmpty():
+        written = materialize(df.withColumn("__row", F.monotonically_increasing_id()), folder, "rows")
+        grouped = dealt(written, F.xxhash64("__row"))
+        sizes = materialize(grouped.groupBy(*by, "__group").agg(F.count(F.lit(1)).alias("__n")), folder, "regroups")
+        grouped = grouped.drop("__row")
+    before = Window.partitionBy(*part).orderBy(*tiers, "__group").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "__group", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    within = Window.partitionBy(*by, "__group").orderBy(*order)
+    return meet(grouped, offsets, [*by, "__group"], small).withColumn("__rank", F.col("__offset") + F.row_number().over(within)).drop("__group", "__offset")
+
+
 def names_free(df: DataFrame, *names: str) -> DataFrame:
     """Drops columns of the input that an operator is about to add under the same names."""
     return df.drop(*[c for c in df.columns if c in names])

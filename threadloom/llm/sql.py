@@ -8,6 +8,10 @@ ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrs
 WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+def rows_a_group(n: str) -> str:
+    return f"least(100000, greatest(500, floor(4 * sqrt({n}))::BIGINT))"
+
+
 def op1(shards: int = 24, table: str = "documents") -> str:
     """Checksums need every byte, so the polynomial's table is built by recursion and texts are folded byte by byte."""
     jump = lambda n: f"""
@@ -27,12 +31,13 @@ def op1(shards: int = 24, table: str = "documents") -> str:
     crcs AS MATERIALIZED (SELECT text, xor(list_reduce(bs, lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1]), 4294967295::BIGINT), 4294967295) AS crc FROM bytes, tbl),
     placed AS (
       SELECT d.doc_id, coalesce(strlen(d.text), 0) + 8 AS size, c.crc AS text_crc32, a.shard, g.shard AS grown_shard,
-             ((coalesce(d.doc_id, 0) % {sharding.GROUPS}) + {sharding.GROUPS}) % {sharding.GROUPS} AS grp
+             count(*) OVER (PARTITION BY a.shard) AS n, {rows_a_group("count(*) OVER ()")} AS rows
       FROM {table} d LEFT JOIN crcs c ON d.text = c.text
-      JOIN ({jump(shards)}) a ON a.key = coalesce(d.doc_id, 0) JOIN ({jump(shards + 1)}) g ON g.key = coalesce(d.doc_id, 0))
+      JOIN ({jump(shards)}) a ON a.key = coalesce(d.doc_id, 0) JOIN ({jump(shards + 1)}) g ON g.key = coalesce(d.doc_id, 0)),
+    dealt AS (SELECT *, (((coalesce(doc_id, 0) % 2147483648) + 2147483648) % 2147483648 + size + coalesce(text_crc32, 0)) % greatest(1, ceil(n / rows)::BIGINT) AS grp FROM placed)
     SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
            row_number() OVER (PARTITION BY shard ORDER BY grp, doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1 AS slot, grown_shard
-    FROM placed"""
+    FROM dealt"""
 
 
 def op2() -> str:
@@ -67,10 +72,9 @@ def op3() -> str:
 
 
 def op5(table: str = "documents") -> str:
-    n = mixing.OFFSETS
     cls = "CASE WHEN size < 16 THEN size ELSE 8 * (floor(log2(size))::BIGINT - 2) + (size >> (floor(log2(size))::INTEGER - 3)) - 8 END"
     return f"""
-    WITH sized AS (SELECT doc_id, source, coalesce(length(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM {table}),
+    WITH sized AS (SELECT doc_id, source, coalesce(strlen(text), 0) AS octets, coalesce(length(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM {table}),
     total AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
     weighed AS (SELECT *, [{", ".join(map(str, mixing.WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS w FROM total),
     filling AS (SELECT *, (source_size * {mixing.MOST})::DOUBLE / w AS full_at FROM weighed),
@@ -78,14 +82,13 @@ def op5(table: str = "documents") -> str:
                           / sum(w) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE) AS lv FROM filling),
     level AS (SELECT min_by(lv, full_at) AS lv FROM levels WHERE lv <= full_at),
     aims AS (SELECT source, source_size, coalesce(CASE WHEN full_at <= level.lv THEN (source_size * {mixing.MOST})::DOUBLE ELSE level.lv * w END, 0) AS target FROM levels LEFT JOIN level ON true),
+    dealt AS (SELECT *, count(*) OVER (PARTITION BY source, {cls}) AS n, {rows_a_group("count(*) OVER ()")} AS rows FROM sized),
     ranked AS (SELECT s.*, a.source_size, a.target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-                      row_number() OVER (PARTITION BY s.source ORDER BY {cls}, ((coalesce(doc_id, 0) % {mixing.GROUPS}) + {mixing.GROUPS}) % {mixing.GROUPS}, size, doc_id NULLS FIRST) AS rk
-               FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
-    tries AS (SELECT source, k / {n}.0::DOUBLE AS o, abs(sum((floor(rk * rate + k / {n}.0::DOUBLE) - floor((rk - 1) * rate + k / {n}.0::DOUBLE))::BIGINT * size) - any_value(target)) AS miss
-              FROM ranked, range({n}) t(k) GROUP BY source, k),
-    best AS (SELECT source, min(struct_pack(miss := miss, o := o)).o AS o FROM tries GROUP BY source)
-    SELECT doc_id, size, source_size, target, ((floor(rk * rate + o) - floor((rk - 1) * rate + o))::BIGINT * size)::BIGINT AS taken
-    FROM ranked r JOIN best b ON r.source IS NOT DISTINCT FROM b.source"""
+                      row_number() OVER (PARTITION BY s.source ORDER BY {cls}, (((coalesce(doc_id, 0) % 2147483648) + 2147483648) % 2147483648 + octets) % greatest(1, ceil(n / rows)::BIGINT),
+                                         size, doc_id NULLS FIRST, octets) AS rk,
+                      ('0x' || substr(md5('{mixing.SEED} ' || coalesce(s.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS o
+               FROM dealt s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
+    SELECT doc_id, size, source_size, target, ((floor(rk * rate + o) - floor((rk - 1) * rate + o))::BIGINT * size)::BIGINT AS taken FROM ranked"""
 
 
 def op6(k: int = 20) -> str:
