@@ -236,6 +236,9 @@ def test_warc(spark):
         return id, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", 1 if revisit else None
 
     assert out == sorted((want(a, c) for a, _, c in rows), key=repr)
+    back = warc.round_trip(df)
+    assert warc.unanswered(back).count() == 0
+    assert warc.unanswered(back.withColumn("payload_digest", F.when(F.col("record_type") == "revisit", "0").otherwise(F.col("payload_digest")))).count() == 4
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
@@ -251,6 +254,11 @@ def test_warc_members():
                 return super().read(min(n, step))
 
         assert [r["record_id"] for r in warc.read_records(Slow(stream))] == [warc.record_id(k) for k in range(3)]
+    ids = [warc.make_record(5, "x", b"small", None, False, f"0.{k}") for k in range(2)] + [warc.make_record(None, "x", b"p" * 200, None, False, "0.2")]
+    assert [r["record_id"] for r in warc.read_records(io.BytesIO(b"".join(ids)))] == ["<urn:page:5:0.0>", "<urn:page:5:0.1>", "<urn:page:none:0.2>"]
+    endless = gzip.decompress(records[0]).replace(b"\r\n\r\nbody", b"\r\n" + b"x" * (3 << 20) + b"body", 1)
+    with pytest.raises(warc.BadRecord):
+        list(warc.read_records(io.BytesIO(gzip.compress(endless))))
     for broken in (stream[:-5], stream[:40], records[0][:-30] + records[1]):
         with pytest.raises(warc.BadRecord):
             list(warc.read_records(io.BytesIO(broken)))

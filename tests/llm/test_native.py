@@ -90,6 +90,19 @@ def test_url_filter(spark, inline):
     assert url_filter.judge(df.limit(0), inline=inline).count() == 0
 
 
+@pytest.mark.parametrize("inline", [64, 0])
+def test_url_rules_of_all_shapes(spark, inline):
+    """Rules without path, hosts without ASCII letters, an empty host, line breaks, and very long URLs."""
+    rules = (url_filter.Rule("block", "example.com", ""), url_filter.Rule("block", "пример.рф", "/x"), url_filter.Rule("allow", "", "/y"), url_filter.Rule("block", "-", "/"))
+    urls = ["http://example.com", "http://example.com\n", "http://example.com/", "http://a.example.com/q", "http://example.comx/", "http://пример.рф/xy", "http://b.пример.рф/", "http:///y", "http://a./yz", "http://-/", "http://a.-/", "http://" + "a." * 300_000 + "example.com/" + "z" * 500_000, "http://" + "a." * 300_000 + "example.org"]
+    want = ["block", "allow", "block", "block", "allow", "block", "allow", "allow", "allow", "block", "block", "block", "allow"]
+    names = ["example.com", None, "example.com", "example.com", None, "пример.рф/x", None, "/y", "/y", "-/", "-/", "example.com", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, rules, inline=inline).collect()}
+    assert out == dict(enumerate(zip(names, want, strict=True)))
+    assert all(r.tokens for r in rules)
+
+
 def test_url_index_takes_the_rarest_token(spark):
     df = spark.createDataFrame([("example.org", "/es/"), ("example.org", "/en/1"), ("other.org", "/")], "host string, path string")
     index = url_filter.rarest_tokens(df, url_filter.RULES)

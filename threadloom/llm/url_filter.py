@@ -6,7 +6,7 @@ The longest fitting rule decides (ties: the smaller rule string); a URL that no
 
 Edge cases: a null URL or one without ``://`` has empty host and path and fits no rule; repeated rows each get
 their verdict; an empty table gives an empty result; other columns are carried, those named like an added one
-are replaced.
+are replaced. A URL of any length takes time in proportion to it.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-TOKEN = r"[a-z0-9]+"
+#: Tokens are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. Besides, a host's last label
+#: with a dot before it is one, so that every rule has a token that not every URL has.
+TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Up to so many rules are looked up in a literal in the plan; more are joined by token.
 INLINE = 64
 #: A joined rule index of up to so many rules is broadcast (patterns are short: well below 100 MB); a larger one is shuffled.
@@ -41,13 +43,13 @@ class Rule:
     def pattern(self) -> str:
         """For host and path put together: the host holds no slash, and a path is empty or begins with one."""
         quoted = "".join("\\" + c if re.match(r"[^\w/]", c, re.ASCII) and ord(c) < 128 else c for c in self.name)
-        return r"^(?:[^/]*\.)?" + quoted + ("" if self.path else "(?:/|$)")
+        return r"^(?:[^/]*\.)?" + quoted + ("" if self.path else r"(?:/|\z)")
 
     @property
     def tokens(self) -> list[str]:
         """Tokens that any URL it fits has whole: the path's last may go on in the URL, so it isn't one of them."""
-        whole = re.findall(rf"{TOKEN}(?=[^a-z0-9])", self.name.lower() + ("" if self.path else "/"))
-        return sorted(set(whole))
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in self.name) + ("" if self.path else "/")
+        return sorted({*re.findall(TOKEN + r"(?=[\x00-\x2F\x3A-\x60\x7B-\x7F])", lowered), "." + self.host.rpartition(".")[2]})
 
 
 RULES = (
@@ -68,13 +70,15 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def _tokens(host: Column, path: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat(host, path)), F.lit(TOKEN), F.lit(0)))
+    """Distinct tokens of a URL, with its host's last label."""
+    found = F.regexp_extract_all(shared.ascii_lower(F.concat(host, path)), F.lit(TOKEN), F.lit(0))
+    return F.array_distinct(F.concat(found, F.array(F.concat(F.lit("."), F.substring_index(host, ".", -1)))))
 
 
 def rarest_tokens(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[Rule, str]:
-    """Each rule's indexed token: of its whole tokens that which the fewest of all URLs hold; '' if it has none.
+    """Each rule's indexed token: of its whole tokens that which the fewest of all URLs hold.
 
-    ``urls`` has host and path. Only counts of tokens that rules hold reach the driver.
+    ``urls`` has host and path. Only counts of tokens that rules hold reach the driver, which has the rules too.
     """
     wanted = sorted({t for r in rules for t in r.tokens})
     held = urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
@@ -84,7 +88,7 @@ def rarest_tokens(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[Rule, str]:
     else:
         seen = seen.join(F.broadcast(held) if len(wanted) <= BROADCAST else held, "token", "left_semi")
     counts = {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return {r: min(r.tokens, key=lambda t: (counts.get(t, 0), t), default="") for r in rules}
+    return {r: min(r.tokens, key=lambda t: (counts.get(t, 0), t)) for r in rules}
 
 
 def _best(found: Column) -> Column:
@@ -94,17 +98,13 @@ def _best(found: Column) -> Column:
 
 
 def _judge_inline(urls: DataFrame, index: dict[Rule, str]) -> DataFrame:
-    """No shuffle: the index is a literal map from token to rules."""
-    as_struct = lambda r: F.struct(F.lit(len(r.name)).alias("size"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"))
-    by_token: dict[str, list[Rule]] = {}
-    for r, token in index.items():
-        by_token.setdefault(token, []).append(r)
-    lists = [x for t, rs in sorted(by_token.items()) for x in (F.lit(t), F.array(*map(as_struct, rs)))]
+    """No shuffle: each rule is fetched by its token, and its pattern, compiled once, runs only where that is there."""
     subject = F.concat("host", "path")
-    fetched = F.filter(F.concat(_tokens(F.col("host"), F.col("path")), F.array(F.lit(""))), lambda t: t.isin(sorted(by_token)))
-    candidates = F.flatten(F.transform(fetched, lambda t: F.element_at(F.create_map(*lists), t)))
-    best = _best(F.filter(candidates, lambda r: F.regexp_like(subject, r["pattern"])))
-    return urls.withColumn("__best", best if by_token else F.lit(None).cast("struct<name:string,verdict:string>"))
+    as_struct = lambda r: F.struct(F.lit(len(r.name)).alias("size"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"))
+    read = urls.withColumn("__tokens", _tokens(F.col("host"), F.col("path")))
+    fitting = [F.when(F.array_contains("__tokens", token) & subject.rlike(r.pattern), as_struct(r)) for r, token in index.items()]
+    best = _best(F.filter(F.array(*fitting), lambda r: r.isNotNull())) if fitting else F.lit(None).cast("struct<size:int,name:string,verdict:string>")
+    return read.withColumn("__best", best)
 
 
 def _judge_joined(urls: DataFrame, index: dict[Rule, str]) -> DataFrame:
@@ -113,7 +113,7 @@ def _judge_joined(urls: DataFrame, index: dict[Rule, str]) -> DataFrame:
     rules = spark.createDataFrame([(t, len(r.name), r.name, r.verdict, r.pattern) for r, t in index.items()], "token string, size int, name string, verdict string, pattern string")
     rules = F.broadcast(rules) if len(index) <= BROADCAST else rules
     distinct = urls.select("host", "path").distinct()
-    tokens = distinct.select("host", "path", F.explode(F.concat(_tokens(F.col("host"), F.col("path")), F.array(F.lit("")))).alias("token"))
+    tokens = distinct.select("host", "path", F.explode(_tokens(F.col("host"), F.col("path"))).alias("token"))
     fitting = tokens.join(rules, "token").where(F.regexp_like(F.concat("host", "path"), F.col("pattern")))
     best = fitting.groupBy("host", "path").agg(F.min(F.struct((-F.col("size")).alias("size"), "name", "verdict")).alias("__best"))
     return urls.join(best, ["host", "path"], "left")

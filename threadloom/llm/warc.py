@@ -9,8 +9,8 @@ Files are written below the shared folder through the file system that its path
 its own and renames at the end, so a repeated task leaves one whole file with the same records.
 
 Edge cases: a null payload is empty; payloads below the least size are always responses; rows that repeat the
-smallest id of a payload are all responses; null ids are written without id, and never referred to unless they
-are the only ones; an empty table gives archives without records; other columns take no part.
+smallest id of a payload are all responses, and are the only records whose URNs repeat; null ids are written without
+id, and never referred to; an empty table gives archives without records; other columns take no part.
 """
 
 from __future__ import annotations
@@ -43,19 +43,23 @@ def _digest(data: bytes) -> str:
     return "sha256:" + hashlib.sha256(data).hexdigest()
 
 
-def record_id(page_id: int | None) -> str:
-    """A URN for each id; ids that are null have none of their own."""
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def record_id(page_id: int | None, place: str = "") -> str:
+    """A URN for each record: the page's id, and the record's place among the archives where others may share the id."""
+    return f"<urn:page:{'none' if page_id is None else page_id}{place and ':' + place}>"
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """The gzip member of a record. A revisit says the payload's size in its HTTP header, and its digest in its own."""
+def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, place: str = "") -> bytes:
+    """The gzip member of a record. A revisit says the payload's size in its HTTP header, and its digest in its own.
+
+    What a revisit may refer to, a response of the least size or more with an id, has that id alone as its URN, so that
+    it can be named without having been seen. All other URNs hold the record's place.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     uri = "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url or "") or "urn:none"
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", record_id(page_id)),
+        ("WARC-Record-ID", record_id(page_id, "" if page_id is not None and not revisit and len(payload) >= LEAST else place)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", uri),
         ("WARC-Payload-Digest", _digest(payload)),
@@ -152,6 +156,8 @@ def read_records(stream) -> Iterator[dict]:
                 http += piece
                 at = http.find(END)
                 if at < 0:
+                    if len(http) > READ:
+                        raise BadRecord("an HTTP header doesn't end")
                     continue
                 head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http[:at].decode("latin-1").split("\r\n")[1:])}
                 piece = http[at + 4 :]
@@ -172,7 +178,7 @@ def read_records(stream) -> Iterator[dict]:
 
 
 def _id(urn: str | None) -> int | None:
-    number = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+    number = (urn or "").removeprefix("<urn:page:").removesuffix(">").partition(":")[0]
     return int(number) if number.lstrip("-").isdigit() else None
 
 
@@ -181,13 +187,15 @@ def _writer(folder: str):
         from pyspark import TaskContext
 
         files, base = shared.open_folder(folder)
-        name = f"pages-{TaskContext.get().partitionId():06d}.warc.gz"
+        part = TaskContext.get().partitionId()
+        name = f"pages-{part:06d}.warc.gz"
         mine, n, size = f"{base}/{name}.{uuid.uuid4().hex}.tmp", 0, 0
         with files.open_output_stream(mine, compression=None) as out:
             for batch in batches:
                 for page_id, url, html, refers_to, revisit in zip(*batch.columns, strict=True):
                     payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
-                    n, size = n + 1, size + out.write(make_record(page_id.as_py(), url.as_py(), payload, refers_to.as_py(), revisit.as_py()))
+                    size += out.write(make_record(page_id.as_py(), url.as_py(), payload, refers_to.as_py(), revisit.as_py(), f"{part}.{n}"))
+                    n += 1
         files.move(mine, f"{base}/{name}")
         yield pa.RecordBatch.from_pydict({"file": [name], "records": [n], "bytes": [size]})
 
@@ -238,6 +246,12 @@ def read(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     return listed.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+def unanswered(records: DataFrame) -> DataFrame:
+    """Revisits that don't refer to a response with the payload size and digest that they say themselves."""
+    answers = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    return records.where("record_type = 'revisit'").join(answers, ["refers_to", "payload_bytes", "payload_digest"], "left_anti")
+
+
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     folder = shared.work_dir(pages.sparkSession) + "/warc"
     return read(pages.sparkSession, folder, write(pages, folder, key=key, url=url, html=html))
