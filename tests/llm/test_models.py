@@ -291,6 +291,39 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_likelihood_and_its_gradients():
+    """Against the definition, and differences; every grade of the scale, also one that no row has."""
+    draw = np.random.default_rng(2)
+    scores, y, thresholds = draw.normal(size=40), draw.choice([0, 1, 3], 40), np.array([-1.0, 0.2, 0.9])
+
+    def plain(scores, thresholds):
+        total = 0.0
+        for s, k in zip(scores, y, strict=True):
+            tail = [1.0] + [1 / (1 + np.exp(t - s)) for t in thresholds] + [0.0]
+            total += np.log(tail[k] - tail[k + 1])
+        return total / len(y)
+
+    value, by_score, by_threshold = quality.likelihood(scores, y, thresholds)
+    assert abs(value - plain(scores, thresholds)) < 1e-12
+    for j, found in enumerate(by_score):
+        step = np.eye(len(scores))[j] * 1e-6
+        assert abs((plain(scores + step, thresholds) - plain(scores - step, thresholds)) / 2e-6 - found) < 1e-8
+    for j, found in enumerate(by_threshold):
+        step = np.eye(3)[j] * 1e-6
+        assert abs((plain(scores, thresholds + step) - plain(scores, thresholds - step)) / 2e-6 - found) < 1e-8
+
+
+def test_grades_are_those_of_the_scale():
+    texts = [(GOOD, JUNK)[k % 2] + f" w{k}" for k in range(200)]
+    model = quality.train(texts, [2 - k % 2 for k in range(200)])
+    assert len(model.thresholds) == 2
+    good, junk = (model.tails(model.score(quality.features(t + " w1"))) for t in (GOOD, JUNK))
+    assert good[0] > 0.95 and junk[0] > 0.9 and good[1] > 0.9 and junk[1] < 0.2  # nothing is toxic
+    assert list(quality._apart(np.array([1.0, 0.5, 2.0]))) == [1.0, 1.0 + quality.GAP, 2.0]
+    with pytest.raises(ValueError):
+        quality.train(texts, [k % 4 for k in range(200)])
+
+
 WORDS = {"en": "the of and with river stone water house think".split(), "de": "der und mit straße wasser schön haus denken nicht".split()}
 
 
@@ -341,6 +374,40 @@ def test_runs_of_languages(spark, monkeypatch):
     assert [(r["lang"], r["start"], r["end"]) for r in langid._decode([long], model, True)[1][0]] == [("de", 0, len(long) - 1)]
 
 
+@pytest.mark.parametrize("part", [1 << 16, 90])
+def test_long_texts_are_one_sequence(monkeypatch, part):
+    """Segments and parts change nothing: marginals are those of forward-backward over the whole sequence."""
+    model = langid.train([(lang, prose(lang, k)) for k in range(40) for lang in ("en", "de")])
+    text = " ".join(prose(lang, k, n) for k, (lang, n) in enumerate([("en", 130), ("de", 77), ("en", 3), ("de", 5), ("en", 101)]))
+    whole = model.emissions(langid.Words(langid.words(text)))
+    want, _ = langid.marginals(whole, np.array([len(whole)]), model.start, model.move)
+    monkeypatch.setattr(langid, "SEGMENT", 20)
+    monkeypatch.setattr(langid, "PART", part)
+    found = np.concatenate(list(langid._long(text, model)))
+    assert np.allclose(found, want, atol=1e-9)
+    means = want.mean(axis=0)
+    assert langid.predict([text], model)[0] == (model.labels[int(means.argmax())], pytest.approx(means.max()))
+
+
+def test_a_word_of_ten_megabytes_takes_bounded_memory():
+    import tracemalloc
+
+    model = langid.train([(lang, prose(lang, k)) for k in range(10) for lang in ("en", "de")])
+    text = "straße" * 1_700_000
+    tracemalloc.start()
+    assert langid.predict([text, "12 " * 400_000], model) == [("de", pytest.approx(1, abs=0.1)), ("und", 0.0)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def test_the_sample_is_the_same_however_rows_are_dealt(spark):
+    rows = [(k % 50, prose(("en", "de")[k % 2], k), ("en", "de")[k % 2]) for k in range(300)] + [(7, prose("en", 1), "en")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = langid.fit(docs, F.lit(True), texts=40), langid.fit(docs.repartition(7), F.lit(True), texts=40)
+    assert np.array_equal(one.weights, two.weights)
+
+
 def test_more_than_64_languages(spark):
     names = [f"l{k:02}" for k in range(70)]
     own = lambda k: [f"{chr(97 + k // 9)}{c}{chr(97 + k % 9)}{c}x" for c in "aeiouy"]

@@ -6,11 +6,15 @@ those at an end are its affixes), the word itself, and the languages whose learn
 language is the one with the largest mean marginal over its words; that mean is the score.
 
 Training: the words of a document are labelled with the document's language; half of the sequences are put together
-from pieces of two documents, so that transitions are learned. The sample is bounded (``TEXTS`` a language in
-expectation, ``SLICES`` slices of ``SLICE`` characters from all over a text). Prediction reads whole texts; a text
-of more than ``SEGMENT`` words is decoded in segments of that many, which bounds memory. Every language that the
+from pieces of two documents, so that transitions are learned. The sample is bounded: ``TEXTS`` rows of a language in
+expectation and twice that at most, in the order of a hash, each distinct text once and whole. Every language that the
 learned rows have is a label; a model takes half a megabyte for each, and training several.
 
+Prediction reads whole texts, each as one sequence. Texts of more than ``SEGMENT`` words go through in segments that
+advance together: each segment's transfer matrix first, then the messages that pass between segments, and with these
+the words' marginals, which are those of the whole sequence. Memory is bounded by ``PART`` words or ``CHARACTERS``,
+whichever comes first. A run of more than 4,096 letters, as in writing without spaces, is several words.
+
 Edge cases: null texts and texts without a letter are ``und`` with score 0; without any labelled text everything
 is ``und``; a single label gets score 1; repeated rows are each labelled; an empty table gives an empty result;
 input columns named like an added one are replaced.
@@ -29,8 +33,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Texts of each language to learn from, in expectation, and the parts of each.
-TEXTS, SLICE, SLICES = 500, 600, 4
+#: Texts of each language to learn from, in expectation.
+TEXTS = 300
 #: Words of a training sequence, and of a decoded segment.
 SEQUENCE, SEGMENT = 48, 1024
 #: Hash space of features; n-gram sizes in bytes.
@@ -38,29 +42,26 @@ BITS, GRAMS = 17, (2, 3, 4)
 #: A word is in a language's lexicon if so many of its uses, and this share of them, are there.
 LEXICON_USES, LEXICON_SHARE = 3, 0.8
 EPOCHS, RATE = 4, 0.3
-#: Words of a decoded batch, and of a part of a long text that goes into one.
-BATCH, PART = 100_000, 64 * SEGMENT
+#: Words, and characters, of a decoded batch of texts, and of a part of a long text.
+PART, CHARACTERS = 64 * SEGMENT, 500_000
 NONE = "und"
 ADDED = ("lang_pred", "score")
 #: What ``label`` adds on request: runs of words of one language, with code point offsets and their mean marginal.
 RUNS = ("runs", "array<struct<start: int, end: int, lang: string, marginal: double>>")
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+# A longer run of letters is cut, which bounds what a word's features take.
+_LETTERS = re.compile(r"[^\W\d_]{1,4096}")
 _MASK = np.uint64((1 << BITS) - 1)
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _LETTERS.findall(text.lower()) if text else []
+    """Runs of letters."""
+    return _LETTERS.findall(text) if text else []
 
 
 def places(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Where each of ``words(text)`` starts and ends in the text, in code points."""
-    low = text.lower()
-    found = np.array([m.span() for m in _LETTERS.finditer(low)], dtype=np.int64).reshape(-1, 2)
-    if len(low) != len(text):  # lower-casing may make two code points of one
-        origin = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
-        found = np.stack([origin[found[:, 0]], origin[found[:, 1] - 1] + 1], axis=1)
+    found = np.array([m.span() for m in _LETTERS.finditer(text)], dtype=np.int64).reshape(-1, 2)
     return found[:, 0], found[:, 1]
 
 
@@ -70,10 +71,10 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 class Words:
-    """Hashed features of a sequence of words, all at once: n-grams from one byte string, and the words themselves."""
+    """Hashed features of a sequence of words, lower-cased, all at once: n-grams from one byte string, and the words themselves."""
 
     def __init__(self, tokens: list[str]):
-        data = np.frombuffer((" " + " ".join(tokens) + " ").encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint64)
+        data = np.frombuffer((" " + " ".join(tokens) + " ").lower().encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint64)
         gaps = np.flatnonzero(data == 32)
         self.starts, self.n = gaps[:-1], len(tokens)  # each word begins at the gap before it
         lengths = np.diff(gaps)
@@ -136,21 +137,51 @@ class Model:
         return (self.lexicon[seq.ids[-1]][:, at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
 
 
-def marginals(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over sequences that stand one after the other in ``emit``: marginals of words, and sums of
-    those of transitions. Sequences advance together, longest first, in scaled probabilities."""
-    n, labels = emit.shape
+def _together(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Order of sequences, longest first, where each begins, and how many have more than 0, 1, ... words."""
     order = np.argsort(-lengths, kind="stable")
-    begins = (np.cumsum(lengths) - lengths)[order]
     sizes = lengths[order]
-    p = np.exp(emit - emit.max(axis=1, keepdims=True)).astype(np.float64) + 1e-30
-    step = np.exp(move)
-    ahead, back, scale = np.empty((n, labels)), np.ones((n, labels)), np.empty(n)
     longest = int(sizes[0]) if len(sizes) else 0
-    alive = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(longest)]  # sequences with more than t words
+    return order, (np.cumsum(lengths) - lengths)[order], [int(np.searchsorted(-sizes, -t, side="left")) for t in range(longest)]
+
+
+def _probable(emit: np.ndarray) -> np.ndarray:
+    return np.exp(emit - emit.max(axis=1, keepdims=True)).astype(np.float64) + 1e-30
+
+
+def transfers(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """For each segment in ``emit`` the matrix that takes the message before it to the message at its last word, but for
+    a factor. ``first`` are the start scores if the first segment begins a sequence."""
+    order, begins, alive = _together(lengths)
+    p, step = _probable(emit), np.exp(move)
+    out = np.empty((len(lengths), *step.shape))
+    for t, n in enumerate(alive):
+        at = begins[:n] + t
+        before = np.tile(step, (n, 1, 1)) if t == 0 else out[:n] @ step
+        if t == 0 and first is not None:
+            before[np.flatnonzero(order == 0)] = np.exp(first)[None, :]
+        out[:n] = before * p[at][:, None, :]
+        out[:n] /= out[:n].sum(axis=(1, 2), keepdims=True)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def marginals(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, entry: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over sequences that stand one after the other in ``emit``: marginals of words, and sums of
+    those of transitions. Sequences advance together, longest first, in scaled probabilities. For segments of a longer
+    sequence, ``entry`` has the message that enters each first word, and ``leave`` the one that comes back to each last."""
+    n, labels = emit.shape
+    order, begins, alive = _together(lengths)
+    longest = len(alive)
+    p, step = _probable(emit), np.exp(move)
+    ahead, back, scale = np.empty((n, labels)), np.ones((n, labels)), np.empty(n)
+    if leave is not None:
+        back[np.cumsum(lengths) - 1] = leave
     for t in range(longest):
         at = begins[: alive[t]] + t
-        now = (np.exp(start) if t == 0 else ahead[at - 1] @ step) * p[at]
+        enter = np.exp(start) if entry is None else entry[order]
+        now = (enter if t == 0 else ahead[at - 1] @ step) * p[at]
         scale[at] = now.sum(axis=1)
         ahead[at] = now / scale[at][:, None]
     moves = np.zeros((labels, labels))
@@ -212,6 +243,54 @@ def train(samples: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 7) -
     return model
 
 
+def _parts(text: str) -> Iterator[list[str]]:
+    """The words of a text in parts of bounded size."""
+    found: list[str] = []
+    size = 0
+    for m in _LETTERS.finditer(text):
+        found.append(m.group())
+        size += m.end() - m.start()
+        if len(found) == PART or size >= CHARACTERS:
+            yield found
+            found, size = [], 0
+    if found:
+        yield found
+
+
+def _cut(n: int) -> np.ndarray:
+    return np.array([min(SEGMENT, n - i) for i in range(0, n, SEGMENT)])
+
+
+def _long(text: str, model: Model) -> Iterator[np.ndarray]:
+    """Marginals of a long text's words, part by part, as of one sequence."""
+    kept: list[np.ndarray] = []  # the emissions of a single part; more parts are featurised twice rather than held
+    matrices, first = [], True
+    for part in _parts(text):
+        emit = model.emissions(Words(part))
+        kept = [emit] if first else []
+        matrices.append(transfers(emit, _cut(len(emit)), model.move, model.start if first else None))
+        first = False
+    across = np.concatenate(matrices)
+    step = np.exp(model.move)
+    # What enters each segment, and what comes back to its end; the first's matrix has the start in each row.
+    entry, leave = np.empty(across.shape[:2]), np.empty(across.shape[:2])
+    message = np.full(len(model.labels), 1 / len(model.labels))
+    for k, matrix in enumerate(across):
+        entry[k] = np.exp(model.start) if k == 0 else message @ step
+        message = message @ matrix
+        message /= message.sum()
+    message = np.ones(len(model.labels))
+    for k in range(len(across) - 1, -1, -1):
+        leave[k] = message
+        message = across[k] @ message
+        message /= message.sum()
+    at = 0
+    for emit in kept or (model.emissions(Words(part)) for part in _parts(text)):
+        lengths = _cut(len(emit))
+        yield marginals(emit, lengths, model.start, model.move, entry[at : at + len(lengths)], leave[at : at + len(lengths)])[0]
+        at += len(lengths)
+
+
 def _decode(texts: list[str | None], model: Model, runs: bool) -> tuple[list[tuple[str, float]], list[list[dict]]]:
     """Language and score of whole texts, and with ``runs`` their words' labels, all from one forward-backward pass."""
     out: list[tuple[str, float]] = [(NONE, 0.0)] * len(texts)
@@ -222,31 +301,32 @@ def _decode(texts: list[str | None], model: Model, runs: bool) -> tuple[list[tup
     waiting: list[tuple[int, list[str]]] = []
     held = 0
 
+    def take(i: int, found: np.ndarray) -> None:
+        sums[i] += found.sum(axis=0)
+        counts[i] += len(found)
+        if runs:
+            best = found.argmax(axis=1)
+            own[i].append((best, found[np.arange(len(best)), best]))
+
     def flush() -> None:
         nonlocal held
-        if not waiting:
-            return
-        seq = Words([w for _, ws in waiting for w in ws])
-        lengths = np.array([min(SEGMENT, len(ws) - i) for _, ws in waiting for i in range(0, len(ws), SEGMENT)])
-        found, _ = marginals(model.emissions(seq), lengths, model.start, model.move)
-        sizes = np.array([len(ws) for _, ws in waiting])
-        begins = np.cumsum(sizes) - sizes
-        best = found.argmax(axis=1) if runs else None
-        for (i, _), m, at, n in zip(waiting, np.add.reduceat(found, begins, axis=0), begins, sizes, strict=True):
-            sums[i] += m
-            counts[i] += n
-            if runs:
-                mine = best[at : at + n]
-                own[i].append((mine, found[np.arange(at, at + n), mine]))
+        if waiting:
+            lengths = np.array([len(ws) for _, ws in waiting])
+            found, _ = marginals(model.emissions(Words([w for _, ws in waiting for w in ws])), lengths, model.start, model.move)
+            for (i, _), part in zip(waiting, np.split(found, np.cumsum(lengths)[:-1]), strict=True):
+                take(i, part)
         waiting.clear()
         held = 0
 
     for i, text in enumerate(texts):
-        ws = words(text)
-        for start in range(0, len(ws), PART):
-            waiting.append((i, ws[start : start + PART]))
-            held += len(waiting[-1][1])
-            if held >= BATCH:
+        ws = words(text) if len(text or "") <= CHARACTERS else None
+        if ws is None or len(ws) > SEGMENT:
+            for found in _long(text, model) if _LETTERS.search(text) else ():
+                take(i, found)
+        elif ws:
+            waiting.append((i, ws))
+            held += len(text)
+            if held >= CHARACTERS:
                 flush()
     flush()
     for i in np.flatnonzero(counts):
@@ -279,11 +359,11 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
         return train([])
     rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000, max(1, 1_000_000 * texts // n)))])
     rate = F.try_element_at(rates, F.col("lang"))
-    room = F.length("t") - SLICE
-    parts = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(F.col("t"), 1 + F.floor(i * room / (SLICES - 1)).cast("int"), F.lit(SLICE)))
-    some = known.where(F.pmod(F.xxhash64("k", F.lit(1)), F.lit(1_000_000)) < rate).select("lang", F.xxhash64("k", "t").alias("o"), F.when(F.length("t") <= SLICE * SLICES, F.array("t")).otherwise(parts).alias("parts"))
-    found = sorted(some.limit(2 * texts * len(counts)).collect(), key=lambda r: (r["o"], r["lang"]))
-    return train([(r["lang"], p) for r in found for p in r["parts"]])
+    drawn = F.xxhash64("k", "t")
+    some = known.where(F.pmod(F.xxhash64("k", "t", F.lit(1)), F.lit(1_000_000)) < rate).select("lang", drawn.alias("o"), "t")
+    # Repeated rows count once; the bound holds whatever the draw, and the same rows are taken each time.
+    found = some.dropDuplicates(["lang", "o"]).orderBy("o", "lang").limit(2 * texts * len(counts)).collect()
+    return train([(r["lang"], r["t"]) for r in found])
 
 
 def label(docs: DataFrame, model: Model, text: str = "text", runs: bool = False) -> DataFrame:

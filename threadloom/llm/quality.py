@@ -1,21 +1,24 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings, over hashed text features.
 
-Grades are ordered. One weight vector gives a text its score; ordered thresholds part the score into grades:
-P(grade >= k) = sigmoid(score - threshold_k). The expected grade is the sum of these tail probabilities, and a
-tail probability selects. Features are hashed: words by presence, so that one telling word counts in a text of any
-length, and shares of token shapes, so that style counts whatever the length.
+Grades are ordered, 0 to ``grades - 1``. One weight vector gives a text its score; ordered thresholds part the score
+into grades: P(grade >= k) = sigmoid(score - threshold_k). The expected grade is the sum of these tail probabilities,
+and a tail probability selects. Features are hashed: words by presence, so that one telling word counts in a text of
+any length, and shares of token shapes, so that style counts whatever the length.
 
-Training uses a bounded, deterministic sample of labelled rows (``ROWS`` at most in expectation, slices of
-``SLICE`` characters spread over whole texts); scoring reads whole texts of all rows.
+Training maximises the cumulative-link likelihood, P(grade = k) = P(grade >= k) - P(grade >= k + 1), on a bounded,
+deterministic sample of labelled rows (``ROWS`` in expectation, twice that at most, in the order of a hash); each of
+them is read whole, and so is every text that is scored.
 
 Edge cases: null and empty texts have no features, get the grade that the thresholds alone give, and are never
-kept; rows without label aren't learned from; without any label, or with one grade only, every text with a word
-is kept; repeated rows are each scored; input columns named like an added one are replaced.
+kept; rows without label aren't learned from; a grade that no learned row has keeps its place on the scale; without any
+label, or with one grade only, every text with a word is kept; repeated rows are each scored, and learned from once;
+input columns named like an added one are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -29,13 +32,15 @@ from . import shared
 
 #: Labelled rows to learn from, in expectation.
 ROWS = 6000
-#: Characters of a slice and slices of a text that is learned from; a longer text gives this many, evenly spread.
-SLICE, SLICES = 2000, 8
+#: Grades of the scale.
+GRADES = 3
 #: Hash space of words.
 BITS = 16
 #: Words of fewer training texts than this have no weight.
 RARE = 4
 EPOCHS, RATE, DECAY, SPARSE = 150, 0.5, 2e-4, 1e-3
+#: Least distance of two thresholds: below it a grade would have no probability.
+GAP = 1e-3
 #: A text is kept if the probability of the highest grade is this at least.
 KEEP = 0.5
 ADDED = ("expected_grade", "p_tail", "p_top", "keep")
@@ -59,17 +64,29 @@ class Model:
 
 
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
-_SHAPE_CACHE: dict[str, tuple[int, int]] = {}
+_SHAPE_CACHE: dict[str, tuple[tuple[int, ...], int]] = {}
+_TAIL = re.compile(r"[^\w]+$")
 
 
-def _token(token: str) -> tuple[int, int]:
-    """Hashed word (without punctuation at its ends, lower-cased) and shape of a token."""
+def _hash(word: str) -> int:
+    return crc32(word.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+
+
+def _token(token: str) -> tuple[tuple[int, ...], int]:
+    """Hashed features and shape of a token.
+
+    Hashed are the word, without punctuation at its ends and lower-cased, and the marks at its end, if any. Shapes are
+    how a token ends, if in a symbol or a mark that ends no clause, else how its letters and digits look.
+    """
     bare = _EDGES.sub("", token)
-    tail = token[len(token.rstrip("$%&*#!|@~^=+<>")) :]
+    tail = _TAIL.search(token)
+    last = unicodedata.category(token[-1])
     if not bare:
         shape = 0
-    elif tail:
-        shape = 1 if len(tail) == 1 else 2 + (tail[-1] == "!")
+    elif last[0] == "S":
+        shape = 1
+    elif tail and token[-1] not in ".,;:?\"'" and last not in ("Pe", "Pf"):
+        shape = 2
     elif any(c.isdigit() for c in bare):
         shape = 4 if bare.isdigit() else 5
     elif len(bare) > 1 and bare.isupper():
@@ -80,7 +97,7 @@ def _token(token: str) -> tuple[int, int]:
         shape = 8
     else:
         shape = 9
-    return crc32(bare.lower().encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1), shape
+    return (_hash(bare.lower()),) + ((_hash("\0" + tail[0]),) if tail and bare else ()), shape
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +116,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             if len(_SHAPE_CACHE) > 200_000:
                 _SHAPE_CACHE.clear()
             found = _SHAPE_CACHE[t] = _token(t)
-        ids.add(found[0])
+        ids.update(found[0])
         shapes[found[1]] += n
     shapes[:10] /= len(tokens)
     shapes[10] = len(counts) / len(tokens)
@@ -107,59 +124,69 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(ids, dtype=np.int64, count=len(ids)), shapes
 
 
-def train(texts: list[str | None], grades: list[int], epochs: int = EPOCHS) -> Model:
+def likelihood(scores: np.ndarray, y: np.ndarray, thresholds: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean log-likelihood of grades ``y`` under cumulative links, and its gradients by each score and each threshold."""
+    n, top = len(y), len(thresholds)
+    tails = 1 / (1 + np.exp(np.clip(thresholds[None, :] - scores[:, None], -40, 40)))
+    tails = np.concatenate([np.ones((n, 1)), tails, np.zeros((n, 1))], axis=1)  # P(grade >= 0), ..., P(grade >= top + 1)
+    at = np.arange(n)
+    above, below = tails[at, y], tails[at, y + 1]
+    p = np.maximum(above - below, 1e-12)
+    by_threshold = np.zeros((n, top + 2))
+    by_threshold[at, y] -= above * (1 - above) / p
+    by_threshold[at, y + 1] += below * (1 - below) / p
+    return float(np.log(p).mean()), (1 - above - below) / n, by_threshold[:, 1 : top + 1].sum(axis=0) / n
+
+
+def _apart(thresholds: np.ndarray) -> np.ndarray:
+    """In order, and at least ``GAP`` from each other."""
+    steps = GAP * np.arange(len(thresholds))
+    return np.maximum.accumulate(thresholds - steps) + steps
+
+
+def train(texts: list[str | None], grades: list[int], epochs: int = EPOCHS, scale: int = GRADES) -> Model:
     """Maximum likelihood with Adagrad over all rows at once; the same sample gives the same model."""
-    levels = sorted(set(grades))
-    y = np.array([levels.index(g) for g in grades])
+    y = np.array(grades, dtype=np.int64)
+    if len(set(grades)) < 2:
+        return Model(np.zeros(1 << BITS), np.zeros(SHAPES), np.zeros(0))
+    if y.min() < 0 or y.max() >= scale:
+        raise ValueError(f"grades must be from 0 to {scale - 1}")
     rows = [features(t) for t in texts]
     n = len(rows)
-    words, shapes, thresholds = np.zeros(1 << BITS), np.zeros(SHAPES), np.linspace(-1, 1, max(0, len(levels) - 1))
-    if len(levels) < 2:
-        return Model(words, shapes, thresholds)
+    words, thresholds = np.zeros(1 << BITS), np.linspace(-1, 1, scale - 1) if scale > 2 else np.zeros(1)
     at = np.repeat(np.arange(n), [len(r[0]) for r in rows])
     ids = np.concatenate([r[0] for r in rows])
     spread = np.bincount(ids, minlength=1 << BITS)
     use = spread[ids] >= RARE
     at, ids = at[use], ids[use]
     shape = np.stack([r[1] for r in rows])
-    mean, scale = shape.mean(axis=0), shape.std(axis=0) + 1e-6
-    standard = (shape - mean) / scale
+    mean, width = shape.mean(axis=0), shape.std(axis=0) + 1e-6
+    standard = (shape - mean) / width
     ws = np.zeros(SHAPES)
     sums = [np.full_like(x, 1e-8) for x in (words, ws, thresholds)]
-    over = (y[:, None] > np.arange(len(thresholds))[None, :]).astype(float)
     for _ in range(epochs):
         score = np.bincount(at, weights=words[ids], minlength=n) + standard @ ws
-        p = 1 / (1 + np.exp(np.clip(thresholds[None, :] - score[:, None], -40, 40)))
-        # The cumulative links' composite likelihood: each threshold parts all rows in two.
-        miss = (over - p) / n
-        each = miss.sum(axis=1)
-        steps = (np.bincount(ids, weights=each[at], minlength=1 << BITS), standard.T @ each - DECAY * ws, -miss.sum(axis=0))
+        _, each, by_threshold = likelihood(score, y, thresholds)
+        steps = (np.bincount(ids, weights=each[at], minlength=1 << BITS), standard.T @ each - DECAY * ws, by_threshold)
         for value, step, total in zip((words, ws, thresholds), steps, sums, strict=True):
             total += step**2
             value += RATE * step / np.sqrt(total)
         # Words whose gradient stays within the noise of a few texts keep no weight.
         words = np.sign(words) * np.maximum(0, np.abs(words) - RATE * SPARSE / np.sqrt(sums[0]))
-        thresholds.sort()
-    return Model(words, ws / scale, thresholds + float(mean @ (ws / scale)))
-
-
-def _slices(text):
-    """Bounded parts of a text from all over it, put together at word ends as far as white space allows."""
-    room = F.length(text) - SLICE
-    parts = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda k: F.substring(text, 1 + F.floor(k * room / (SLICES - 1)).cast("int"), F.lit(SLICE)))
-    return F.when(F.length(text) <= SLICE * SLICES, text).otherwise(F.array_join(parts, " "))
+        thresholds = _apart(thresholds)
+    return Model(words, ws / width, thresholds + float(mean @ (ws / width)))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade", rows: int = ROWS) -> Model:
+def fit(docs: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade", rows: int = ROWS, scale: int = GRADES) -> Model:
     """Learns from texts whose key has a rating. Of repeated ratings the lowest counts."""
     rated = ratings.where(F.col(grade).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(grade).alias("__g"))
     n = rated.count()
     some = rated.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < min(1_000_000, int(1_000_000 * rows / max(1, n))))
-    some = F.broadcast(some.limit(2 * rows))  # bounded by the parameter, so texts needn't be shuffled to meet it
-    taken = docs.select(key, F.col(text).alias("__t")).where("__t is not null").join(some, key).select("__g", _slices(F.col("__t")).alias("__t"), F.xxhash64(key, "__t").alias("__o"))
-    found = taken.limit(2 * rows).collect()
-    found.sort(key=lambda r: r["__o"])
-    return train([r["__t"] for r in found], [r["__g"] for r in found])
+    some = F.broadcast(some.orderBy(F.xxhash64(key), key).limit(2 * rows))  # bounded by the parameter, so texts needn't be shuffled to meet it
+    met = docs.select(key, F.col(text).alias("__t")).where("__t is not null").join(some, key).select(key, "__g", "__t", F.xxhash64(key, "__t").alias("__o"))
+    # A rated key may repeat with many texts: distinct ones, in the order of a hash, up to the bound.
+    found = met.dropDuplicates(["__o"]).orderBy("__o").limit(2 * rows).collect()
+    return train([r["__t"] for r in found], [r["__g"] for r in found], scale=scale)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: float = KEEP) -> DataFrame:
