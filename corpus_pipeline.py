@@ -5,7 +5,7 @@ each result as Parquet in the shared folder and reads it back as the next stage'
 return the columns of documents.
 
 Edge cases are those of the operators: a null or empty text has no word and is rejected by the first stage; of
-copies without id one stays, if none has an id; a stage without rows hands on none.
+copies without id one stays, if none has an id; of repeated rows one stays; a stage without rows hands on none.
 """
 
 from __future__ import annotations
