@@ -370,6 +370,7 @@ def test_runs_of_languages(spark, monkeypatch):
         at = r["end"]
     assert abs(out[0]["runs"][-1]["start"] - texts[0].index(two)) < 20 and out[0]["runs"][-1]["end"] == len(texts[0]) - 1
     monkeypatch.setattr(langid, "PART", langid.SEGMENT)
+    monkeypatch.setattr(langid, "CHARACTERS", 2000)
     long = prose("de", 3, 3000)
     assert [(r["lang"], r["start"], r["end"]) for r in langid._decode([long], model, True)[1][0]] == [("de", 0, len(long) - 1)]
 
@@ -383,8 +384,11 @@ def test_long_texts_are_one_sequence(monkeypatch, part):
     want, _ = langid.marginals(whole, np.array([len(whole)]), model.start, model.move)
     monkeypatch.setattr(langid, "SEGMENT", 20)
     monkeypatch.setattr(langid, "PART", part)
-    found = np.concatenate(list(langid._long(text, model)))
-    assert np.allclose(found, want, atol=1e-9)
+    assert np.allclose(np.concatenate(list(langid._long(text, model))), want, atol=1e-9)
+    short = langid.words(prose("en", 77, 9))
+    found = langid._whole([short, langid.words(text), short], model)
+    assert np.allclose(found[1], want, atol=1e-9) and np.allclose(found[0], found[2])
+    assert np.allclose(found[0], langid.marginals(model.emissions(langid.Words(short)), np.array([9]), model.start, model.move)[0])
     means = want.mean(axis=0)
     assert langid.predict([text], model)[0] == (model.labels[int(means.argmax())], pytest.approx(means.max()))
 

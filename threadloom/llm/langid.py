@@ -10,9 +10,9 @@ from pieces of two documents, so that transitions are learned. The sample is bou
 expectation and twice that at most, in the order of a hash, each distinct text once and whole. Every language that the
 learned rows have is a label; a model takes half a megabyte for each, and training several.
 
-Prediction reads whole texts, each as one sequence. Texts of more than ``SEGMENT`` words go through in segments that
-advance together: each segment's transfer matrix first, then the messages that pass between segments, and with these
-the words' marginals, which are those of the whole sequence. Memory is bounded by ``PART`` words or ``CHARACTERS``,
+Prediction reads whole texts, each as one sequence. Texts of more than ``SEGMENT`` words go through in segments, and
+all segments of a batch advance together: first each one's transfer matrix, then the messages that pass between them,
+and with these the words' marginals, which are those of the whole sequences. Memory is bounded by ``PART`` words or ``CHARACTERS``,
 whichever comes first. A run of more than 4,096 letters, as in writing without spaces, is several words.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; without any labelled text everything
@@ -35,15 +35,16 @@ from . import shared
 
 #: Texts of each language to learn from, in expectation.
 TEXTS = 300
-#: Words of a training sequence, and of a decoded segment.
-SEQUENCE, SEGMENT = 48, 1024
+#: Words of a training sequence, and of a decoded segment (for up to 16 labels; more labels have longer ones, for a
+#: segment's matrix takes work by the square of their number).
+SEQUENCE, SEGMENT = 48, 256
 #: Hash space of features; n-gram sizes in bytes.
 BITS, GRAMS = 17, (2, 3, 4)
 #: A word is in a language's lexicon if so many of its uses, and this share of them, are there.
 LEXICON_USES, LEXICON_SHARE = 3, 0.8
 EPOCHS, RATE = 4, 0.3
 #: Words, and characters, of a decoded batch of texts, and of a part of a long text.
-PART, CHARACTERS = 64 * SEGMENT, 500_000
+PART, CHARACTERS = 65536, 500_000
 NONE = "und"
 ADDED = ("lang_pred", "score")
 #: What ``label`` adds on request: runs of words of one language, with code point offsets and their mean marginal.
@@ -149,17 +150,15 @@ def _probable(emit: np.ndarray) -> np.ndarray:
     return np.exp(emit - emit.max(axis=1, keepdims=True)).astype(np.float64) + 1e-30
 
 
-def transfers(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+def transfers(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """For each segment in ``emit`` the matrix that takes the message before it to the message at its last word, but for
-    a factor. ``first`` are the start scores if the first segment begins a sequence."""
+    a factor. Where ``begin``, the segment begins a sequence, and each row has the start."""
     order, begins, alive = _together(lengths)
     p, step = _probable(emit), np.exp(move)
     out = np.empty((len(lengths), *step.shape))
     for t, n in enumerate(alive):
         at = begins[:n] + t
-        before = np.tile(step, (n, 1, 1)) if t == 0 else out[:n] @ step
-        if t == 0 and first is not None:
-            before[np.flatnonzero(order == 0)] = np.exp(first)[None, :]
+        before = np.where(begin[order][:, None, None], np.exp(start)[None, None, :], step) if t == 0 else out[:n] @ step
         out[:n] = before * p[at][:, None, :]
         out[:n] /= out[:n].sum(axis=(1, 2), keepdims=True)
     back = np.empty_like(out)
@@ -167,6 +166,22 @@ def transfers(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray, first: np
     return back
 
 
+def across(matrices: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters each segment of one sequence, and what comes back to its end, from the segments' matrices."""
+    entry, leave = np.empty(matrices.shape[:2]), np.empty(matrices.shape[:2])
+    step, message = np.exp(move), np.full(len(start), 1 / len(start))
+    for k, matrix in enumerate(matrices):
+        entry[k] = np.exp(start) if k == 0 else message @ step
+        message = message @ matrix
+        message /= message.sum()
+    message = np.ones(len(start))
+    for k in range(len(matrices) - 1, -1, -1):
+        leave[k] = message
+        message = matrices[k] @ message
+        message /= message.sum()
+    return entry, leave
+
+
 def marginals(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, entry: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over sequences that stand one after the other in ``emit``: marginals of words, and sums of
     those of transitions. Sequences advance together, longest first, in scaled probabilities. For segments of a longer
@@ -178,9 +193,9 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np
     ahead, back, scale = np.empty((n, labels)), np.ones((n, labels)), np.empty(n)
     if leave is not None:
         back[np.cumsum(lengths) - 1] = leave
+    enter = np.exp(start) if entry is None else entry[order]
     for t in range(longest):
         at = begins[: alive[t]] + t
-        enter = np.exp(start) if entry is None else entry[order]
         now = (enter if t == 0 else ahead[at - 1] @ step) * p[at]
         scale[at] = now.sum(axis=1)
         ahead[at] = now / scale[at][:, None]
@@ -257,37 +272,43 @@ def _parts(text: str) -> Iterator[list[str]]:
         yield found
 
 
-def _cut(n: int) -> np.ndarray:
-    return np.array([min(SEGMENT, n - i) for i in range(0, n, SEGMENT)])
+def _cut(n: int, labels: int) -> np.ndarray:
+    size = SEGMENT * max(1, labels // 16)
+    return np.array([min(size, n - i) for i in range(0, n, size)], dtype=np.int64)
+
+
+def _whole(texts: list[list[str]], model: Model) -> list[np.ndarray]:
+    """Marginals of the words of texts that are held together."""
+    sizes = [len(ws) for ws in texts]
+    emit = model.emissions(Words([w for ws in texts for w in ws]))
+    cuts = [_cut(n, len(model.labels)) for n in sizes]
+    lengths = np.concatenate(cuts)
+    count = np.array([len(c) for c in cuts])
+    first = np.cumsum(count) - count
+    begin = np.zeros(len(lengths), dtype=bool)
+    begin[first] = True
+    entry, leave = np.tile(np.exp(model.start), (len(lengths), 1)), np.ones((len(lengths), len(model.labels)))
+    several = np.repeat(count > 1, count)  # segments of texts that have more than one
+    if several.any():
+        matrices = np.empty((len(lengths), *model.move.shape))
+        matrices[several] = transfers(emit[np.repeat(several, lengths)], lengths[several], model.start, model.move, begin[several])
+        for f, c in zip(first, count, strict=True):
+            if c > 1:
+                entry[f : f + c], leave[f : f + c] = across(matrices[f : f + c], model.start, model.move)
+    return np.split(marginals(emit, lengths, model.start, model.move, entry, leave)[0], np.cumsum(sizes)[:-1])
 
 
 def _long(text: str, model: Model) -> Iterator[np.ndarray]:
-    """Marginals of a long text's words, part by part, as of one sequence."""
-    kept: list[np.ndarray] = []  # the emissions of a single part; more parts are featurised twice rather than held
-    matrices, first = [], True
+    """Marginals of a text's words as of one sequence, part by part: parts are featurised twice rather than held."""
+    matrices = []
     for part in _parts(text):
-        emit = model.emissions(Words(part))
-        kept = [emit] if first else []
-        matrices.append(transfers(emit, _cut(len(emit)), model.move, model.start if first else None))
-        first = False
-    across = np.concatenate(matrices)
-    step = np.exp(model.move)
-    # What enters each segment, and what comes back to its end; the first's matrix has the start in each row.
-    entry, leave = np.empty(across.shape[:2]), np.empty(across.shape[:2])
-    message = np.full(len(model.labels), 1 / len(model.labels))
-    for k, matrix in enumerate(across):
-        entry[k] = np.exp(model.start) if k == 0 else message @ step
-        message = message @ matrix
-        message /= message.sum()
-    message = np.ones(len(model.labels))
-    for k in range(len(across) - 1, -1, -1):
-        leave[k] = message
-        message = across[k] @ message
-        message /= message.sum()
+        lengths = _cut(len(part), len(model.labels))
+        matrices.append(transfers(model.emissions(Words(part)), lengths, model.start, model.move, (np.arange(len(lengths)) == 0) & (not matrices)))
+    entry, leave = across(np.concatenate(matrices), model.start, model.move)
     at = 0
-    for emit in kept or (model.emissions(Words(part)) for part in _parts(text)):
-        lengths = _cut(len(emit))
-        yield marginals(emit, lengths, model.start, model.move, entry[at : at + len(lengths)], leave[at : at + len(lengths)])[0]
+    for part in _parts(text):
+        lengths = _cut(len(part), len(model.labels))
+        yield marginals(model.emissions(Words(part)), lengths, model.start, model.move, entry[at : at + len(lengths)], leave[at : at + len(lengths)])[0]
         at += len(lengths)
 
 
@@ -310,20 +331,16 @@ def _decode(texts: list[str | None], model: Model, runs: bool) -> tuple[list[tup
 
     def flush() -> None:
         nonlocal held
-        if waiting:
-            lengths = np.array([len(ws) for _, ws in waiting])
-            found, _ = marginals(model.emissions(Words([w for _, ws in waiting for w in ws])), lengths, model.start, model.move)
-            for (i, _), part in zip(waiting, np.split(found, np.cumsum(lengths)[:-1]), strict=True):
-                take(i, part)
+        for (i, _), found in zip(waiting, _whole([ws for _, ws in waiting], model) if waiting else (), strict=True):
+            take(i, found)
         waiting.clear()
         held = 0
 
     for i, text in enumerate(texts):
-        ws = words(text) if len(text or "") <= CHARACTERS else None
-        if ws is None or len(ws) > SEGMENT:
+        if len(text or "") > CHARACTERS:
             for found in _long(text, model) if _LETTERS.search(text) else ():
                 take(i, found)
-        elif ws:
+        elif ws := words(text):
             waiting.append((i, ws))
             held += len(text)
             if held >= CHARACTERS:
