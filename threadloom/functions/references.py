@@ -19,29 +19,57 @@ class Integration:
 
 INTEGRATIONS = (Integration("github"), Integration("linear"))
 
-_REPO = r"github\.com/([\w.-]+)/([\w.-]+)"
-_ITEM = _REPO + r"/(?:pull|issues)/(\d+)"
-_COMMIT = _REPO + r"/commit/([0-9a-f]{7,40})\b"
-_ISSUE = r"linear\.app/[\w-]+/issue/([A-Za-z][A-Za-z0-9]*-\d+)"
+# How the sites form addresses. Host, then segments of the path.
+GITHUB, ITEMS, COMMIT = "github.com/", ("pull", "issues"), "commit"
+LINEAR, ISSUE = "linear.app/", "issue"
+#: What stands before owner/name in a remote or an address.
+ORIGINS = tuple(f"{scheme}{www}github.com{mark}" for scheme in ("https://", "http://", "ssh://git@", "git@", "") for www in ("www.", "") for mark in (":", "/"))
+_NAME = r"^[A-Za-z0-9_.-]+$"
 
 
-def _all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def _addresses(text: Column, host: str, segments: int) -> Column:
+    """Path segments that follow each mention of a host; the last holds all that is left."""
+    after = F.split(text, rf"\Q{host}\E", -1)
+    return F.transform(F.slice(after, 2, F.greatest(F.size(after) - 1, F.lit(0))), lambda path: F.split(path, "/", segments))
+
+
+def _leading(segment: Column, characters: str) -> Column:
+    """What a segment begins with of the given characters; empty if it is null."""
+    return F.coalesce(F.regexp_extract(segment, f"^[{characters}]*", 0), F.lit(""))
+
+
+def _known(refs: Column) -> Column:
+    return F.filter(refs, lambda r: r.isNotNull())
 
 
 def _links(text: Column, integration: Integration) -> Column:
-    """Canonical refs of one integration, one for each mention, in order of pattern and place."""
+    """Canonical refs of one integration, one for each mention: items, then commits, each in order of place."""
+    at = lambda path, k: F.get(path, F.lit(k))
     if integration.prefix:
-        quoted = re.sub(r"([^\w])", r"\\\1", integration.prefix, flags=re.ASCII)
-        cut = F.transform(_all(text, quoted + r"([\w.~#/-]{1,300})", 1), lambda m: F.regexp_replace(m, r"[./]+$", ""))
-        return F.filter(cut, lambda m: m != "")
+        tails = F.transform(_addresses(text, integration.prefix, 1), lambda path: F.rtrim(F.left(_leading(at(path, 0), r"\w.~#/-"), F.lit(300)), F.lit("./")))
+        return F.filter(tails, lambda m: m != "")
     if integration.key == "github":
-        part = lambda m, p, g: F.regexp_extract(m, p, g)
-        items = F.transform(_all(text, _ITEM), lambda m: F.lower(F.concat(part(m, _ITEM, 1), F.lit("/"), part(m, _ITEM, 2), F.lit("#"), part(m, _ITEM, 3))))
-        commits = F.transform(_all(text, _COMMIT), lambda m: F.lower(F.concat(part(m, _COMMIT, 1), F.lit("/"), part(m, _COMMIT, 2), F.lit("@"), F.left(part(m, _COMMIT, 3), F.lit(7)))))
-        return F.concat(items, commits)
+        paths = _addresses(text, GITHUB, 5)
+        named = lambda path: at(path, 0).rlike(_NAME) & at(path, 1).rlike(_NAME)
+        slug = lambda path: F.lower(F.concat(at(path, 0), F.lit("/"), at(path, 1)))
+
+        def item(path: Column) -> Column:
+            number = _leading(at(path, 3), "0-9")
+            return F.when(named(path) & at(path, 2).isin(*ITEMS) & (number != ""), F.concat(slug(path), F.lit("#"), number))
+
+        def commit(path: Column) -> Column:
+            whole = _leading(at(path, 3), r"\w")  # longer or other than a hash, it is none
+            return F.when(named(path) & (at(path, 2) == COMMIT) & F.length(whole).between(7, 40) & (_leading(whole, "0-9a-f") == whole), F.concat(slug(path), F.lit("@"), F.left(whole, F.lit(7))))
+
+        return F.concat(_known(F.transform(paths, item)), _known(F.transform(paths, commit)))
     if integration.key == "linear":
-        return F.transform(_all(text, _ISSUE, 1), F.upper)
+
+        def issue(path: Column) -> Column:
+            team, number = F.substring_index(at(path, 2), "-", 1), _leading(F.get(F.split(at(path, 2), "-", 2), F.lit(1)), "0-9")
+            fits = at(path, 0).rlike("^[A-Za-z0-9_-]+$") & (at(path, 1) == ISSUE) & team.rlike("^[A-Za-z][A-Za-z0-9]*$") & (number != "")
+            return F.when(fits, F.upper(F.concat(team, F.lit("-"), number)))
+
+        return _known(F.transform(_addresses(text, LINEAR, 4), issue))
     return F.array().cast("array<string>")
 
 
@@ -54,9 +82,21 @@ def references(text: Column, integrations: tuple[Integration, ...] = INTEGRATION
 
 def repository_slug(value: Column) -> Column:
     """owner/name in lower case, of a URL, a remote, a slug or an item in the repository; null if it is none."""
-    bare = F.regexp_replace(value, r"^(?:https?://|ssh://git@|git@)?(?:www\.)?github\.com[:/]", "")
-    slug = F.lower(F.regexp_extract(bare, r"^([\w.-]+/[\w.-]+?)(?:\.git)?(?:[/#@?].*)?$", 1))
-    return F.when(slug != "", slug)
+    rest = F.coalesce(*[F.when(F.startswith(value, F.lit(o)), F.substr(value, F.lit(len(o) + 1))) for o in ORIGINS], value)
+    segments = F.split(rest, "/", 3)
+    owner, name = F.get(segments, F.lit(0)), F.get(F.split(F.get(segments, F.lit(1)), "[#@?]", 2), F.lit(0))
+    bare = F.when(F.endswith(name, F.lit(".git")) & (F.length(name) > 4), F.left(name, F.length(name) - 4)).otherwise(name)
+    return F.when(owner.rlike(_NAME) & name.rlike(_NAME), F.lower(F.concat(owner, F.lit("/"), bare)))
+
+
+def repository_of(value: str) -> str | None:
+    """``repository_slug`` of one string."""
+    rest = next((value[len(o) :] for o in ORIGINS if value.startswith(o)), value)
+    owner, _, path = rest.partition("/")
+    name = re.split("[#@?/]", path, maxsplit=1)[0]
+    if not (re.match(_NAME, owner) and re.match(_NAME, name)):
+        return None
+    return f"{owner}/{name.removesuffix('.git') or name}".lower()
 
 
 def provenance(repository: Column, branch: Column) -> Column:
