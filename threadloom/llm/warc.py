@@ -1,4 +1,4 @@
-"""WARC archives: one gzip member for each record, written by executors and read back as a stream.
+"""WARC files: one gzip member for each record, written by executors and read back as a stream.
 
 The writer makes a WARC/1.1 record of each row: a response with an HTTP header and the payload, or, for a payload
 that another record holds, a revisit of the identical-payload-digest profile, whose block is the HTTP header alone.
@@ -10,7 +10,7 @@ its own and renames at the end, so a repeated task leaves one whole file with th
 
 Edge cases: a null payload is empty; payloads below the least size are always responses; rows that repeat the
 smallest id of a payload are all responses, and are the only records whose URNs repeat; null ids are written without
-id, and never referred to; an empty table gives archives without records; other columns take no part.
+id, and never referred to; an empty table gives files without records; other columns take no part.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def _digest(data: bytes) -> str:
 
 
 def record_id(page_id: int | None, place: str = "") -> str:
-    """A URN for each record: the page's id, and the record's place among the archives where others may share the id."""
+    """A URN for each record: the page's id, and the record's place among the files where others may share the id."""
     return f"<urn:page:{'none' if page_id is None else page_id}{place and ':' + place}>"
 
 
@@ -88,7 +88,7 @@ class _Member:
         if not data:
             data = self.stream.read(READ)
             if not data:
-                raise BadRecord("the archive ends within a member")
+                raise BadRecord("the file ends within a member")
         try:
             self.buffer += self.inflate.decompress(data, READ)
         except zlib.error as e:
@@ -141,7 +141,7 @@ def _number(fields: dict[str, str], name: str) -> int:
 
 
 def read_records(stream) -> Iterator[dict]:
-    """The records of an archive: type, id, refers_to, payload size and digest, each verified; memory is bounded."""
+    """The records of a WARC file: type, id, refers_to, payload size and digest, each verified; memory is bounded."""
     rest = stream.read(READ)
     while rest:
         member = _Member(stream, rest)
@@ -217,15 +217,15 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
 
 def write(pages: DataFrame, folder: str, **names) -> list[str]:
-    """Writes an archive for each partition of the planned records and returns the files' names."""
+    """Writes a WARC file for each partition of the planned records and returns the files' names."""
     files, base = shared.open_folder(folder)
     files.create_dir(base, recursive=True)
-    done = plan_records(pages, **names).mapInArrow(_writer(folder), "file string, records long, bytes long").collect()  # a row for each archive
+    done = plan_records(pages, **names).mapInArrow(_writer(folder), "file string, records long, bytes long").collect()  # a row for each file
     return sorted(r["file"] for r in done)
 
 
 def read(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the named archives."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the named files."""
     fields = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
