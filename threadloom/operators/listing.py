@@ -56,12 +56,48 @@ def droppable_run(tags: Column, host_agent: Column) -> Column:
     return F.when(F.coalesce(host_agent, F.lit(False)), F.lit("host")).when(~F.array_contains(tags, RUN_INFERRED), exempt_run(tags))
 
 
-def inferred_run(cwd: Column, temporary: tuple[str, ...] = ("/tmp", "/private/tmp", "/var/folders")) -> Column:
+#: Folders that hold scratch files of the system.
+TEMPORARY = ("/tmp", "/private/tmp", "/var/folders", "/private/var/folders")
+#: Of a path's segments, which tell a run and of what kind, in order; ``{}`` is where a segment may go on.
+RUN_SEGMENTS = (("oracle", (".oracle",)), ("oracle", ("bench", ".runs")), ("oracle", ("bench", ".runs-{}")), ("host", ("decision-receipts", "primed-{}")), ("test", ("decision-receipts",)), ("test", ("scratchpad",)))
+
+
+def inferred_run(cwd: Column, temporary: tuple[str, ...] = TEMPORARY) -> Column:
     """The kind of run that a working directory tells: evaluation workspaces, primed fixtures, scratch folders."""
-    under = F.regexp_like(cwd, F.lit("^(?:" + "|".join(temporary) + ")(?:/|$)"))
-    has = lambda pattern: F.regexp_like(cwd, F.lit(pattern))
-    oracle = has(r"/\.oracle(?:/|$)") | has(r"/bench/\.runs(?:-archive)?(?:/|$)") | (under & has(r"/oracle-"))
-    return F.when(oracle, F.lit("oracle")).when(has(r"/decision-receipts/primed-"), F.lit("host")).when(under | has(r"/(?:decision-receipts|scratchpad)(?:/|$)"), F.lit("test"))
+    closed = F.concat(cwd, F.lit("/"))
+    under = F.lit(False)
+    for folder in temporary:
+        under = under | F.startswith(closed, F.lit(folder + "/"))
+    holds = lambda parts: F.contains(closed, F.lit("/" + "/".join(parts).removesuffix("{}") + ("" if parts[-1].endswith("{}") else "/")))
+    kinds = [F.when(holds(parts), F.lit(kind)) for kind, parts in RUN_SEGMENTS]
+    scratch = F.when(under, F.when(F.contains(closed, F.lit("/oracle-")), F.lit("oracle")).otherwise(F.lit("test")))
+    evaluation = F.when(scratch == "oracle", scratch)
+    return F.coalesce(*kinds[:3], evaluation, kinds[3], scratch, *kinds[4:])
+
+
+def identity_tags(source: Column, session: Column, project: Column, agent_type: Column, host_agents: tuple[str, ...] = (), personal: str = "P", watched: tuple[str, str] = ("", "")) -> Column:
+    """Run tags that a session's identity tells: a host's own subagent, the project kept for tests, or a host's watched
+    session (``watched``: the host's source and a pattern of its session ids)."""
+    host = agent_type.isin(*host_agents) if host_agents else F.lit(False)
+    test = (project == personal) | ((source == watched[0]) & session.rlike(watched[1]))
+    tag = F.when(F.coalesce(host, F.lit(False)), F.lit(RUN_TAGS["host"])).when(F.coalesce(test, F.lit(False)), F.lit(RUN_TAGS["test"]))
+    return F.array_compact(F.array(tag))
+
+
+def projects(sessions: DataFrame, unrouted: str = "unrouted", personal: str = "P") -> DataFrame:
+    """Distinct projects that sessions are routed to, in order."""
+    return sessions.where(F.col("projectId").isNotNull() & ~F.col("projectId").isin(unrouted, personal)).select("projectId").distinct().orderBy("projectId")
+
+
+def define_tag(definitions: DataFrame, new: DataFrame) -> DataFrame:
+    """Definitions (actorId, tag, description) with new ones in place of those of the same actor and tag; no actor is everyone's."""
+    named = new.select(F.coalesce("actorId", F.lit("")).alias("actorId"), "tag", "description").dropDuplicates(["actorId", "tag"])
+    return definitions.join(named, ["actorId", "tag"], "left_anti").unionByName(named)
+
+
+def undefine_tag(definitions: DataFrame, gone: DataFrame) -> DataFrame:
+    """Definitions without those of (actorId, tag)."""
+    return definitions.join(gone.select(F.coalesce("actorId", F.lit("")).alias("actorId"), "tag"), ["actorId", "tag"], "left_anti")
 
 
 def overlay(sessions: DataFrame, edits: DataFrame, suggestions: DataFrame | None = None, key: str = "id") -> DataFrame:

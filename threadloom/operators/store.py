@@ -8,72 +8,122 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .listing import RUN_TAGS
 
 DAY = 86_400_000
 SESSION = "id string, digest string, storedDigest string, transcriptDigest string, revision int, capturedAt double, supersededBy string, partOf string, routedTo array<string>"
+_STATE = ("digest", "storedDigest", "transcriptDigest", "revision", "capturedAt")
 #: What a capture can come to, in the order in which it is decided.
 OUTCOMES = ("dropped", "unchanged", "deleted", "conflict", "stale", "touched", "stored")
 
 
-def _fold(key: tuple, captures: pd.DataFrame, held: pd.DataFrame, tombs: pd.DataFrame) -> pd.DataFrame:
-    """Captures of one session in order of arrival, each judged against what the ones before it left."""
-    row = held.iloc[0].to_dict() if len(held) else None
-    tomb = tombs.iloc[0].to_dict() if len(tombs) else None
-    out = []
-    text = lambda v: v if isinstance(v, str) else None
-    for c in sorted(captures.to_dict("records"), key=lambda c: int(c["arrival"])):
-        digest, stored, transcript = c["digest"], text(c["storedDigest"]) or c["digest"], text(c["transcriptDigest"])
-        if c["drop"]:
-            if row:
-                tomb, row = {"digest": row["digest"], "transcriptDigest": row["transcriptDigest"]}, None
-            outcome = "dropped"
-        elif row and row["digest"] == digest:
-            outcome = "unchanged"
-        elif not row and tomb and not c["restore"] and (tomb["digest"] == digest or (transcript and text(tomb["transcriptDigest"]) == transcript)):
-            tomb, outcome = tomb | {"digest": digest}, "deleted"
-        elif c["checked"] and not tomb and (row["digest"] if row else None) != text(c["previousDigest"]):
-            outcome = "conflict"
-        elif row and row["capturedAt"] > c["capturedAt"]:
-            outcome = "stale"
-        elif row and row["storedDigest"] == stored:
-            row, outcome = row | {"digest": digest, "transcriptDigest": transcript, "capturedAt": c["capturedAt"]}, "touched"
-        else:
-            row, tomb, outcome = {"digest": digest, "storedDigest": stored, "transcriptDigest": transcript, "capturedAt": c["capturedAt"], "revision": (int(row["revision"]) if row else 0) + 1}, None, "stored"
-        out.append({"id": key[0], "arrival": int(c["arrival"]), "outcome": outcome, "revision": int(row["revision"]) if row else 0, "digest": digest})
-    last = row or {}
-    deleted = tomb if not row else None
-    state = {"id": key[0], "arrival": -1, "outcome": "state", "revision": int(last.get("revision", 0)), "digest": last.get("digest"), "storedDigest": last.get("storedDigest"), "transcriptDigest": text(last.get("transcriptDigest")), "capturedAt": last.get("capturedAt"), "tombstone": deleted["digest"] if deleted else None, "tombstoneTranscript": text(deleted["transcriptDigest"]) if deleted else None}
-    names = ("id", "arrival", "outcome", "revision", "digest", "storedDigest", "transcriptDigest", "capturedAt", "tombstone", "tombstoneTranscript")
-    return pd.DataFrame([{k: r.get(k) for k in names} for r in [*out, state]], columns=names)
-
-
 FOLDED = "id string, arrival long, outcome string, revision int, digest string, storedDigest string, transcriptDigest string, capturedAt double, tombstone string, tombstoneTranscript string"
+#: How often a capture that was judged on an older state is tried again.
+ATTEMPTS = 4
+
+
+class _Session:
+    """One session's row and tombstone, as captures come in."""
+
+    def __init__(self, id: str):
+        self.id, self.row, self.tomb = id, None, None
+
+    def take(self, c: dict) -> dict:
+        digest, transcript = c["digest"], c["transcriptDigest"]
+        outcome = self.judge(c, digest, c["storedDigest"] or digest, transcript)
+        if outcome == "dropped":
+            if self.row:
+                self.tomb, self.row = {"digest": self.row["digest"], "transcriptDigest": self.row["transcriptDigest"]}, None
+        elif outcome == "deleted":
+            self.tomb = self.tomb | {"digest": digest}
+        elif outcome == "touched":
+            self.row = self.row | {"digest": digest, "transcriptDigest": transcript, "capturedAt": c["capturedAt"]}
+        elif outcome == "stored":
+            revision = (self.row["revision"] if self.row else 0) + 1
+            self.row, self.tomb = {"digest": digest, "storedDigest": c["storedDigest"] or digest, "transcriptDigest": transcript, "capturedAt": c["capturedAt"], "revision": revision}, None
+        return {"id": self.id, "arrival": c["arrival"], "outcome": outcome, "revision": self.row["revision"] if self.row else 0, "digest": digest}
+
+    def judge(self, c: dict, digest: str, stored: str, transcript: str | None) -> str:
+        row, tomb = self.row, self.tomb
+        if c["drop"]:
+            return "dropped"
+        if row and row["digest"] == digest:
+            return "unchanged"
+        if not row and tomb and not c["restore"] and (tomb["digest"] == digest or (transcript and tomb["transcriptDigest"] == transcript)):
+            return "deleted"
+        if c["checked"] and not tomb and (row["digest"] if row else None) != c["previousDigest"]:
+            return "conflict"
+        if row and row["capturedAt"] > c["capturedAt"]:
+            return "stale"
+        return "touched" if row and row["storedDigest"] == stored else "stored"
+
+    def state(self) -> dict:
+        dead = self.tomb if not self.row else None
+        gone = {"tombstone": dead["digest"], "tombstoneTranscript": dead["transcriptDigest"]} if dead else {}
+        return {"id": self.id, "arrival": -1, "outcome": "state", "revision": 0, **(self.row or {}), **gone}
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by session, then its row and tombstone, then captures by arrival. One session's state is held at a time."""
+    now, out = None, []
+    schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[k]) for n, k in (f.split() for f in FOLDED.split(", "))])
+    for batch in batches:
+        for r in batch.to_pylist():
+            if now is None or now.id != r["id"]:
+                if now:
+                    out.append(now.state())
+                now = _Session(r["id"])
+            if r["side"] == 0:
+                now.row = {k: r[k] for k in _STATE}
+            elif r["side"] == 1:
+                now.tomb = {k: r[k] for k in ("digest", "transcriptDigest")}
+            else:
+                out.append(now.take(r))
+        yield pa.RecordBatch.from_pylist(out, schema)
+        out = []
+    if now:
+        yield pa.RecordBatch.from_pylist([now.state()], schema)
 
 
 def capture(captures: DataFrame, sessions: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Judges captures in order of arrival, session by session.
 
     ``captures`` has id, arrival, digest, storedDigest, transcriptDigest, capturedAt, previousDigest, checked (whether
-    previousDigest is to hold), restore and drop. A session's captures in a batch are few; only their digests and
-    the session's row meet in its group, never entries. Returns a row a capture (``outcome``), and one a session
-    (outcome ``state``): its row, or its tombstone, as they are now.
+    previousDigest is to hold), restore and drop. Each session's are read in order, from a sort that may spill, and
+    judged as they pass: no session's captures are ever held together, however many there are. Returns a row a capture
+    (``outcome``), and one a session (outcome ``state``): its row, or its tombstone, as they are now.
     """
     touched = captures.select("id").distinct()
-    held = sessions.select("id", "digest", "storedDigest", "transcriptDigest", "revision", "capturedAt").join(touched, "id", "left_semi").withColumn("side", F.lit("row"))
-    tombs = tombstones.select("id", "digest", "transcriptDigest").join(touched, "id", "left_semi").withColumn("side", F.lit("tomb"))
-    # As a string, as pandas would turn a nullable long into a double.
-    both = captures.withColumn("arrival", F.col("arrival").cast("string")).withColumn("side", F.lit("capture")).unionByName(held, allowMissingColumns=True).unionByName(tombs, allowMissingColumns=True)
+    held = sessions.select("id", *_STATE).join(touched, "id", "left_semi").withColumn("side", F.lit(0))
+    tombs = tombstones.select("id", "digest", "transcriptDigest").join(touched, "id", "left_semi").withColumn("side", F.lit(1))
+    given = captures.select("id", F.col("arrival").cast("long").alias("arrival"), "digest", "storedDigest", "transcriptDigest", "capturedAt", "previousDigest", "checked", "restore", "drop").withColumn("side", F.lit(2))
+    every = given.unionByName(held, allowMissingColumns=True).unionByName(tombs, allowMissingColumns=True)
+    return every.repartition("id").sortWithinPartitions("id", "side", "arrival").mapInArrow(_fold, FOLDED)
+
 
-    def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        side = lambda s: rows[rows["side"] == s]
-        return _fold(key, side("capture"), side("row"), side("tomb"))
+def capture_again(captures: DataFrame, sessions: DataFrame, tombstones: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
+    """``capture`` as a client that reads the current digest after each conflict and tries again, so many times in all.
 
-    return both.groupBy("id").applyInPandas(group, FOLDED)
+    A batch is judged in one pass, so a capture that is tried again sees the state that the one before it left.
+    """
+    folded = capture(captures, sessions, tombstones)
+    for _ in range(attempts - 1):
+        refused = folded.where(F.col("outcome") == "conflict").select("id", "arrival")
+        if refused.isEmpty():
+            break
+        before = Window.partitionBy("id").orderBy("arrival")
+        seen = folded.where(F.col("outcome") != "state").join(sessions.select("id", F.col("digest").alias("held")), "id", "left")
+        left = F.when(F.col("outcome").isin("stored", "touched", "unchanged"), F.col("digest"))
+        current = seen.withColumn("current", F.coalesce(F.last(left, ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)), "held"))
+        fixed = captures.join(current.where(F.col("outcome") == "conflict").select("id", "arrival", "current"), ["id", "arrival"], "left").join(refused.withColumn("again", F.lit(True)), ["id", "arrival"], "left")
+        captures = fixed.withColumn("previousDigest", F.when(F.col("again"), F.col("current")).otherwise(F.col("previousDigest"))).drop("current", "again")
+        folded = capture(captures, sessions, tombstones)
+    return folded
 
 
 def after(folded: DataFrame, sessions: DataFrame, tombstones: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,9 +137,6 @@ def after(folded: DataFrame, sessions: DataFrame, tombstones: DataFrame) -> tupl
     return rest.unionByName(changed.select(*sessions.columns)), kept.unionByName(fresh, allowMissingColumns=True)
 
 
-_STATE = ("digest", "storedDigest", "transcriptDigest", "revision", "capturedAt")
-
-
 def latest(revisions: DataFrame, key: str = "id", version: str = "revision") -> DataFrame:
     """Each session's current revision: one aggregate, no window sort."""
     others = [c for c in revisions.columns if c not in (key, version)]
@@ -158,6 +205,25 @@ def lift(snapshots: DataFrame, edits: DataFrame) -> DataFrame:
     return snapshots.join(gone, "id", "left").withColumn("tags", F.array_except("tags", F.coalesce("lifted", F.array().cast("array<string>")))).drop("lifted")
 
 
+def store_lifted(sessions: DataFrame, revisions: DataFrame, chunks: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sessions, revisions, chunks) after lifting: each session whose current revision has a run tag that a person removed
+    gets a new revision without it, with the chunks of the old one, which goes.
+
+    ``revisions`` has id, revision, digest and tags, of which the digest here is over the tags; ``chunks`` has id and revision.
+    """
+    current = revisions.join(sessions.select("id", "revision"), ["id", "revision"], "left_semi")
+    without = lift(current.withColumnRenamed("tags", "was").withColumn("tags", F.col("was")), edits).where(F.size("tags") < F.size("was")).drop("was")
+    lifted = without.select("id", F.col("revision").alias("old"), (F.col("revision") + 1).alias("revision"), F.sha2(F.concat_ws("\n", "digest", F.array_join("tags", ",")), 256).alias("digest"), *[c for c in revisions.columns if c not in ("id", "revision", "digest")])
+    moved = lifted.select("id", F.col("old").alias("revision"), F.col("revision").alias("to"), F.col("digest").alias("liftedDigest"))
+    old = moved.select("id", "revision")
+    out_revisions = revisions.join(old, ["id", "revision"], "left_anti").unionByName(lifted.select(*revisions.columns))
+    to = F.coalesce("to", "revision")
+    out_chunks = chunks.join(moved, ["id", "revision"], "left").select(*[to.alias(c) if c == "revision" else F.col(c) for c in chunks.columns])
+    change = {"revision": to, "storedDigest": F.coalesce("liftedDigest", "storedDigest")}
+    out_sessions = sessions.join(moved, ["id", "revision"], "left").select(*[change.get(c, F.col(c)).alias(c) for c in sessions.columns])
+    return out_sessions, out_revisions, out_chunks
+
+
 def sweep(sessions: DataFrame, wanted: Column, after_seq: int, batch: int, failed: list[str] | None = None) -> DataFrame:
     """The next batch of a resumable sweep in order of seq; ids that failed before come once more at the front."""
     retry = F.col("id").isin(failed or [])

@@ -116,3 +116,13 @@ def tag_in_batches(sessions: list[dict], decide: Callable[[list[dict]], dict[str
         if missing and again:
             waiting.insert(0, (missing, False))
     return answers
+
+
+def sensitivity_checked(sessions: DataFrame, plans: DataFrame) -> DataFrame:
+    """(id, checked) of every part: whether its source's plan was checked for sensitivity by the model that made it.
+
+    ``plans`` has id, checked and checkKey (the key that a check by that model leaves); a part without a plan isn't.
+    """
+    parts = sessions.where("partOf is not null").select("id", "partOf")
+    made = plans.select(F.col("id").alias("partOf"), F.coalesce(F.col("checked") == F.col("checkKey"), F.lit(False)).alias("ok"))
+    return parts.join(made, "partOf", "left").select("id", F.coalesce("ok", F.lit(False)).alias("checked"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.digests import quoted
+
 #: Milliseconds: first wait after a failure, and the longest.
 FIRST_WAIT, LONGEST_WAIT = 30_000, 1_800_000
 DELETES = 100
@@ -25,6 +27,17 @@ def outage(status: Column) -> Column:
     return status.isNull() | (status >= 500)
 
 
+def destination_identity(url: Column, kind: Column, integration: Column, resource: Column, standalone: str = "standalone") -> Column:
+    """What tells destinations apart, as JSON: origin (host in lower case, no default port), path, and what is there."""
+    part = lambda what: F.try_parse_url(url, F.lit(what))
+    scheme, port = F.lower(part("PROTOCOL")), F.regexp_extract(part("AUTHORITY"), r":(\d+)$", 1)
+    usual = (port == "") | ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80"))
+    origin = F.concat(scheme, F.lit("://"), F.lower(part("HOST")), F.when(usual, F.lit("")).otherwise(F.concat(F.lit(":"), port)))
+    path = F.when(F.coalesce(part("PATH"), F.lit("")) == "", F.lit("/")).otherwise(part("PATH"))
+    place = F.when(kind == standalone, quoted(kind)).otherwise(F.concat(F.lit("["), F.concat_ws(",", quoted(kind), quoted(integration), quoted(resource)), F.lit("]")))
+    return F.concat(F.lit("["), quoted(origin), F.lit(","), quoted(path), F.lit(","), place, F.lit("]"))
+
+
 def after_attempts(backoff: DataFrame, attempts: DataFrame, now: int) -> DataFrame:
     """The back-off table (key, failures, until) after attempts (key, ok): successes leave it, failures wait longer."""
     tried = backoff.join(attempts, "key", "full")

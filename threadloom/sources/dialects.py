@@ -18,13 +18,13 @@ from .transcripts import at, kind_at, text_at
 ITEM = "array<struct<kind:string,text:string,suffix:string,callId:string>>"
 RECORD = ("file", "line", "session", "lineage", "provider", "subscription", "record", "timestamp", "model", "effort", "written", "compact", "items", "omissions")
 
-# What an import says about what it leaves out.
+# What an import says about what it leaves out: fixed values, but for the last, which says it in words of its own.
 NO_REASONING = "Private reasoning is not included"
 NO_SECRET_REASONING = "Private reasoning and encrypted payloads are not included"
 NOT_TEXT = "Non-text message content is not included"
 NOT_TOOL_TEXT = "Non-text tool content is not included"
 ONLY_TOOL_TEXT = "Only text tool output blocks are included"
-COPIED = "History copied from the parent session is left to the parent archive"
+COPIED = "History copied from the parent session is kept with the parent session only"
 
 
 def _so_far():

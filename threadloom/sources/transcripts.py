@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.references import repository_slug
+
 #: Larger files, and longer records, are rejected.
 MAX_FILE, MAX_RECORD = 1 << 30, 64 << 20
 #: Only so much of a file is looked at for its metadata.
@@ -27,6 +29,46 @@ def unread(files: DataFrame, ledger: DataFrame) -> DataFrame:
     return files.join(ledger.select("file", "size", "modified"), ["file", "size", "modified"], "left_anti")
 
 
+#: Milliseconds after which a cached outcome is looked at again.
+REVALIDATE = 600_000
+
+
+def cached(files: DataFrame, cache: DataFrame, routing: Column, now: int, revalidate: int = REVALIDATE) -> tuple[DataFrame, DataFrame]:
+    """(files to read, outcomes still good). ``cache`` has file, size, modified, routing, outcome and at (milliseconds).
+
+    An outcome holds while a file's size, time and routing are as they were, and its last look is recent.
+    """
+    now_is = files.withColumn("routing", routing)
+    good = cache.where(F.col("at") > now - revalidate)
+    same = ["file", "size", "modified", "routing"]
+    return now_is.join(good.select(*same), same, "left_anti"), good.join(now_is.select(*same), same, "left_semi")
+
+
+def scan_totals(results: DataFrame) -> DataFrame:
+    """One row: sums over all collectors of what a scan did; results has a row a collector."""
+    return results.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("imported", "unchanged", "held", "dropped", "failed")])
+
+
+def collection_groups(collectors: DataFrame) -> DataFrame:
+    """(source, directory, collectors, first): collectors (id, source, directory, seq) that scan the same place, in the order declared."""
+    grouped = collectors.groupBy("source", "directory").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda c: c["id"]).alias("collectors"), F.min("seq").alias("first"))
+    return grouped.orderBy("first")
+
+
+def project_map(roots: DataFrame, worktrees: DataFrame, former: DataFrame, remotes: DataFrame) -> DataFrame:
+    """(projectId, roots, worktrees, formerRoots, repositories) of the projects of one machine, each list sorted.
+
+    ``roots``, ``worktrees`` and ``former`` are (projectId, root) of the collectors that aren't for everything;
+    ``remotes`` is (root, url), of which repositories of the known host count. Worktrees that are roots are left out.
+    """
+    listed = lambda df, name: df.groupBy("projectId").agg(F.array_sort(F.collect_set("root")).alias(name))
+    slug = F.when(F.contains(F.col("url"), F.lit("github.com")), repository_slug(F.col("url")))
+    of = roots.join(remotes.select("root", slug.alias("repository")), "root").groupBy("projectId").agg(F.array_sort(F.collect_set("repository")).alias("repositories"))
+    extra = worktrees.join(roots, ["projectId", "root"], "left_anti")
+    out = listed(roots, "roots").join(listed(extra, "worktrees"), "projectId", "left").join(listed(former, "formerRoots"), "projectId", "left").join(of, "projectId", "left")
+    return out.select("projectId", "roots", "worktrees", "formerRoots", F.coalesce("repositories", F.array().cast("array<string>")).alias("repositories")).orderBy("projectId")
+
+
 def lines(files: DataFrame) -> DataFrame:
     """(file, line, text): lines from 1, the last one with or without a line end. Files that aren't UTF-8 are left out."""
     text = F.col("content").cast("string")
