@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.operators import activity
 from threadloom.sources import sessions, transcripts
@@ -191,5 +192,111 @@ def test_stream_is_idempotent(spark, tmp_path, times):
     write(tmp_path / "in/b.jsonl", [claude("u1", "user", "one"), claude("a1", "assistant", "two")])
     run()
     assert [r["revision"] for r in tables.read("sessions").collect()] == [2]
-    assert tables.read("entries").count() == 2
+    assert [(r["position"], r["text"]) for r in tables.read("entries").orderBy("position").collect()] == [(0, "one"), (1, "two")]
     assert [r["outcome"] for r in tables.read("outcomes").collect()] == ["stored"]
+
+
+def test_a_batch_costs_what_it_changes(spark, tmp_path, monkeypatch):
+    """Segments of equal batches stay equal while the store grows; merges bound their number; replaced ones go."""
+    import os
+
+    monkeypatch.setattr(ingest, "BUCKETS", 2)
+    store, tables = tmp_path / "store", ingest.Tables(spark, str(tmp_path / "store"), fan=3)
+    size = lambda name: sum(f.stat().st_size for f in (store / f"segments/entries/segment={name}").rglob("*.parquet"))
+    write(tmp_path / "0/a.jsonl", [claude(f"u{k}", "user", " ".join(str(hash((k, j))) for j in range(200)), sessionId="big") for k in range(300)])
+    for k in range(1, 7):
+        write(tmp_path / f"{k}/a.jsonl", [claude("u1", "user", "words of one length"), claude("a1", "assistant", f"answer {k // 2}")])
+    sizes = []
+    for batch in range(7):
+        found = sessions.read(spark, str(tmp_path / str(batch)), "claude-code", "0000", float(batch))
+        for _ in range(2):  # repeated: nothing happens
+            ingest.store_batch(tables, found, batch)
+        names = [n for _, n in tables.manifest()["segments"]]
+        sizes.append(size(f"{batch:012d}"))
+        assert len(names) <= 4
+    assert sorted(r["revision"] for r in tables.read("sessions").collect()) == [1, 4]
+    assert tables.read("entries").count() == 302 and tables.read("entries").where("text = 'answer 3'").count() == 1
+    assert sizes[0] > 50 * sizes[1] and max(x for x in sizes[1:] if x) < 1.2 * min(x for x in sizes[1:] if x)
+    assert len(os.listdir(store / "segments/entries")) <= len(names) + 3 and not [w for w in os.listdir(store / "work") if not w.startswith(".")]
+    assert sum(map(size, names)) < 1.1 * sizes[0]  # superseded entries are gone from what was merged
+
+
+def test_files_of_a_session_arrive_by_time(spark):
+    from threadloom.sources.sessions import Imported
+
+    e = "file string, id string, callId string, kind string, text string, timestamp double, sourceRef string, model string, effort string, position int"
+    found = Imported(
+        spark.createDataFrame([(f, "0", "codex", "s", f, 1.0) for f in ("b", "a", "c")], "file string, sourceId string, source string, sessionId string, title string, capturedAt double"),
+        spark.createDataFrame([(f, f, None, "user", f, 1.0, "r", None, None, 0) for f in ("a", "b", "c")], e), None,
+    )
+    times = spark.createDataFrame([("a", 30), ("b", 10), ("c", 10)], "file string, t long").select("file", F.timestamp_seconds("t").alias("modified"))
+    assert [r["file"] for r in ingest.captures(found, times).orderBy("arrival").collect()] == ["b", "c", "a"]
+
+
+def test_collector_cache_and_totals(spark):
+    files = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 2, 1), ("d", 1, 1)], "file string, size long, modified long")
+    cache = spark.createDataFrame([("a", 1, 1, "x", "imported", 900), ("b", 1, 1, "y", "held", 900), ("c", 1, 1, "x", "imported", 900), ("d", 1, 1, "x", "imported", 100)], "file string, size long, modified long, routing string, outcome string, at long")
+    read, good = transcripts.cached(files, cache, F.lit("x"), now=1000, revalidate=500)
+    assert sorted(r["file"] for r in read.collect()) == ["b", "c", "d"] and [r["file"] for r in good.collect()] == ["a"]
+    results = spark.createDataFrame([(1, 2, 0, 0, 1), (3, 0, 1, 0, 0)], "imported int, unchanged int, held int, dropped int, failed int")
+    assert tuple(transcripts.scan_totals(results).first()) == (4, 2, 1, 0, 1)
+    assert tuple(transcripts.scan_totals(results.limit(0)).first()) == (0, 0, 0, 0, 0)
+    groups = transcripts.collection_groups(spark.createDataFrame([("z", "codex", "/d", 1), ("y", "muse", "/d", 2), ("x", "codex", "/d", 3)], "id string, source string, directory string, seq int"))
+    assert [(r["source"], r["collectors"]) for r in groups.collect()] == [("codex", ["z", "x"]), ("muse", ["y"])]
+    pairs = lambda *rows: spark.createDataFrame(rows, "projectId string, root string")
+    remotes = spark.createDataFrame([("/b", "git@github.com:O/R.git"), ("/a", "https://example.org/x/y")], "root string, url string")
+    found = transcripts.project_map(pairs(("p", "/b"), ("p", "/a"), ("q", "/q")), pairs(("p", "/b"), ("p", "/w")), pairs(("q", "/old")), remotes).collect()
+    assert [tuple(r) for r in found] == [("p", ["/a", "/b"], ["/w"], None, ["o/r"]), ("q", ["/q"], None, ["/old"], [])]
+
+
+def test_remote_stores(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from threadloom.sources import remote
+
+    class Store(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            start = int(asked.get("cursor") or 0)
+            items = [{"id": f"s{k}", "title": "t", "digest": "d", "revision": k} for k in range(start, min(250, start + asked["limit"]))]
+            body = json.dumps({"items": items} | ({"nextCursor": str(start + asked["limit"])} if start + asked["limit"] < 250 else {})).encode()
+            self.send_response(200 if self.headers["Authorization"] == "Bearer k" else 401)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Store)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    spark.dataSource.register(remote.RemoteListing)
+    listed = spark.read.format("remote_listing").option("stores", json.dumps([url])).option("token", "k").load()
+    assert sorted(r["revision"] for r in listed.collect()) == list(range(250))
+    stores = spark.createDataFrame([(url,), ("http://127.0.0.1:9",)], "store string")
+    found = remote.search(stores, "q", limit=3, token="k", wait=5).collect()
+    assert sorted(r["id"] for r in found if r["error"] is None) == ["s0", "s1", "s2"] and sum(r["error"] is not None for r in found) == 1
+    server.shutdown()
+
+
+def test_exact_tokens(spark):
+    import os
+
+    import tiktoken
+
+    from threadloom.functions import tokens
+    from threadloom.operators import chunks
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary file")
+    text = "The river's water, 12345 houses\n\n and größer <|endoftext|> " * 40
+    count = tokens.counter(path)
+    assert 0 < count(text) < len(text) and count("") == 0
+    df = spark.createDataFrame([("s", 0, "e", "r", "user", text), ("s", 1, "f", "r", "user", "kurz")], "sid string, position int, id string, sourceRef string, kind string, text string")
+    cut = chunks.chunk(df, "sid", budget=64, count=count).orderBy("position").collect()
+    assert "".join(c["text"] for c in cut if c["entryId"] == "e") == text
+    assert all(c["tokens"] == count(c["text"]) <= 64 for c in cut)
+    assert df.select(tokens.token_count(F.col("text"), path).alias("n")).first()["n"] == count(text)
+    assert tiktoken.__name__

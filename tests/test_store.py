@@ -102,3 +102,56 @@ def test_snapshot_checks(spark):
     df = spark.createDataFrame([good, bad], schema.SNAPSHOT_DDL)
     valid, rejected = schema.validated(df)
     assert valid.count() == 1 and rejected.first()["issues"] == ["title", "duplicate entry ids"]
+
+
+def test_long_histories_of_one_session(spark):
+    """All captures of one session among many, in more than one batch of rows, judged as the plain fold would."""
+    captures = [cap(k, f"d{k % 7}", at=float(k), transcript=f"t{k}") for k in range(25_000)] + [cap(k, "x", id=f"s{k}") for k in range(200)]
+    got, folded, held, dead = outcomes(spark, *captures)
+    assert got.count(("unchanged", 1)) == 0 and sum(o == "stored" for o, _ in got) == 25_200
+    sessions, _ = store.after(folded, held, dead)
+    assert {r["id"]: r["revision"] for r in sessions.collect()}["a"] == 25_000
+
+
+def test_captures_are_tried_again(spark):
+    captures = spark.createDataFrame([cap(1, "x", previous="old", checked=True), cap(2, "y", previous="old", checked=True)], CAPTURE)
+    held = spark.createDataFrame([("a", "w", "w", "t", 3, 0.5, None, None, [])], store.SESSION)
+    none = spark.createDataFrame([], TOMB)
+    once = [r["outcome"] for r in store.capture(captures, held, none).orderBy("arrival").collect() if r["outcome"] != "state"]
+    again = [r["outcome"] for r in store.capture_again(captures, held, none).orderBy("arrival").collect() if r["outcome"] != "state"]
+    assert once == ["conflict", "conflict"] and again == ["stored", "stored"]
+
+
+def test_lifted_revisions(spark):
+    sessions = spark.createDataFrame([("a", 2, "s2"), ("b", 1, "s1")], "id string, revision int, storedDigest string")
+    revisions = spark.createDataFrame([("a", 1, "d1", ["run:test"]), ("a", 2, "d2", ["run:test", "x"]), ("b", 1, "e1", ["y"])], "id string, revision int, digest string, tags array<string>")
+    chunks_of = spark.createDataFrame([("a", 1, "old"), ("a", 2, "text"), ("b", 1, "other")], "id string, revision int, text string")
+    edits = spark.createDataFrame([("a", "run:test", False), ("b", "y", False)], "id string, tag string, added boolean")
+    s, r, c = store.store_lifted(sessions, revisions, chunks_of, edits)
+    assert sorted((x["id"], x["revision"]) for x in s.collect()) == [("a", 3), ("b", 1)]
+    assert sorted((x["id"], x["revision"], tuple(x["tags"])) for x in r.collect()) == [("a", 1, ("run:test",)), ("a", 3, ("x",)), ("b", 1, ("y",))]
+    assert sorted((x["revision"], x["text"]) for x in c.collect()) == [(1, "old"), (1, "other"), (3, "text")]
+
+
+def test_small_registers(spark):
+    from threadloom.operators import listing
+    from threadloom.plans import queues, sync
+
+    tags = spark.createDataFrame([("", "a", "old"), ("x", "a", None)], "actorId string, tag string, description string")
+    new = spark.createDataFrame([(None, "a", "new"), ("x", "b", "b")], "actorId string, tag string, description string")
+    defined = listing.define_tag(tags, new)
+    assert sorted(map(tuple, defined.collect())) == [("", "a", "new"), ("x", "a", None), ("x", "b", "b")]
+    assert listing.undefine_tag(defined, new.where("tag = 'a'")).count() == 2
+    routed = spark.createDataFrame([("b",), ("a",), ("P",), ("unrouted",), (None,), ("a",)], "projectId string")
+    assert [r["projectId"] for r in listing.projects(routed).collect()] == ["a", "b"]
+    held = spark.createDataFrame([("p1", "s"), ("p2", "t"), ("s", None)], "id string, partOf string")
+    plans = spark.createDataFrame([("s", "k", "k"), ("t", None, "k")], "id string, checked string, checkKey string")
+    assert {r["id"]: r["checked"] for r in queues.sensitivity_checked(held, plans).collect()} == {"p1": True, "p2": False}
+    urls = spark.createDataFrame([("HTTPS://Host.test:443", "standalone", None, None), ("https://host.test/", "standalone", None, None), ("http://host.test:8080/x", "hub", "i", "r")], "url string, kind string, i string, r string")
+    seen = [r["d"] for r in urls.select(sync.destination_identity(F.col("url"), F.col("kind"), F.col("i"), F.col("r")).alias("d")).collect()]
+    assert seen[0] == seen[1] == '["https://host.test","/","standalone"]' and seen[2] == '["http://host.test:8080","/x",["hub","i","r"]]'
+    dirs = spark.createDataFrame([(d,) for d in ("/private/var/folders/x", "/tmp/oracle-1", "/w/bench/.runs/1", "/w/bench/.runs-old", "/w/decision-receipts/primed-1", "/w/scratchpad", "/tmpx", "/w/.oracle")], "cwd string")
+    assert [r["k"] for r in dirs.select(listing.inferred_run(F.col("cwd")).alias("k")).collect()] == ["test", "oracle", "oracle", "oracle", "host", "test", None, "oracle"]
+    ids = spark.createDataFrame([("hub", "watch-A", None, None), ("codex", "s", "P", None), ("codex", "s", "q", "helper"), ("codex", "s", None, None)], "source string, sessionId string, projectId string, agent string")
+    tagged = ids.select(listing.identity_tags(F.col("source"), F.col("sessionId"), F.col("projectId"), F.col("agent"), ("helper",), "P", ("hub", "^watch-[AB]$")).alias("t"))
+    assert [r["t"] for r in tagged.collect()] == [["run:test"], ["run:test"], ["run:host"], []]
