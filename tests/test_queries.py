@@ -36,5 +36,5 @@ def test_query_terms_of_every_turn(spark, sf):
         found = list(dict.fromkeys(regex.findall(r"[\p{L}\p{N}_-]+", r["text"].lower()))) if r["text"] is not None else None
         want.append((r["conv_id"], r["turn"], None if found is None else " ".join(sorted(found[:64])), len(found or [])))
     assert max(n for *_, n in want) > 64
-    out = [tuple(r) for r in queries.QUERIES["query_terms_all"](spark, sf).select("conv_id", "turn", "terms").collect()]
+    out = [tuple(r) for r in queries.QUERIES["query_terms"](spark, sf).select("conv_id", "turn", "terms").collect()]
     assert sorted(out, key=repr) == sorted((w[:3] for w in want), key=repr)

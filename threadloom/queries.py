@@ -11,12 +11,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import digests, globs, references, text
 from .functions.redaction import redacted
 from .functions.shell import tool_access
 from .operators import activity, chunks, claims, evidence, listing, store
 from .plans import intervals, publish, queues, sync
+from .sources import sessions, transcripts
+from .sources.dialects import DIALECTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +57,30 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", "user_id", "event_type", "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
 
 
+def _line(**fields) -> F.Column:
+    """A record of a transcript as JSON."""
+    return F.to_json(F.struct(*[(v if isinstance(v, F.Column) else F.lit(v)).alias(k) for k, v in fields.items()])).alias("text")
+
+
+def _answer(text) -> F.Column:
+    block = F.struct(F.lit("output_text").alias("type"), text.cast("string").alias("text"))
+    return _line(type="response_item", payload=F.struct(F.lit("message").alias("type"), F.lit("assistant").alias("role"), F.array(block).alias("content")))
+
+
+def _begin(events: DataFrame, forked) -> DataFrame:
+    """The first record of each user's transcript."""
+    meta = F.struct(F.concat(F.lit("u"), "user_id").alias("id"), F.lit("codex_cli").alias("originator"), forked.cast("string").alias("forked_from_id"))
+    return events.select("user_id").distinct().select("user_id", F.lit(1).alias("line"), _line(type="session_meta", payload=meta))
+
+
+def _imported(spark: SparkSession, rows: DataFrame, key: str, dialect: str) -> sessions.Imported:
+    """Rows (key, line, text) as files of a dialect, imported."""
+    files = rows.select(F.concat(F.lit("/t/"), key, F.lit(".jsonl")).alias("file"), "line", "text")
+    parsed, malformed = transcripts.records(files)
+    found = sessions.assemble(DIALECTS[dialect](parsed), dialect, "0000", 1.0)
+    return sessions.Imported(found.sessions, found.entries, found.rejected.unionByName(malformed))
+
+
 def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -70,21 +97,14 @@ def term_search(spark, sf):
     return scored.where("score > 0")
 
 
-@query("query_terms", r"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+'))), ' ') AS terms FROM conversations WHERE len(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+'))) <= 64")
-def query_terms(spark, sf):
-    found = text.terms(F.col("text"))
-    whole = F.size(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(text.TERM), F.lit(0))))
-    return _t(spark, sf, "conversations").where(whole <= text.MAX_TERMS).select("conv_id", "turn", F.array_join(F.array_sort(found), " ").alias("terms"))
-
-
-@query("query_terms_all", rf"""
+@query("query_terms", rf"""
     WITH c AS (SELECT row_number() OVER () AS rn, conv_id, turn, regexp_extract_all(lower(text), '{text.TERM}') AS found FROM conversations),
     placed AS (SELECT rn, unnest(found) AS term, unnest(range(len(found))) AS place FROM c),
     ranked AS (SELECT rn, term, row_number() OVER (PARTITION BY rn ORDER BY min(place)) AS rank FROM placed GROUP BY rn, term),
     joined AS (SELECT rn, array_to_string(list_sort(list(term)), ' ') AS terms FROM ranked WHERE rank <= {text.MAX_TERMS} GROUP BY rn)
     SELECT conv_id, turn, CASE WHEN found IS NOT NULL THEN coalesce(terms, '') END AS terms FROM c LEFT JOIN joined USING (rn)""")
-def query_terms_all(spark, sf):
-    """Every turn, with the first terms in order of appearance; ``query_terms`` has only turns of at most ``MAX_TERMS``."""
+def query_terms(spark, sf):
+    """Every turn, with its first ``MAX_TERMS`` distinct terms in order of appearance."""
     return _t(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(text.terms(F.col("text"))), " ").alias("terms"))
 
 
@@ -124,7 +144,8 @@ def model_filter(spark, sf):
 
 @query("role_counts_per_session", "SELECT conv_id, role, count(*) AS entries FROM conversations GROUP BY ALL")
 def role_counts(spark, sf):
-    return _t(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("entries"))
+    counted = listing.model_counts(_entries(spark, sf).withColumn("model", F.col("kind")), "conv_id")
+    return counted.select("conv_id", F.explode("models").alias("m")).select("conv_id", F.col("m.model").alias("role"), F.col("m.entries").cast("long").alias("entries"))
 
 
 @query("session_digest", r"""
@@ -140,7 +161,10 @@ def session_digest(spark, sf):
 
 @query("first_last_turn", "SELECT conv_id, min_by(text, turn) AS first, max_by(text, turn) AS last FROM conversations GROUP BY conv_id")
 def first_last_turn(spark, sf):
-    return _t(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("last"))
+    turns = _t(spark, sf, "conversations").select("conv_id", "turn", "text")
+    last = store.latest(turns, "conv_id", "turn").select("conv_id", F.col("text").alias("last"))
+    first = store.latest(turns.withColumn("turn", -F.col("turn")), "conv_id", "turn").select("conv_id", F.col("text").alias("first"))
+    return first.join(last, "conv_id")
 
 
 @query("clip_text", r"SELECT doc_id, CASE WHEN length(t) > 80 THEN left(t, 80) || '…' ELSE t END AS clipped FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)")
@@ -150,18 +174,22 @@ def clip_text(spark, sf):
 
 @query("locf_last_event", "SELECT event_id, last_value(CASE WHEN event_type IN ('click', 'purchase') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events")
 def locf_last_event(spark, sf):
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _t(spark, sf, "events").select("event_id", F.last(F.when(F.col("event_type").isin("click", "purchase"), F.col("event_type")), ignorenulls=True).over(order).alias("carried"))
+    """Events as transcripts: some set the model, and every event is an answer that carries the last model set."""
+    e = _events(spark, sf).withColumn("line", F.row_number().over(Window.partitionBy("user_id").orderBy("ms", "event_id")) * 2)
+    sets = e.where(F.col("event_type").isin("click", "purchase")).select("user_id", F.col("line").alias("line"), _line(type="turn_context", payload=F.struct(F.col("event_type").alias("model"))))
+    answers = e.select("user_id", (F.col("line") + 1).alias("line"), _answer(F.col("event_id")))
+    found = _imported(spark, _begin(e, F.lit(None)).unionByName(sets).unionByName(answers), "user_id", "codex").entries
+    return found.select(F.col("text").cast("long").alias("event_id"), F.col("model").alias("carried"))
 
 
 @query("gate_until", "SELECT event_id FROM (SELECT event_id, max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS open FROM events) WHERE open = 1")
 def gate_until(spark, sf):
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _events(spark, sf).withColumn("open", F.max(F.col("event_type") == "purchase").over(order)).where("open").select("event_id")
+    """Events as transcripts of forked sessions: what comes before the first turn of their own is a copied history."""
+    e = _events(spark, sf).withColumn("line", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) * 2)
+    own = e.where(F.col("event_type") == "purchase").select("user_id", "line", _line(type="turn_context", payload=F.struct(F.lit("z").alias("turn_id"))))
+    answers = e.select("user_id", (F.col("line") + 1).alias("line"), _answer(F.col("event_id")))
+    found = _imported(spark, _begin(e, F.lit("parent")).unionByName(own).unionByName(answers), "user_id", "codex").entries
+    return found.select(F.col("text").cast("long").alias("event_id"))
 
 
 _REV_SQL = f"SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS revision, sha256(event_id::VARCHAR) AS digest, ms FROM ({_EVENTS_SQL})"
@@ -170,8 +198,6 @@ _OUT_SQL = f"SELECT id, revision FROM ({_REV_SQL}) WHERE revision % 7 = 3"
 
 
 def _revisions(spark, sf):
-    from pyspark.sql.window import Window
-
     e = _events(spark, sf)
     return e.select(F.col("user_id").alias("id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("revision"), F.sha2(F.col("event_id").cast("string"), 256).alias("digest"), "ms")
 
@@ -199,7 +225,10 @@ def compaction(spark, sf):
 
 @query("compactable_anti", "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM events WHERE event_id = o_orderkey)")
 def compactable_anti(spark, sf):
-    return _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).join(_t(spark, sf, "events").select(F.col("event_id").alias("id")), "id", "left_anti")
+    older = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit(1).alias("revision"))
+    queued = _t(spark, sf, "events").select(F.col("event_id").alias("id"), F.lit(1).alias("revision"))
+    kept = store.compact(older, older.select("id", F.lit(2).alias("revision")), queued)
+    return older.join(kept.select("id"), "id", "left_anti").select("id")
 
 
 @query("retention_expired", f"SELECT event_id AS id FROM ({_EVENTS_SQL}) WHERE user_id % 5 <> 0 AND ms < {NOW} - 360 * 86400000::BIGINT")
@@ -717,14 +746,28 @@ def redact_text(spark, sf):
     return c.select("conv_id", "turn", redacted(F.col("text"), spans, F.array().cast("array<string>")).alias("text"))
 
 
-@query("tool_access")
+@query("tool_access", """
+    SELECT conv_id, turn, '/w/' || conv_id || ',/w/' || conv_id || '/out' || turn || '.txt' AS paths, '/w/' || conv_id || '/out' || turn || '.txt' AS writes FROM conversations""")
 def tool_access_query(spark, sf):
     script = F.concat(F.lit('{"name":"Bash","input":{"command":"cd /w/'), F.col("conv_id"), F.lit(' && echo x > out'), F.col("turn"), F.lit('.txt"}}'))
     found = _t(spark, sf, "conversations").select("conv_id", "turn", tool_access(script, F.lit("/w")).alias("a"))
     return found.select("conv_id", "turn", F.array_join("a.paths", ",").alias("paths"), F.array_join("a.writes", ",").alias("writes"))
 
 
-@query("capture_fold")
+@query("capture_fold", f"""
+    WITH RECURSIVE c AS MATERIALIZED (
+      SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, sha256(CAST(trunc(value) AS INT)::VARCHAR) AS digest, event_type AS tr, ms::DOUBLE AS ms FROM ({_EVENTS_SQL})),
+    f(user_id, k, arrival, outcome, rev, rd, rt, ra, td, tt) AS (
+      SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, 0, NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE, NULL::VARCHAR, NULL::VARCHAR FROM c
+      UNION ALL
+      SELECT user_id, k, event_id, o, CASE o WHEN 'dropped' THEN 0 WHEN 'stored' THEN rev + 1 ELSE rev END,
+             CASE o WHEN 'dropped' THEN NULL WHEN 'stored' THEN digest ELSE rd END, CASE o WHEN 'dropped' THEN NULL WHEN 'stored' THEN tr ELSE rt END, CASE o WHEN 'dropped' THEN NULL WHEN 'stored' THEN ms ELSE ra END,
+             CASE WHEN o = 'dropped' AND rd IS NOT NULL THEN rd WHEN o = 'deleted' THEN digest WHEN o = 'stored' THEN NULL ELSE td END,
+             CASE WHEN o = 'dropped' AND rd IS NOT NULL THEN rt WHEN o = 'stored' THEN NULL ELSE tt END
+      FROM (SELECT c.*, f.rev, f.rd, f.rt, f.ra, f.td, f.tt,
+                   CASE WHEN c.tr = 'purchase' THEN 'dropped' WHEN f.rd = c.digest THEN 'unchanged' WHEN f.rd IS NULL AND f.td IS NOT NULL AND (f.td = c.digest OR f.tt = c.tr) THEN 'deleted' WHEN f.rd IS NOT NULL AND f.ra > c.ms THEN 'stale' ELSE 'stored' END AS o
+            FROM f JOIN c ON c.user_id = f.user_id AND c.k = f.k + 1))
+    SELECT user_id::VARCHAR AS id, arrival, outcome, rev AS revision FROM f WHERE k > 0""")
 def capture_fold(spark, sf):
     e = _events(spark, sf)
     wanted = e.select(
@@ -736,6 +779,134 @@ def capture_fold(spark, sf):
     return folded.where("outcome <> 'state'").select("id", "arrival", "outcome", "revision")
 
 
+# Parsers, over transcripts written from the test tables.
+
+def _claude_lines(spark, sf) -> DataFrame:
+    """Conversations as records: answers of every third turn call a tool, and what is asked next brings its result."""
+    c = _t(spark, sf, "conversations").where("role <> 'system'")
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    called = F.when(F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")) == "assistant", before)
+    c = c.withColumn("call", F.when((F.col("role") == "assistant") & (F.col("turn") % 3 == 0), F.col("turn"))).withColumn("result", F.when((F.col("role") == "user") & (called % 3 == 0), called))
+    said = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
+    use = F.to_json(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("c"), "call").alias("id"), F.lit("Read").alias("name"), F.struct(F.concat(F.lit("/w/f"), "call").alias("file_path")).alias("input")))
+    result = F.to_json(F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("c"), "result").alias("tool_use_id"), F.lit("read").alias("content")))
+    content = F.concat(F.lit("["), F.concat_ws(",", F.when(F.col("result").isNotNull(), result), F.to_json(said), F.when(F.col("call").isNotNull(), use)), F.lit("]"))
+    head = F.to_json(F.struct(F.concat(F.lit("s"), "conv_id").alias("sessionId"), F.concat(F.lit("r"), "turn").alias("uuid"), F.col("role").alias("type"), F.struct(F.lit("human").alias("kind")).alias("origin")))
+    model = F.when(F.col("role") == "assistant", F.concat(F.lit(',"model":"m'), F.col("turn") % 3, F.lit('"'))).otherwise(F.lit(""))
+    text = F.concat(F.regexp_replace(head, r"\}\z", ""), F.lit(',"message":{"content":'), content, model, F.lit("}}"))
+    return c.select("conv_id", (F.col("turn") + 1).alias("line"), text.alias("text"))
+
+
+@query("parse_claude", r"""
+    WITH c AS (SELECT *, lag(turn) OVER w AS pt, lag(role) OVER w AS pr FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    d AS (SELECT *, CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN turn END AS call, CASE WHEN role = 'user' AND pr = 'assistant' AND pt % 3 = 0 THEN pt END AS res FROM c),
+    i AS (SELECT conv_id, turn, 0 AS seq, 'tool-result' AS kind, 'read' AS text, ':result-0' AS suffix, 'c' || res AS callId, NULL AS model FROM d WHERE res IS NOT NULL
+          UNION ALL SELECT conv_id, turn, 1, role, text, ':text-' || (CASE WHEN res IS NOT NULL THEN 1 ELSE 0 END), NULL, CASE WHEN role = 'assistant' THEN 'm' || (turn % 3) END FROM d WHERE text <> ''
+          UNION ALL SELECT conv_id, turn, 2, 'tool-call', '{"name":"Read","input":{"file_path":"/w/f' || call || '"}}', ':call-1', 'c' || call, 'm' || (turn % 3) FROM d WHERE call IS NOT NULL)
+    SELECT 's' || conv_id AS session, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, seq) - 1)::INT AS position, 'r' || turn || suffix AS id, kind, text, callId AS call, model FROM i""")
+def parse_claude(spark, sf):
+    found = _imported(spark, _claude_lines(spark, sf), "conv_id", "claude-code").entries
+    return found.select(F.col("sessionId").alias("session"), "position", "id", "kind", "text", F.col("callId").alias("call"), "model")
+
+
+@query("parse_codex", r"""
+    WITH c AS (SELECT *, 'm' || last_value(CASE WHEN turn % 2 = 0 THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS model FROM conversations WHERE role <> 'system')
+    SELECT 's' || conv_id AS session, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS position, 'line-' || (turn * 2 + 3) || ':text-0' AS id, role AS kind, text, CASE WHEN role = 'assistant' THEN model END AS model FROM c WHERE text <> ''""")
+def parse_codex(spark, sf):
+    c = _t(spark, sf, "conversations").where("role <> 'system'")
+    meta = F.struct(F.concat(F.lit("s"), "conv_id").alias("id"), F.lit("codex_cli").alias("originator"))
+    first = c.select("conv_id").distinct().select("conv_id", F.lit(1).cast("long").alias("line"), _line(type="session_meta", payload=meta))
+    turns = c.where("turn % 2 = 0").select("conv_id", (F.col("turn") * 2 + 2).alias("line"), _line(type="turn_context", payload=F.struct(F.concat(F.lit("m"), "turn").alias("model"))))
+    block = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
+    said = c.select("conv_id", (F.col("turn") * 2 + 3).alias("line"), _line(type="response_item", payload=F.struct(F.lit("message").alias("type"), F.col("role").alias("role"), F.array(block).alias("content"))))
+    found = _imported(spark, first.unionByName(turns).unionByName(said), "conv_id", "codex").entries
+    return found.select(F.col("sessionId").alias("session"), "position", "id", "kind", "text", "model")
+
+
+@query("parse_muse", r"""
+    SELECT 's' || conv_id AS session, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS position, 'r' || turn || CASE WHEN role = 'user' THEN ':text-0' ELSE ':text' END AS id, role AS kind, text, (1700000000000 + turn)::DOUBLE AS timestamp
+    FROM conversations WHERE role <> 'system' AND text <> ''""")
+def parse_muse(spark, sf):
+    c = _t(spark, sf, "conversations").where("role <> 'system'")
+    stream = F.struct(F.lit("session").alias("kind"), F.concat(F.lit("s"), "conv_id").alias("id"))
+    common = {"id": F.concat(F.lit("r"), "turn"), "stream": stream, "recorded_at": (F.lit(1700000000000) + F.col("turn")) * 1000 + 7}
+    block = F.struct(F.lit("text").alias("kind"), F.col("text").alias("text"))
+    asked = _line(**common, payload_type="runtime.user_intent.accepted", payload=F.struct(F.concat(F.lit("i"), "turn").alias("intent_id"), F.struct(F.lit("chat").alias("kind")).alias("semantic_kind"), F.array(block).alias("refill_blocks")))
+    event = F.struct(F.lit("assistant_message_committed").alias("kind"), F.col("text").alias("text"))
+    answered = _line(**common, payload_type="runtime.session", payload=F.struct(F.lit("run").alias("kind"), F.lit("x").alias("run_id"), event.alias("event")))
+    rows = c.select("conv_id", (F.col("turn") + 1).alias("line"), F.when(F.col("role") == "user", asked).otherwise(answered).alias("text"))
+    found = _imported(spark, rows, "conv_id", "muse").entries
+    return found.select(F.col("sessionId").alias("session"), "position", "id", "kind", "text", "timestamp")
+
+
+@query("import_preview", r"""
+    WITH c AS (SELECT * FROM conversations WHERE role <> 'system'),
+    d AS (SELECT conv_id, turn, role, text, lag(turn) OVER w AS pt, lag(role) OVER w AS pr, min(turn) OVER (PARTITION BY conv_id) AS first FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    e AS (SELECT conv_id, min(first) AS first, count(*) FILTER (WHERE text <> '') + count(*) FILTER (WHERE role = 'assistant' AND turn % 3 = 0) + count(*) FILTER (WHERE role = 'user' AND pr = 'assistant' AND pt % 3 = 0) AS entries,
+                 sum(length(text)) + coalesce(sum(length('{"name":"Read","input":{"file_path":"/w/f' || turn || '"}}')) FILTER (WHERE role = 'assistant' AND turn % 3 = 0), 0) + 4 * count(*) FILTER (WHERE role = 'user' AND pr = 'assistant' AND pt % 3 = 0) AS characters
+          FROM d GROUP BY conv_id)
+    SELECT '/t/' || conv_id || '.jsonl' AS file, CASE WHEN conv_id % 5 = 0 THEN 'rejected' ELSE 'ready' END AS status, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE entries END::BIGINT AS entries,
+           CASE WHEN conv_id % 5 = 0 THEN 0 ELSE characters END::BIGINT AS characters, CASE WHEN conv_id % 5 = 0 THEN 'Invalid transcript JSON at line ' || (first + 1) END AS error FROM e""")
+def import_preview(spark, sf):
+    """Every fifth transcript is cut off in each of its lines."""
+    rows = _claude_lines(spark, sf).withColumn("text", F.when(F.col("conv_id") % 5 == 0, F.left("text", F.length("text") - 1)).otherwise(F.col("text")))
+    return sessions.preview(_imported(spark, rows, "conv_id", "claude-code")).select("file", "status", "entries", "characters", "error")
+
+
+@query("typed_prompts", r"""
+    SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN NULL ELSE trim(text) END AS typed FROM conversations""")
+def typed_prompts(spark, sf):
+    """Turns wrapped as harnesses do: a reminder before, an instructions line, a section of an envelope, or nothing but a block."""
+    shape = F.col("turn") % 4
+    wrapped = (
+        F.when(shape == 0, F.concat(F.lit("<system-reminder>keep <b>calm</b></system-reminder>\n"), "text"))
+        .when(shape == 1, F.concat(F.lit("# AGENTS.md instructions for /w/x\n"), "text"))
+        .when(shape == 2, F.concat(F.lit("# System Context\nrules\n# User Message\n"), "text", F.lit("\n# Assistant Message\nno")))
+        .otherwise(F.concat(F.lit("<some-tag a='b'>"), "text", F.lit("</some-tag> <other_tag></other_tag>")))
+    )
+    return _t(spark, sf, "conversations").select("conv_id", "turn", text.typed_prompt_udf(wrapped).alias("typed"))
+
+
+@query("redact_marked", "SELECT conv_id, turn, text || ' [redacted: secret] and [redacted: secret, career]' AS text FROM conversations")
+def redact_marked(spark, sf):
+    mark = F.concat(F.lit("KEY"), "conv_id", F.lit("x"), "turn")
+    span = lambda t, reason: F.struct(t.alias("text"), F.lit(reason).alias("reason"), F.lit(False).alias("echoOnly"))
+    spans = F.array(span(mark, "secret"), span(F.concat(mark, F.lit("/job")), "career"))
+    whole = F.concat("text", F.lit(" "), mark, F.lit(" and "), mark, F.lit("/job"))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", redacted(whole, spans, F.array().cast("array<string>")).alias("text"))
+
+
+@query("distinct_projects", "SELECT DISTINCT n_name AS \"projectId\" FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_name NOT IN ('FRANCE', 'P')")
+def distinct_projects(spark, sf):
+    routed = _t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("projectId"))
+    return listing.projects(routed, unrouted="FRANCE")
+
+
+@query("tag_definitions", "SELECT CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'a' || (c_custkey % 3) END AS \"actorId\", c_mktsegment || c_custkey AS tag, CASE WHEN c_custkey % 5 = 0 THEN 'new' ELSE 'old' END AS description FROM customer WHERE c_custkey % 7 <> 0")
+def tag_definitions(spark, sf):
+    c = _t(spark, sf, "customer")
+    actor = F.when(F.col("c_custkey") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("a"), F.col("c_custkey") % 3))
+    rows = c.select("c_custkey", actor.alias("actorId"), F.concat("c_mktsegment", "c_custkey").alias("tag"), F.lit("old").alias("description"))
+    given = lambda df: df.select(F.when(F.col("actorId") != "", F.col("actorId")).alias("actorId"), "tag", F.lit("new").alias("description"))
+    defined = listing.define_tag(rows.drop("c_custkey"), given(rows.where("c_custkey % 5 = 0")))
+    return listing.undefine_tag(defined, given(rows.where("c_custkey % 7 = 0")))
+
+
+@query("lifted_revisions", """
+    SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS revision, CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE 'run:test,x' END AS tags FROM orders""")
+def lifted_revisions(spark, sf):
+    o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit(1).alias("revision"), F.col("o_orderstatus").alias("digest"), F.array(F.lit("run:test"), F.lit("x")).alias("tags"))
+    edits = o.where("id % 3 = 0").select("id", F.lit("run:test").alias("tag"), F.lit(False).alias("added"))
+    held, revisions, _ = store.store_lifted(o.select("id", "revision", F.col("digest").alias("storedDigest")), o, o.select("id", "revision"), edits)
+    return revisions.join(held.select("id", "revision"), ["id", "revision"]).select("id", "revision", F.array_join("tags", ",").alias("tags"))
+
+
+@query("scan_totals", "SELECT sum(o_custkey % 3)::BIGINT AS imported, count(*) FILTER (WHERE o_orderstatus = 'O') AS unchanged, count(*) FILTER (WHERE o_orderstatus = 'P') AS held, 0::BIGINT AS dropped, count(*) FILTER (WHERE o_orderstatus = 'F') AS failed FROM orders")
+def scan_totals(spark, sf):
+    is_ = lambda s: (F.col("o_orderstatus") == s).cast("int")
+    return transcripts.scan_totals(_t(spark, sf, "orders").select((F.col("o_custkey") % 3).alias("imported"), is_("O").alias("unchanged"), is_("P").alias("held"), F.lit(0).alias("dropped"), is_("F").alias("failed")))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions that mention any term, newest first, with their best chunks within a token budget."""
     e = _entries(spark, sf)
