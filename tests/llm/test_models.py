@@ -166,7 +166,7 @@ def answers(df, **settings):
     return {q: sorted(near) for q, near in found.items()}
 
 
-@pytest.mark.parametrize("settings", [{}, {"cell": 50, "candidates": 40, "group": 10, "recall": 1.0}, {"cell": 50, "candidates": 40, "group": 10}])
+@pytest.mark.parametrize("settings", [{}, {"cell": 50, "block": 40, "group": 10, "recall": 1.0}, {"cell": 50, "block": 40, "group": 10}])
 def test_nearest_neighbours(spark, settings):
     draw = np.random.default_rng(3)
     vectors = draw.standard_normal((700, 16)).astype(np.float32)
@@ -205,7 +205,7 @@ def test_nearest_of_repeated_ids_and_ties(spark):
     want: dict = {}
     for q, near in exact_nearest(rows):
         want.setdefault(q, []).extend((r, v, s) for r, (v, s) in enumerate(near, 1))
-    for settings in ({}, {"cell": 20, "candidates": 7, "group": 3}):
+    for settings in ({}, {"cell": 20, "block": 7, "group": 3}):
         assert answers(df, recall=1.0, **settings) == {q: sorted(near) for q, near in want.items()}
     tied = [(k, [2.0, 2.0]) for k in range(50)]
     assert answers(spark.createDataFrame(tied, "vec_id long, embedding array<double>"), recall=1.0) == {q: [(r, v, s) for r, (v, s) in enumerate(near, 1)] for q, near in exact_nearest(tied)}
@@ -216,7 +216,7 @@ def test_estimates_keep_their_bounds():
     vectors, centre, turn = draw.standard_normal((4000, 64)), draw.standard_normal(64) * 0.1, ann.rotation(64)
     codes, length, fit = ann.encode(vectors, centre, turn)
     assert codes.dtype == np.uint64 and codes.shape == (4000, 1)
-    block = ann.Block(np.arange(4000), vectors, vectors, codes, length, fit, centre, turn)
+    block = ann.Block(np.arange(4000), vectors, codes, length, fit, centre, turn)
     outside = 0
     for query in draw.standard_normal((50, 64)):
         estimate, off = block.bounds(query)

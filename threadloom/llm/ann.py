@@ -14,9 +14,14 @@ A query visits the cells whose centres have the largest inner products with it.
 ``CALIBRATION`` queries the exact neighbours among all vectors are found in one pass, and as many cells are visited as
 hold ``recall`` of them (and k candidates at least). Data without clusters need many; ``recall=1`` visits all.
 
+The index is a table in the shared folder, a folder a cell. Queries are dealt into groups whose best cells lie near each
+other; a group's task reads the cells that its queries visit, block by block, and what it found so far raises the
+bound for what is still to come. It returns k + 1 ids a query, whatever the number of vectors: neither vectors nor
+results are multiplied in a shuffle.
+
 Skew: of equal vectors only those with the k + 1 smallest ids can be among anyone's k nearest, so others aren't searched,
-which loses nothing; equal queries are searched once and answered each; cells are cut into blocks of candidates, and
-their queries into groups, by counts.
+which loses nothing; equal queries are searched once and answered each; a cell of any size is read in blocks, and
+queries that share a best cell are cut into groups.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor do rows without
 id, nor those whose number of dimensions is not the table's most frequent one (ties: the smaller). A query's own id is
@@ -31,8 +36,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyarrow import dataset as ds
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,8 +47,8 @@ from . import shared
 K = 20
 #: Vectors of a cell on average, the most numbers in the centres of all cells, and sampled vectors for each centre.
 CELL, CENTRES, PER_CENTRE = 1024, 1 << 21, 8
-#: Candidates of a block and queries of a group, on average.
-CANDIDATES, QUERIES = 8192, 4096
+#: Candidates that are read at once, and queries that go through the cells together.
+CANDIDATES, QUERIES = 8192, 512
 #: Queries whose exact neighbours tell how many cells to visit, and the share of these that visited cells must hold.
 CALIBRATION, RECALL = 128, 0.97
 #: Bits of a query's rounded component.
@@ -91,9 +96,9 @@ def common_bits(codes: np.ndarray, bits: np.ndarray) -> np.ndarray:
 class Block:
     """Codes and vectors of a block of one cell, searched for one query at a time. All but ``exact`` is scaled."""
 
-    def __init__(self, ids, exact, scaled, codes, length, fit, centre, turn, width: float = WIDTH):
-        dims = scaled.shape[1]
-        self.ids, self.exact, self.scaled, self.codes, self.centre, self.turn, self.width, self.dims = ids, exact, scaled, codes, centre, turn, width, dims
+    def __init__(self, ids, exact, codes, length, fit, centre, turn, power: int = 0, width: float = WIDTH):
+        scaled, dims = np.ldexp(exact, -power), exact.shape[1]
+        self.power, self.ids, self.exact, self.scaled, self.codes, self.centre, self.turn, self.width, self.dims = power, ids, exact, scaled, codes, centre, turn, width, dims
         usable = fit > 0
         safe = np.where(usable, fit, 1)
         self.scale = np.where(usable, length / safe / math.sqrt(dims), 0)
@@ -114,26 +119,51 @@ class Block:
         rounding = self.width * step * math.sqrt(self.dims / 12) * self.scale
         return query @ self.centre + self.scale * signed, np.linalg.norm(query) * self.spread + rounding
 
-    def nearest(self, query: np.ndarray, scaled_query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, exact scores) of the rows of the k + 1 best ids: enough for k whichever id is the query's own."""
+    def reach(self, scaled_query: np.ndarray, k: int, least: float) -> np.ndarray:
+        """Positions of all rows that may be among the k + 1 best ids, if a scaled score below ``least`` can't be."""
         first = np.arange(len(self.ids))
         room = 1e-10 * np.linalg.norm(scaled_query) * self.longest  # what rounding may take
+        if len(first) <= k + 1 and least == -np.inf:
+            return first
+        estimate, off = self.bounds(scaled_query)
         if len(first) > k + 1 and not self.repeats:
-            estimate, off = self.bounds(scaled_query)
             # The most promising are scored; what can't reach the least of them is left out.
             promising = np.argpartition(estimate, -k - 1)[-k - 1 :]
-            worst = (self.scaled[promising] @ scaled_query).min()
-            first = np.flatnonzero(estimate + off >= worst - room)
-            scores = self.scaled[first] @ scaled_query
-            # Only what rounding could bring among the best is summed in the order that the result is defined by.
-            first = first[scores >= np.partition(scores, -k - 1)[-k - 1] - room] if len(first) > k + 1 else first
-        scores = exact_scores(query, self.exact[first])
-        order = np.lexsort((self.ids[first], -scores))
-        first, scores = first[order], scores[order]
-        new = np.zeros(len(first), dtype=bool)
-        new[np.unique(self.ids[first], return_index=True)[1]] = True
-        within = np.cumsum(new) <= k + 1
-        return first[within], scores[within]
+            least = max(least, (self.scaled[promising] @ scaled_query).min())
+        first = np.flatnonzero(estimate + off >= least - room)
+        scores = self.scaled[first] @ scaled_query
+        if len(first) > k + 1 and not self.repeats:
+            least = max(least, np.partition(scores, -k - 1)[-k - 1])
+        # Only what rounding could bring among the best is summed in the order that the result is defined by.
+        return first[scores >= least - room]
+
+
+class Best:
+    """The rows of the k + 1 best ids of one query so far: enough for k whichever id is the query's own."""
+
+    def __init__(self, query: np.ndarray, scaled: np.ndarray, k: int):
+        self.query, self.scaled, self.k = query, scaled, k
+        self.ids, self.scores, self.least = np.empty(0, dtype=np.int64), np.empty(0), -np.inf
+
+    def meet(self, block: Block) -> None:
+        first = block.reach(self.scaled, self.k, self.least)
+        if not len(first):
+            return
+        ids = np.concatenate([self.ids, block.ids[first]])
+        scores = np.concatenate([self.scores, exact_scores(self.query, block.exact[first])])
+        order = np.lexsort((ids, -scores))
+        ids, scores = ids[order], scores[order]
+        new = np.zeros(len(ids), dtype=bool)
+        new[np.unique(ids, return_index=True)[1]] = True
+        seen = np.cumsum(new)
+        self.ids, self.scores = ids[seen <= self.k + 1], scores[seen <= self.k + 1]
+        if seen[-1] > self.k:  # in the units of scaled scores, which never overflow
+            worst = self.scores[-1]
+            self.least = float(np.ldexp(worst, self.shift(block.power))) if np.isfinite(worst) else -np.inf
+
+    def shift(self, power: int) -> int:
+        """Power of two between exact and scaled scores."""
+        return -power - int(np.frexp(np.abs(self.query).max())[1])
 
 
 def exact_scores(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -186,7 +216,7 @@ def _useful(table: DataFrame, k: int) -> DataFrame:
     return table.join(often, hashed == F.col("h"), "left_anti").unionByName(least.select(table.columns))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL, cell: int = CELL, candidates: int = CANDIDATES, group: int = QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL, cell: int = CELL, block: int = CANDIDATES, group: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each row that ``queries`` selects."""
     spark, folder = vectors.sparkSession, shared.work_dir(vectors.sparkSession)
     # Single-precision vectors travel as they are; all arithmetic on them is in double precision.
@@ -218,7 +248,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id"
             columns = [pa.array(mine, pa.int32()), batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(length), pa.array(fit)]
             yield pa.RecordBatch.from_arrays(columns, ["cell", "vec_id", "vector", "code", "length", "fit"])
 
-    index = shared.materialize(_useful(valid.select("vec_id", "vector"), k).mapInArrow(assign, f"cell int, vec_id long, vector {kind}, code binary, length double, fit double"), folder, "index")
+    kinds = f"cell int, vec_id long, vector {kind}, code binary, length double, fit double"
+    coded = _useful(valid.select("vec_id", "vector"), k).mapInArrow(assign, kinds)
+    # A cell's rows come together, and those of a large one are split up again, as far as sizes ask for.
+    coded.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/index")
+    index = spark.read.schema(kinds).parquet(f"{folder}/index").select("cell", "vec_id", "vector")
     sizes_of = np.zeros(len(centres), dtype=np.int64)
     for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each centre
         sizes_of[r["cell"]] = r["n"]
@@ -233,52 +267,55 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, key: str = "vec_id"
         enough = (np.cumsum(sizes_of[order], axis=1) > k).argmax(axis=1) if sizes_of.sum() > k else np.full(len(order), len(sizes_of))
         return [o[: max(visits, int(e) + 1)] for o, e in zip(order, enough, strict=True)]
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(sizes_of), dtype=np.int64)
+    def first_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.argsort(_line_up(shipped.value))
         for batch in batches:
-            for cells in cells_of(_matrix(batch.column(1), dims)):
-                counts[cells] += 1
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], ["cell", "n"])
+            best = np.argmax(_unit(_matrix(batch.column(1), dims)) @ shipped.value.T, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(place[best], pa.int32())], ["qid", "vector", "place"])
+
+    def blocks_of(cell: int, turn: np.ndarray) -> Iterator[Block]:
+        files, base = shared.open_folder(f"{folder}/index")
+        for batch in ds.dataset(f"{base}/cell={cell}", format="parquet", filesystem=files, partitioning=None).to_batches(columns=["vec_id", "vector", "code", "length", "fit"], batch_size=block, batch_readahead=1, fragment_readahead=1, use_threads=False):
+            if batch.num_rows:
+                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1)
+                yield Block(batch.column(0).to_numpy(), _matrix(batch.column(1), dims), codes, batch.column(3).to_numpy(), batch.column(4).to_numpy(), shipped.value[cell], turn, power)
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = rotation(dims)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                cells = cells_of(_matrix(part.column(1), dims))
-                at = pa.array(np.repeat(np.arange(part.num_rows), [len(c) for c in cells]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells), pa.int32()), part.column(0).take(at), part.column(1).take(at)], ["cell", "qid", "vector"])
-
-    asking = {r["cell"]: r["n"] for r in asked.mapInArrow(tally, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # a row for each centre
-    plan = [(c, math.ceil(int(sizes_of[c]) / candidates), math.ceil(q / group)) for c, q in asking.items() if sizes_of[c]]
-    cut = F.broadcast(spark.createDataFrame(plan, "cell int, blocks int, groups int"))  # a row for each centre
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    left = asked.mapInArrow(visit, f"cell int, qid long, vector {kind}").join(cut, "cell").select("cell", F.pmod(F.xxhash64("qid"), F.col("groups")).cast("int").alias("g"), every("blocks").alias("b"), "qid", "vector")
-    right = index.join(cut, "cell").select("cell", F.pmod(F.xxhash64("vec_id", "vector"), F.col("blocks")).cast("int").alias("b"), every("groups").alias("g"), "vec_id", "vector", "code", "length", "fit")
-
-    def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, ...]] = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
-        if len(q) and len(c):
-            stack = lambda column: np.stack(column.to_numpy()).astype(np.float64).reshape(-1, dims)
-            exact, ids = stack(c["vector"]), c["vec_id"].to_numpy(dtype=np.int64)
-            codes = np.frombuffer(b"".join(c["code"]), dtype=np.uint64).reshape(len(c), -1)
-            block = Block(ids, exact, np.ldexp(exact, -power), codes, c["length"].to_numpy(), c["fit"].to_numpy(), shipped.value[int(c["cell"].iloc[0])], rotation(dims))
-            found = stack(q["vector"])
-            for qid, query, scaled in zip(q["qid"].to_numpy(), found, _unit(found), strict=True):
-                at, scores = block.nearest(query, scaled, k)
-                out.append((np.full(len(at), qid), ids[at], scores))
-        return pd.DataFrame({name: np.concatenate([o[j] for o in out]) for j, name in enumerate(("qid", "vec_id", "score"))})
-
-    near = left.groupBy("cell", "b", "g").cogroup(right.groupBy("cell", "b", "g")).applyInPandas(search, "qid long, vec_id long, score double")
-    # Ids by their best score: the k + 1 best of a query hold its k nearest rows, whichever id is its own.
-    best = near.repartition("qid").groupBy("qid", "vec_id").agg(F.max("score").alias("best"), F.collect_list("score").alias("scores"))
-    some = best.withColumn("__r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("best"), "vec_id"))).where(F.col("__r") <= k + 1)
+            for start in range(0, batch.num_rows, group):
+                part = batch.slice(start, group)
+                queries = _matrix(part.column(1), dims)
+                scaled, visiting = _unit(queries), cells_of(queries)
+                found = [Best(q, u, k) for q, u in zip(queries, scaled, strict=True)]
+                asking: dict[int, list[int]] = {}
+                for i, cells in enumerate(visiting):
+                    for c in cells:
+                        asking.setdefault(int(c), []).append(i)
+                # The cells that promise most to the group come first, so that later ones meet high bounds.
+                promise = scaled.mean(axis=0) @ shipped.value.T
+                for c in sorted((c for c in asking if sizes_of[c]), key=lambda c: (-promise[c], c)):
+                    for some in blocks_of(c, turn):
+                        for i in asking[c]:
+                            found[i].meet(some)
+                qids = np.repeat(part.column(0).to_numpy(), [len(f.ids) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(np.concatenate([f.ids for f in found])), pa.array(np.concatenate([f.scores for f in found]))], ["qid", "vec_id", "score"])
+
+    groups = max(1, math.ceil(asked.count() / group))
+    dealt = asked.mapInArrow(first_cell, f"qid long, vector {kind}, place int").repartitionByRange(groups, "place", "qid")
+    near = dealt.select("qid", "vector").mapInArrow(search, "qid long, vec_id long, score double")
     named = rows.join(asked, "vector").select("row", "query_id", "qid")
-    answers = named.join(some, "qid").where(F.col("vec_id") != F.col("query_id")).select("row", "query_id", "vec_id", F.explode("scores").alias("score"))
+    answers = named.join(near, "qid").where(F.col("vec_id") != F.col("query_id"))
     ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
+def _line_up(centres: np.ndarray) -> np.ndarray:
+    """An order of the centres in which those that stand near each other follow each other, roughly."""
+    coarse = find_centres(centres, math.ceil(math.sqrt(len(centres))), rounds=2)
+    return np.lexsort((centres[:, 0], nearest_centre(centres, coarse)))
+
+
 def _visits(index: DataFrame, asked: DataFrame, centres: np.ndarray, sizes_of: np.ndarray, dims: int, power: int, k: int, recall: float) -> int:
     """How many cells hold the wanted share of the exact neighbours of a bounded sample of the queries."""
     if recall >= 1 or len(centres) == 1:
