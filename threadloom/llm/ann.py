@@ -46,7 +46,7 @@ from . import shared
 
 K = 20
 #: Vectors of a cell on average, the most numbers in the centres of all cells, and sampled vectors for each centre.
-CELL, CENTRES, PER_CENTRE = 1024, 1 << 21, 8
+CELL, CENTRES, PER_CENTRE = 4096, 1 << 21, 8
 #: Candidates that are read at once, and queries that go through the cells together.
 CANDIDATES, QUERIES = 8192, 512
 #: Queries whose exact neighbours tell how many cells to visit, and the share of these that visited cells must hold.
