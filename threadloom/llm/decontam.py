@@ -119,15 +119,17 @@ def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **setting
     folder = shared.work_dir(docs.sparkSession)
     found = shared.materialize(find(docs, benchmark, key=key, **settings), folder, "found")
     digests = held_items(found.where(F.size("kinds") > 0), benchmark, n).select("kinds", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    named = found.join(digests, "kinds", "left")
+    # Texts without a hit, nearly all, need no list and would be one key of the join.
+    nothing = found.where(F.size("kinds") == 0).select("*", F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"))
+    named = found.where(F.size("kinds") > 0).join(digests, "kinds").select(nothing.columns).unionByName(nothing)
     n_hit = covered(F.col("spans"))
     each = named.select("*", F.explode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int"))).alias("__row"))
     return each.select(
         F.col("key").alias(key),
         F.col("n_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
-        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
-        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        "n_items",
+        "items_sha256",
         (n_hit > 0).alias("contaminated"),
     )
 
