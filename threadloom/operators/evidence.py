@@ -11,13 +11,14 @@ from ..functions.shell import tool_access
 
 PERSONAL = "personal"
 FIELDS = ("writes", "reads", "repositories", "references")
-#: Rows of a project's roots or repositories up to which they are broadcast (paths of at most 4 KB).
-BROADCAST = 50_000
+#: Rows and bytes of a project's roots or repositories up to which they are broadcast.
+BROADCAST, BROADCAST_BYTES = 50_000, 32 << 20
 
 
 def small(dimension: DataFrame) -> DataFrame:
-    """A dimension with a broadcast hint if it is small; else as it is, so that the join shuffles."""
-    return F.broadcast(dimension) if dimension.limit(BROADCAST + 1).count() <= BROADCAST else dimension
+    """A dimension with a broadcast hint if it is small, in rows and in bytes; else as it is, so that the join shuffles."""
+    sizes = dimension.limit(BROADCAST + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(dimension) if sizes["rows"] <= BROADCAST and sizes["bytes"] <= BROADCAST_BYTES else dimension
 
 
 def prefixes(path: Column) -> Column:
