@@ -65,13 +65,13 @@ def test_gray_index_finds_all_pairs():
     assert (ranks[1:] > ranks[:-1]).all()
 
 
-@pytest.mark.parametrize("codes_a_range", [8192, 60, 3])
-def test_links_connect_what_pairs_do(spark, codes_a_range):
+@pytest.mark.parametrize("codes_a_range,distance", [(8192, 3), (60, 3), (3, 3), (60, 6), (60, 0)])
+def test_links_connect_what_pairs_do(spark, codes_a_range, distance):
     codes = cluster_of_codes()
-    near = np.argwhere(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 3)
+    near = np.argwhere(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= distance)
     at = {int(c): k for k, c in enumerate(codes)}
     df = spark.createDataFrame([(int(c) - (1 << 64) if c >= 1 << 63 else int(c),) for c in codes], "fp long")
-    found = [(at[r["a"] % (1 << 64)], at[r["b"] % (1 << 64)]) for r in simhash.links(df, shared.work_dir(spark), codes_a_range).collect()]
+    found = [(at[r["a"] % (1 << 64)], at[r["b"] % (1 << 64)]) for r in simhash.links(df, shared.work_dir(spark), codes_a_range, distance).collect()]
     assert roots(len(codes), found) == roots(len(codes), [tuple(p) for p in near])
 
 

@@ -71,16 +71,19 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return counts.reshape(64)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [fingerprint(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
+def _fingerprints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
+
+    return run
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -178,7 +181,7 @@ def near_ranges(nodes: list[tuple[int, int, int]], distance: int = DISTANCE) ->
     return out
 
 
-def _search_ranges(folder: str):
+def _search_ranges(folder: str, distance: int):
     def codes_of(number: int) -> np.ndarray:
         files, base = shared.open_folder(folder)
         return pq.read_table(f"{base}/range={number}", columns=["fp"], filesystem=files, partitioning=None)["fp"].to_numpy().view(np.uint64)
@@ -188,7 +191,7 @@ def _search_ranges(folder: str):
             for number, others in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 mine = codes_of(number)
                 for other in others:
-                    x, y = spanning_links(mine, GrayIndex(mine if other == number else codes_of(other)))
+                    x, y = spanning_links(mine, GrayIndex(mine if other == number else codes_of(other)), distance)
                     yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (x, y)], ["a", "b"])
 
     return run
@@ -201,7 +204,7 @@ def gray_order(code):
     return code
 
 
-def links(codes: DataFrame, folder: str, codes_a_range: int = RANGE) -> DataFrame:
+def links(codes: DataFrame, folder: str, codes_a_range: int = RANGE, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) that connect distinct codes (column fp) just as all pairs within the distance do.
 
     Codes are shuffled once, into Gray order. The driver sees the upper nodes, ``RANGES`` rows at most, and no code.
@@ -214,30 +217,30 @@ def links(codes: DataFrame, folder: str, codes_a_range: int = RANGE) -> DataFram
     written = spark.read.schema("fp long, range int").parquet(f"{folder}/ranges")
     nodes = written.groupBy("range").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")).orderBy("range").collect()
     of: dict[int, list[int]] = {}
-    for i, j in near_ranges([tuple(n) for n in nodes]):
+    for i, j in near_ranges([tuple(n) for n in nodes], distance):
         of.setdefault(i, []).append(j)
     work = [(i, js[k : k + 4]) for i, js in of.items() for k in range(0, len(js), 4)]  # a unit of work: one range against four
     units = spark.createDataFrame(work, "range int, others array<int>").repartition(max(1, min(len(work), 16 * RANGES)), F.col("range"), F.col("others"))
-    return units.mapInArrow(_search_ranges(f"{folder}/ranges"), "a long, b long")
+    return units.mapInArrow(_search_ranges(f"{folder}/ranges", distance), "a long, b long")
 
 
-def _rooted(codes: DataFrame, folder: str) -> DataFrame:
+def _rooted(codes: DataFrame, folder: str, distance: int) -> DataFrame:
     """(fp, least, root): the distinct codes, each with the least fingerprint of its component."""
-    stars = shared.materialize(components.connected(links(codes, folder), folder), folder, "stars")
+    stars = shared.materialize(components.connected(links(codes, folder, distance=distance), folder), folder, "stars")
     return codes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
-def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs``."""
     folder = shared.work_dir(docs.sparkSession)
-    prints = shared.materialize(fingerprints(docs, key, text), folder, "fingerprints")
+    prints = shared.materialize(fingerprints(docs, key, text, shingle), folder, "fingerprints")
     codes = shared.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), folder, "codes")
-    rooted = _rooted(codes, folder)
+    rooted = _rooted(codes, folder, distance)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with exactly one row of each component: that with the smallest id (none comes last), then text hash.
 
     Rows that agree in both are counted, and only those are compared as a whole, by a hash of all columns. The rest
@@ -246,11 +249,11 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     folder = shared.work_dir(docs.sparkSession)
     ids, hashed = F.col(key).cast("long"), F.xxhash64(F.col(text))
     rows = docs.select(ids.alias("doc_id"), F.col(text).alias("text"), hashed.alias("text_hash"))
-    prints = rows.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
+    prints = rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long, text_hash long")
     pieces = shared.materialize(prints.groupBy("fp", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")), folder, "pieces")
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     codes = shared.materialize(pieces.groupBy("fp").agg(F.min(own).alias("least")), folder, "codes")
-    rooted = _rooted(codes, folder)
+    rooted = _rooted(codes, folder, distance)
     kept = rooted.groupBy("root").agg(F.min("least").alias("kept"))
     chosen = rooted.join(kept, "root").select("fp", "kept")
     same = F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.text_hash") == F.col("text_hash"))
