@@ -907,6 +907,65 @@ def scan_totals(spark, sf):
     return transcripts.scan_totals(_t(spark, sf, "orders").select((F.col("o_custkey") % 3).alias("imported"), is_("O").alias("unchanged"), is_("P").alias("held"), F.lit(0).alias("dropped"), is_("F").alias("failed")))
 
 
+@query("collector_cache", "SELECT event_id::VARCHAR AS file FROM events WHERE event_id % 4 = 0 OR event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 9 = 0")
+def collector_cache(spark, sf):
+    """Files as events: of some the size or the routing has changed, some aren't known yet, some are due again."""
+    e = _t(spark, sf, "events").select(F.col("event_id").cast("string").alias("file"), F.col("event_id").alias("n"), F.lit(1).cast("long").alias("size"), F.col("user_id").alias("modified"))
+    at = F.when(F.col("n") % 9 == 0, F.lit(NOW - 2 * transcripts.REVALIDATE)).otherwise(F.lit(NOW - 1))
+    cache = e.where("n % 4 <> 0").select("file", F.when(F.col("n") % 5 == 0, F.lit(2)).otherwise(F.lit(1)).cast("long").alias("size"), "modified", F.when(F.col("n") % 7 == 0, F.lit("old")).otherwise(F.lit("new")).alias("routing"), F.lit("imported").alias("outcome"), at.cast("long").alias("at"))
+    return transcripts.cached(e.drop("n"), cache, F.lit("new"), NOW)[0].select("file")
+
+
+@query("collection_groups", "SELECT c_mktsegment AS source, c_nationkey::VARCHAR AS directory, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS collectors FROM customer GROUP BY ALL")
+def collection_groups(spark, sf):
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("source"), F.col("c_nationkey").cast("string").alias("directory"), F.col("c_custkey").alias("seq"))
+    return transcripts.collection_groups(c).select("source", "directory", F.array_join("collectors", ",").alias("collectors"))
+
+
+@query("project_map", """
+    WITH s AS (SELECT s_suppkey, 'p' || s_nationkey AS p, '/r/' || s_suppkey AS root FROM supplier)
+    SELECT p AS "projectId", string_agg(root, ',' ORDER BY root) AS roots, coalesce(string_agg('/w' || root, ',' ORDER BY root) FILTER (WHERE s_suppkey % 2 = 0), '') AS worktrees,
+           coalesce(string_agg('o/n' || s_suppkey, ',' ORDER BY 'o/n' || s_suppkey) FILTER (WHERE s_suppkey % 3 = 0), '') AS repositories FROM s GROUP BY p""")
+def project_map(spark, sf):
+    s = _t(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("p"), "s_nationkey").alias("projectId"), F.concat(F.lit("/r/"), "s_suppkey").alias("root"))
+    roots = s.select("projectId", "root")
+    worktrees = roots.unionByName(s.where("s_suppkey % 2 = 0").select("projectId", F.concat(F.lit("/w"), "root").alias("root")))
+    host = F.when(F.col("s_suppkey") % 3 == 0, F.lit("git@github.com:O/n")).otherwise(F.lit("https://example.org/o/n"))
+    found = transcripts.project_map(roots, worktrees, roots.limit(0), s.select("root", F.concat(host, "s_suppkey").alias("url")))
+    return found.select("projectId", *[F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("roots", "worktrees", "repositories")])
+
+
+@query("sensitivity_checked", "SELECT l_orderkey * 10 + l_linenumber AS id, coalesce(o_orderkey % 3 <> 0 AND o_custkey % 2 = 0, false) AS checked FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
+def sensitivity_checked(spark, sf):
+    parts = _t(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("partOf"))
+    plans = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey") % 2).alias("checked"), F.lit(0).alias("checkKey"))
+    return queues.sensitivity_checked(parts, plans)
+
+
+@query("destination_identities", r"""
+    SELECT page_id, '["https://h' || page_id || '.test' || CASE WHEN page_id % 3 = 1 THEN ':8443' ELSE '' END || '","/' || CASE WHEN page_id % 2 = 0 THEN 'x' ELSE '' END || '",' || CASE WHEN page_id % 5 = 0 THEN '["hub","i' || page_id || '","r"]' ELSE '"standalone"' END || ']' AS identity FROM pages""")
+def destination_identities(spark, sf):
+    p = _t(spark, sf, "pages").select("page_id", (F.col("page_id") % 3).alias("m"))
+    port = F.when(F.col("m") == 1, F.lit(":8443")).when(F.col("m") == 2, F.lit(":443")).otherwise(F.lit(""))
+    url = F.concat(F.lit("HTTPS://H"), "page_id", F.lit(".test"), port, F.when(F.col("page_id") % 2 == 0, F.lit("/x")).otherwise(F.lit("")))
+    kind = F.when(F.col("page_id") % 5 == 0, F.lit("hub")).otherwise(F.lit("standalone"))
+    return p.select("page_id", sync.destination_identity(url, kind, F.concat(F.lit("i"), "page_id"), F.lit("r")).alias("identity"))
+
+
+@query("settings_defaults", "SELECT n_name AS key, CASE WHEN n_regionkey = 1 THEN 'own' ELSE 'default' END AS value FROM nation")
+def settings_defaults(spark, sf):
+    n = _t(spark, sf, "nation").select(F.col("n_name").alias("key"), "n_regionkey")
+    return store.defaults(n.select("key", F.lit("default").alias("value")), n.where("n_regionkey = 1").select("key", F.lit("own").alias("value")))
+
+
+@query("collided_sessions", "SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 4 = 0")
+def collided_sessions(spark, sf):
+    """Every fourth session comes in with other entry ids throughout."""
+    entries = lambda id: _t(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(id.alias("id"))).alias("entries"))
+    turn = F.col("turn").cast("string")
+    return store.collided(entries(turn), entries(F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("x"), turn)).otherwise(turn)), "conv_id")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions that mention any term, newest first, with their best chunks within a token budget."""
     e = _entries(spark, sf)
